@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from .mixing import OP9_SQL, op9_mix_sources
+from .neighbours import op1_nearest_neighbours
 from .packing import op2_best_fit_packing
+from .quality import OP3_SQL, op3_quality_rules
+from .simhash import op7_simhash_near_dedup
 from .token_files import op8_token_files
+from .toxicity import op4_toxicity
+from .url_filter import op6_url_filter
+from .warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op8_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_nearest_neighbours, op2_best_fit_packing, op3_quality_rules, op4_toxicity, op6_url_filter, op7_simhash_near_dedup, op8_token_files, op9_mix_sources, op10_warc)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op9_mix_sources": OP9_SQL, "op10_warc": OP10_SQL}
