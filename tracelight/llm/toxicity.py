@@ -28,7 +28,7 @@ FIT_ROWS = 20_000
 #: Terms that the learned lexicon holds at most.
 TERMS = 1000
 MIN_TOXIC_TEXTS = 4
-MIN_LOG_ODDS, MIN_Z = 1.5, 4.0
+MIN_LOG_ODDS, MIN_Z = 1.5, 3.0
 PREFIXES = (4, 5, 6, 7)
 NEAR = 5
 TREES, DEPTH, STEP = 30, 3, 0.2
