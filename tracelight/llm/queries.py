@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import op5_line_dedup
 from .mixing import OP9_SQL, op9_mix_sources
 from .neighbours import op1_nearest_neighbours
 from .packing import op2_best_fit_packing
@@ -14,7 +15,7 @@ from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest_neighbours, op2_best_fit_packing, op3_quality_rules, op4_toxicity, op6_url_filter, op7_simhash_near_dedup, op8_token_files, op9_mix_sources, op10_warc)
+    for f in (op1_nearest_neighbours, op2_best_fit_packing, op3_quality_rules, op4_toxicity, op5_line_dedup, op6_url_filter, op7_simhash_near_dedup, op8_token_files, op9_mix_sources, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op9_mix_sources": OP9_SQL, "op10_warc": OP10_SQL}
