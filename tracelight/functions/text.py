@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,7 +24,18 @@ def s(value: str) -> str:
     return f"\x01{value}\x02"
 
 
+def replaced(of: str, pattern: str, by: str = "") -> str:
+    """of with all matches of the pattern replaced."""
+    return f"regexp_replace({of}, {s(pattern)}, {s(by)}@all)"
+
+
+def group(of: str, pattern: str, n: int = 1) -> str:
+    """The n-th group of the pattern's first match; empty where it doesn't match."""
+    return f"regexp_extract({of}, {s(pattern)}, {n})"
+
+
 def spark_sql(sql: str) -> str:
+    sql = sql.replace("@all", "")
     for name, (own, _) in _NAMES.items():
         sql = sql.replace(f"@{name}(", f"{own}(")
     return _CONSTANT.sub(lambda m: "'" + m[1].replace("\\", "\\\\").replace("'", "\\'") + "'", sql)
@@ -32,6 +43,7 @@ def spark_sql(sql: str) -> str:
 
 def ansi_sql(sql: str) -> str:
     sql = re.sub(r"@rxcount\(([^,]+), (\x01.*?\x02)\)", r"len(regexp_extract_all(\1, \2))", sql, flags=re.S)
+    sql = sql.replace("@all", ", 'g'")
     for name, (_, other) in _NAMES.items():
         sql = sql.replace(f"@{name}(", f"{other}(")
     return _CONSTANT.sub(lambda m: "'" + m[1].replace("'", "''") + "'", sql)
@@ -137,3 +149,28 @@ def ordered(rules) -> str:
 #: Words between white space.
 WORDS = r"@rxcount(lower, " + s(r"\S+") + ")"
 URL_SCHEME = any_of(["http://", "https://", "ftp://"])
+
+
+def with_steps(df: DataFrame, steps) -> DataFrame:
+    """df with each (name, expression) of steps as a column, in turn.
+
+    Steps that don't build on each other are made together, by a generator of one row: the
+    optimizer doesn't copy an expression past it into every condition that reads the column.
+    """
+    together: list[tuple[str, str]] = []
+
+    def made(df):
+        return df.select("*", F.inline_outer(F.array(F.struct(*[column(sql).alias(name) for name, sql in together]))))
+
+    for name, sql in steps:
+        if any(re.search(rf"\b{own}\b", _CONSTANT.sub("", sql)) for own, _ in together):
+            df, together = made(df), []
+        together.append((name, sql))
+    return made(df) if together else df
+
+
+def steps_sql(source: str, steps) -> str:
+    """The same as a nested SELECT over source, a table or a parenthesised query."""
+    for name, sql in steps:
+        source = f"(SELECT *, {ansi_sql(sql)} AS {name} FROM {source})"
+    return source

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from tracelight.plans import command_queries, link_queries
 
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (link_queries, command_queries)
+
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+
+ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
