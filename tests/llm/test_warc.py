@@ -26,6 +26,17 @@ def test_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def test_shuffled_first_pages_give_the_same(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "<p>same</p>" * 20) for i in range(30)], "page_id long, url string, html string")
+    found = []
+    for rows in (warc.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
+        path = shared_dir(spark)
+        warc.write_warc(pages, path)
+        found.append(sorted(map(str, warc.read_warc(spark, path).collect())))
+    assert found[0] == found[1] and len(found[0]) == 30
+
+
 def test_missing_and_damaged_segments(spark, tmp_path):
     payload = b"p" * 5000
     own = [r + b"\r\n\r\n" for r in warc.page_records(1, "u", payload, hashlib.sha256(payload).hexdigest(), None, 1000)]

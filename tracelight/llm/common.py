@@ -45,6 +45,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A stored df, broadcast if it has at most so many rows; larger ones are shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def words(text) -> F.Column:
     """Words of a text column as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+"), lambda w: w != "")

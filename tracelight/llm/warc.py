@@ -21,12 +21,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import shared_dir, small, stored, table
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 #: Shorter payloads are never revisits.
 REVISIT_BYTES = 100
+#: Records of one archive file.
+FILE_RECORDS = 4000
+#: Repeated payloads (100 bytes each) whose first pages may be broadcast; more are shuffled.
+BROADCAST_ROWS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -85,7 +89,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     first = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null").drop("n")
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("first_id"))
+    rows = rows.join(small(stored(first), BROADCAST_ROWS), "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("first_id"))
 
     def write(batches):
         import pyarrow as pa
@@ -98,13 +102,13 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
                 own = list(page_records(page_id.as_py(), url.as_py(), html.as_py().encode(), digest.as_py(), first_id.as_py(), segment_bytes))
                 out += own
                 size += sum(map(len, own))
-                if size >= 8 << 20:
+                if size >= 2 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     # A record's bytes pass through the text writer as they are.
-    rows.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(content: bytes):
