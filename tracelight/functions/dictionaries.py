@@ -96,3 +96,63 @@ DICTIONARIES = {
     "vulnerable_drivers": VULNERABLE_DRIVERS, "remote_access": REMOTE_ACCESS, "remote_access_hosts": REMOTE_ACCESS_HOSTS, "remote_sessions": REMOTE_SESSIONS, "tunnels": TUNNELS,
     "tunnel_hosts": TUNNEL_HOSTS, "search_hosts": SEARCH_HOSTS, "code_hosts": CODE_HOSTS, "public_suffixes": PUBLIC_SUFFIXES,
 }
+
+#: Marker lists of the memory-dump classifiers.
+OPEN_MARKERS = ("\\pipe\\", "socket", "opensavepidlmru", "lastvisitedpidlmru", "typedpaths", "wordwheelquery", "runmru", "thumbcache", "iconcache", "windows.edb")
+COMMAND_MARKERS = (
+    "cmd.exe", "powershell", "pwsh", "conhost", "history", "stdin", "stdout", "stderr", "wevtutil", "reg add", "reg delete", "wmic", "schtasks", "vssadmin", "fsutil", "auditpol", "bcdedit",
+)
+COMMAND_ACTIONS = (
+    " add ", " delete ", " query ", " create ", " config ", " start ", " stop ", " /c ", " -enc", " encodedcommand", " clear ", " remove ", " set ", " export ", " import ",
+)
+HIDDEN_PROCESS = ("hidden process", "ghost process", "orphan process", "terminated process", "process exited", "activeprocesslinks", "eprocess", "hollow")
+SUSPICIOUS_NETWORK = ("beacon", "reverse shell", "meterpreter", "ngrok", "cloudflared", "discord.com/api/webhooks", "discordapp.com/api/webhooks", "pastebin", "webhook")
+LOLBINS = ("mshta", "rundll32", "regsvr32", "powershell -enc", "powershell -encodedcommand", "pwsh -enc", "wmic process call create", "cmd.exe /c")
+LOLBIN_NETWORK = (
+    "http://", "https://", "wss://", "ws://", "invoke-webrequest", "invoke-restmethod", "downloadstring", "downloadfile", "curl ", "wget ", "socket", "connect", "outbound", "proxy",
+)
+PROTECTION_CHANGES = ("rwx", "execute_readwrite", "page_execute_readwrite", "virtualprotect", "virtualprotectex", "ntprotectvirtualmemory")
+INJECTION_STEPS = (
+    "writeprocessmemory", "createremotethread", "ntcreatethreadex", "queueuserapc", "virtualalloc", "ntmapviewofsection", "manualmap", "shellcode", "thread hijack", "process hollowing",
+    "hollow",
+)
+JAVA_INJECTION = (
+    "writeprocessmemory", "createremotethread", "ntcreatethreadex", "queueuserapc", "virtualalloc", "virtualprotect", "ntmapviewofsection", "manualmap", "process hollowing",
+    "thread hijack", "setwindowshookex", "setthreadcontext", "resume thread", "shellcode",
+)
+DLL_KEYS = ("appinit_dlls", "knowndlls", "silentprocessexit", "ifeo", "__eventfilter", "commandlineeventconsumer")
+MEMORY_CHANGES = ("inline hook", "trampoline", "detour", "patched", "patch", "checksum mismatch", "code cave", "modified memory", "guard page", "nop nop", "jmp ")
+TRUSTED_DLL_DIRS = ("\\windows\\system32\\", "\\windows\\syswow64\\", "\\windows\\winsxs\\", "\\program files\\", "\\program files (x86)\\")
+RISKY_DLL_DIRS = ("\\temp\\", "\\users\\public\\", "\\recycle.bin\\", "\\windows\\tasks\\")
+RISKY_DLL_NAMES = ("inject", "manualmap", "hollow", "hook", "spoof", "bypass", "cheat", "mapper", "xenos", "kdmapper", "processhacker")
+BENIGN_DRIVERS = ("winpmem", "dumpit", "av", "defender")
+BENIGN_DLL_NAMES = (
+    "microsoft.codeanalysis.", "discordhook.dll", "discordhook64.dll", "discord_overlay_sdk_", "msvcp140.dll", "msvcp140_codecvt_ids.dll", "vcruntime140.dll", "vcruntime140_1.dll",
+    "ucrtbase.dll", "libcrypto-1_1.dll", "libssl-1_1.dll", "libffi-7.dll", "python38.dll", "python39.dll", "python310.dll", "python311.dll", "python312.dll", "python313.dll",
+    "binary2strings.cp",
+)
+KNOWN_DLLS = (
+    "\\knowndlls\\ntdll.dll", "\\knowndlls\\kernel32.dll", "\\knowndlls\\kernelbase.dll", "\\knowndlls\\user32.dll", "\\knowndlls\\gdi32.dll", "\\knowndlls\\advapi32.dll",
+    "\\knowndlls\\ucrtbase.dll", "\\knowndlls\\sechost.dll",
+)
+NETWORK_CONTEXT = ("tcp", "udp", "socket", "connect", "listen", "accept", "bind", "send", "recv", "proxy", "rdp", "websocket", "ws://", "wss://", "netstat")
+DOWNLOAD_COMMANDS = (
+    "download?key=", "invoke-webrequest", "invoke-restmethod", "powershell -enc", "powershell -encodedcommand", "downloadstring", "downloadfile", " -outfile ",
+)
+TRUSTED_HOSTS = (
+    "microsoft.com", "windowsupdate.com", "github.com", "githubusercontent.com", "githubassets.com", "chatgpt.com", "openai.com", "youtube.com", "google.com", "googleusercontent.com",
+    "gstatic.com", "cloudflare.com", "mozilla.org", "yandex.ru", "yandex.com", "yandex.net", "vk.com", "discord.com", "discord.gg", "discordapp.com", "steamcommunity.com",
+    "steampowered.com", "cdn.discordapp.com",
+)
+TRACE_NOISE = (
+    '"type":"commandexecution"', '"type":"reasoning"', '\\"type\\":\\"commandexecution\\"', '\\"type\\":\\"reasoning\\"', '"tool_uses"', '"commandactions"', '"aggregatedoutput"',
+    '"conversationid"', '"turn_trace_id"', '"request_id"', "diff --git", "@@ -", 'createelement("svg"', "<x:xmpmeta", "xmlns:rdf=", "<?xpacket", "\\u001b[",
+)
+PROXY_SETTINGS = ("proxyenable", "proxyserver", "autoconfigurl")
+PROXY_TUNNELS = (
+    "socks5", "socks4", "socks://", "tun2socks", "tun-in", "wintun", "sing-box", "v2ray", "xray", "clash", "nekoray", "proxifier", "proxychains",
+)
+LOCAL_ENDPOINTS = ("127.0.0.1:", "localhost:", "::1", "0.0.0.0:", "socks5://127.0.0.1", "http://127.0.0.1")
+GAME_MARKERS = ("minecraft", ".minecraft", "javaw.exe", "lunarclient", "badlion", "feather", "meteorclient", "fabric-loader", "forge", "autoclicker", "killaura")
+SUSPICIOUS_PORTS = (1337, 2222, 31337, 4444, 6666, 7777, 8081, 9001)
+LOCAL_PROXY_PORTS = (1080, 10808, 10809, 2080, 2081, 3128, 7890, 7891, 9050, 9090)

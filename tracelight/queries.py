@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelight.plans import command_queries, link_queries
+from tracelight.plans import command_queries, link_queries, network_queries, path_queries
 
-_MODULES = (link_queries, command_queries)
+_MODULES = (link_queries, command_queries, path_queries, network_queries)
 
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
