@@ -65,7 +65,10 @@ def is_binary_like(content: Column) -> Column:
 
 
 def extract_strings(df: DataFrame, key: str = "path", content: str = "content", min_len: int = MIN_STRING, include_tab: bool = False) -> DataFrame:
-    """source, offset, kind and text of printable runs: ASCII, and UTF-16LE at even and odd offsets."""
+    """source, offset, kind and text of printable runs: ASCII, and UTF-16LE at even and odd offsets.
+
+    A wide run doesn't begin right behind an ASCII character, which closes a narrow one.
+    """
     tab = rb"\t" if include_tab else rb""
 
     def run(batches):
@@ -74,7 +77,7 @@ def extract_strings(df: DataFrame, key: str = "path", content: str = "content",
         import pyarrow as pa
 
         ascii_run = re.compile(rb"[\x20-\x7e" + tab + rb"]{%d,}" % min_len)
-        wide_run = re.compile(rb"(?:[\x20-\x7e" + tab + rb"]\x00){%d,}" % min_len)
+        wide_run = re.compile(rb"(?<![\x20-\x7e])(?:[\x20-\x7e" + tab + rb"]\x00){%d,}" % min_len)
         for batch in batches:
             rows = []
             for source, data in zip(batch.column(0), batch.column(1)):
