@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelight.functions.text import ansi_sql, column, lowered, spark_sql, token
-from tracelight.operators import detectors, links, network, paths, rules, taggers, timehints, triage
+from tracelight.operators import detectors, links, network, paths, report, rules, taggers, timehints, triage
 
 
 def flags(spark, tests, lines, steps=()):
@@ -199,3 +199,19 @@ def test_triage_ranks(spark):
 def test_both_spellings():
     sql = lowered("line")
     assert "\x01" not in spark_sql(sql) + ansi_sql(sql)
+
+
+def test_trust_and_signal(spark):
+    want = {r"c:\windows\system32\a.dll": ("system", "signed"), r"c:\program files (x86)\a\b.exe": ("program", "signed"), r"c:\users\u\x.exe": ("user", "unsigned"), r"c:\a\temp\x.sys": ("temp", "unsigned"), "x.exe": ("unknown", "unknown"), r"c:\users\u\x.txt": ("user", "unknown")}
+    rows = detectors.with_lower(spark.createDataFrame([("network_artifacts", x) for x in want], "section string, line string"))
+    got = {r["line"]: r for r in report.rated(rows).collect()}
+    assert {x: (got[x]["trust"], got[x]["sign"]) for x in want} == want
+    sections = [("network_artifacts", "curl https://x"), ("network_artifacts", "wss://x"), ("network_artifacts", "tcp"), ("injected_code", "x"), ("hidden_processes", "x"), ("command_buffers", "x")]
+    rows = detectors.with_lower(spark.createDataFrame(sections, "section string, line string"))
+    assert [r["signal"] for r in report.sorted_rows(report.rated(rows)).collect()] == ["high", "high", "medium", "medium", "medium", "low"]
+    assert report.exclude_disks(rows.union(rows.limit(1).withColumn("line", F.lit("D:\\x"))), ["d"]).count() == 6
+
+
+def test_dps_rows(spark):
+    lines = spark.createDataFrame([("!!START.exe!2024/12/12:08:14:53!0!",), ("!!svchost.exe!2026/03/25:13:01:44!0!",)], "line string")
+    assert [(r["norm"], r["ts"]) for r in paths.dps_events(lines).collect()] == [("START.exe", "2024/12/12:08:14:53")]

@@ -55,3 +55,29 @@ def allowlist_split(files: DataFrame, allowed: DataFrame) -> DataFrame:
 def seed_index(refs: DataFrame) -> DataFrame:
     """file_name and the paths that the evidence itself gives for it."""
     return refs.groupBy("file_name").agg(F.array_join(F.sort_array(F.collect_set("norm")), ",").alias("paths"))
+
+
+def dps_status(events: DataFrame, inventory: DataFrame) -> DataFrame:
+    """file_name, ts and status of events(cmp_path, file_name, ts): is the file, or one of its name, there?"""
+    names = inventory.select("file_name").distinct()
+    there = events.join(names.withColumn("there", F.lit(True)), "file_name", "left")
+    return there.select("file_name", "ts", F.when(F.col("there"), "no deleted").otherwise("deleted").alias("status")).distinct()
+
+
+def file_dates(refs: DataFrame, hints: DataFrame, cap: int = 256) -> DataFrame:
+    """norm and all of its dates in order, from refs(norm, line) and hints(line, hint)."""
+    dated = refs.join(hints, "line").groupBy("norm").agg(F.slice(F.sort_array(F.collect_set("hint")), 1, cap).alias("hints"))
+    return dated.select("norm", F.array_join("hints", ", ").alias("times"))
+
+
+def lookup_names(names: DataFrame, high_value, k: int) -> DataFrame:
+    """The k names(file_name) to look up first: those of high value, then the others, in byte order."""
+    own = names.select("file_name").distinct().withColumn("high", high_value)
+    return own.orderBy(F.desc("high"), "file_name").limit(k)
+
+
+def label_hits(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """file and the sorted labels of its rules, from hits(file, client) and labels(client, label)."""
+    own = labels.select(F.lower("client").alias("key"), "label").distinct()
+    joined = hits.withColumn("key", F.lower("client")).join(own, "key")
+    return joined.groupBy("file").agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelight.functions.text import ansi_sql, lowered, steps_sql
 from tracelight.operators import detectors, taggers, triage
 from tracelight.operators import network as N
+from tracelight.operators import report
 from tracelight.plans import command_queries
 from tracelight.plans.evidence import DUMP, rows, rows_sql
 
@@ -68,6 +69,11 @@ def triage_rows(spark, d):
     return out
 
 
+def rated(spark, d):
+    return report.rated(detectors.with_lower(N.sections(lines(spark, d)).select("section", "line")))
+
+
+_RATED = f"(SELECT *, {ansi_sql(report.SIGNAL)} AS signal, {ansi_sql(report.TRUST)} AS trust, {ansi_sql(report.SIGN)} AS sign FROM (SELECT section, line, {ansi_sql(lowered('line'))} AS lower FROM ({_SECTIONS}) s) x)"
 _TRIAGE = " UNION ALL ".join(
     f"SELECT DISTINCT '{f}' AS category, tag || ' | ' || line AS row FROM (SELECT line, {ansi_sql(taggers.tag_sql(f))} AS tag FROM {command_queries.LINES} l) t WHERE tag IS NOT NULL" for f in triage.BASE if f in taggers.FAMILIES
 )
@@ -79,6 +85,10 @@ QUERIES = {
     "lolbin_scores": lambda spark, d: N.lolbin_scores(lines(spark, d)),
     "risk_verdict": lambda spark, d: N.risk_verdict(artifacts(spark, d)),
     "capped_sections": lambda spark, d: N.capped(N.sections(lines(spark, d)), CAP),
+    "artifact_signal": lambda spark, d: rated(spark, d).select("section", "line", "signal", "trust", "sign"),
+    "artifact_filters": lambda spark, d: report.exclude_words(report.exclude_disks(report.filter_rows(rated(spark, d), "tcp", signal="high"), ["D"]), ["syn"]).select("section", "line"),
+    "artifact_sorted": lambda spark, d: report.sorted_rows(rated(spark, d)).limit(200).select("section", "line", "signal"),
+    "high_signal_rows": lambda spark, d: report.high_signal_rows(rated(spark, d)),
     "event_correlation_minute": lambda spark, d: N.event_correlation(N.security_events(event_lines(spark, d))),
     "event_correlation_hour": lambda spark, d: N.event_correlation(N.security_events(event_lines(spark, d), "hour")),
     "triage_priority": lambda spark, d: triage.priority(triage_rows(spark, d)),
@@ -93,6 +103,10 @@ SELECT min(line) AS line FROM o WHERE endpoint IS NOT NULL GROUP BY process, end
     "lolbin_scores": f"SELECT marker, process, endpoint, port, bucket, min_by(score, line) AS score, min_by(level, line) AS level, min(line) AS line FROM {_LOLBIN} l GROUP BY marker, process, endpoint, port, bucket",
     "risk_verdict": f"SELECT source, {N.VERDICT} AS verdict, {N.CONFIDENCE} AS confidence FROM (SELECT source, {_COUNTS} FROM {_ARTIFACTS} a GROUP BY source) c",
     "capped_sections": f"SELECT section, marker, line FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY line) AS n FROM ({_SECTIONS}) s) t WHERE n <= {CAP}",
+    "artifact_signal": f"SELECT section, line, signal, trust, sign FROM {_RATED} r",
+    "artifact_filters": f"SELECT section, line FROM {_RATED} r WHERE contains(lower, 'tcp') AND signal = 'high' AND NOT regexp_matches(line, '[Dd]\\s*:\\s*[\\\\/]') AND NOT contains(lower, 'syn')",
+    "artifact_sorted": f"SELECT section, line, signal FROM {_RATED} r ORDER BY {report.RANK} DESC, section, line LIMIT 200",
+    "high_signal_rows": f"SELECT DISTINCT section, line FROM {_RATED} r WHERE {ansi_sql(report.STRONG)}",
     "event_correlation_minute": correlation_sql(16),
     "event_correlation_hour": correlation_sql(13),
     "triage_priority": f"""

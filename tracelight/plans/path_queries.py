@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelight.functions.dictionaries import BYPASS_ARTIFACTS, CHEAT_ARTIFACTS
+from tracelight.functions.dictionaries import BYPASS_ARTIFACTS, CHEAT_ARTIFACTS, SUSPICIOUS, VULNERABLE_DRIVERS
 from tracelight.functions.text import ansi_sql, column, steps_sql
 from tracelight.operators import paths as P
 from tracelight.operators import resolve as R
@@ -65,6 +65,10 @@ FLAGS = {
 }
 
 
+HIGH_VALUE = P.both("file_name NOT IN ('triggerbot.exe', 'triggerbot64.exe', 'doomsday.exe', 'doomsday64.exe')", P.matches(r"\.(exe|dll|sys|jar|bat|cmd|ps1|vbs|js)$", "file_name"), P.either(
+    P.keyword(SUSPICIOUS, "file_name"), P.keyword(CHEAT_ARTIFACTS, "file_name"), P.any_of([*VULNERABLE_DRIVERS, "inject", "mapper", "spoofer", "loader", "bypass", "cheat"], "file_name")))
+
+
 def normalize_paths(spark, d):
     return parts(spark, d).select("path", "norm", "file_name", "ext", "drive", "after_drive", "is_abs", column(P.TRUST).alias("trust"))
 
@@ -118,6 +122,25 @@ def allowlist(spark, d):
     return R.allowlist_split(docs, docs.filter("file % 2 = 0").select(F.sha2("content", 256).alias("sha256")))
 
 
+def dps_status(spark, d):
+    own = inventory(spark, d).select("file_name").unionByName(P.dps_events(lines(spark, d)).filter("file_name like '%0.exe'").select("file_name"))
+    return R.dps_status(P.dps_events(lines(spark, d)), own)
+
+
+def file_dates(spark, d):
+    refs = P.path_parts(lines(spark, d).select(F.regexp_extract("line", P.ROOTED, 0).alias("path"), "line").filter("path <> ''").distinct()).filter(column(P.VALID))
+    return R.file_dates(refs.select("norm", "line"), timehints.line_hints(lines(spark, d)))
+
+
+def lookup_names(spark, d):
+    return R.lookup_names(parts(spark, d).filter(column(P.VALID)), F.coalesce(column(HIGH_VALUE), F.lit(False)), 40)
+
+
+def label_rule_hits(spark, d):
+    labels = spark.range(3).selectExpr("array('INSULTS', 'licences', 'contact')[cast(id as int)] as client", "concat('set', id % 2, '.txt') as label")
+    return R.label_hits(rules.rule_hits(documents(spark, d), RULES), labels)
+
+
 def documents(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("file"), "text")
 
@@ -126,6 +149,8 @@ _REF_PATHS = f"(SELECT DISTINCT line, regexp_extract(line, '{P.ROOTED.replace(ch
 _REFS = f"(SELECT * FROM {steps_sql(_REF_PATHS, P.STEPS)} r WHERE {ansi_sql(P.VALID)})"
 _HINTS = f"(SELECT line, unnest((regexp_extract_all(line, '{timehints.HINT}'))[1:3]) AS hint FROM {LINES} l)"
 _DATED = f"(SELECT DISTINCT line, normal_hint AS hint FROM {steps_sql(_HINTS, timehints.STEPS)} h WHERE normal_hint IS NOT NULL)"
+_ROWS = f"(SELECT regexp_extract(row, '{P.DPS}', 1) AS path, regexp_extract(row, '{P.DPS}', 2) AS ts FROM (SELECT unnest(regexp_extract_all(line, '{P.DPS}')) AS row FROM {LINES} l) x)"
+_DPS = f"(SELECT * FROM {steps_sql(_ROWS, P.STEPS)} r WHERE {ansi_sql(P.VALID)} AND file_name NOT IN {P.DPS_EXCLUDED})"
 _MATCHED = {r.client: " + ".join("CASE WHEN contains(lower(text), '{}') THEN 1 ELSE 0 END".format(p.replace("'", "''")) for p in r.patterns) for r in RULES}
 _HITS = " UNION ALL ".join(
     f"SELECT file, '{r.client}' AS client, m AS matched, {r.needed} AS min_hits, {len(r.patterns)} AS patterns FROM (SELECT doc_id AS file, {_MATCHED[r.client]} AS m FROM documents) t WHERE m >= {r.needed}" for r in RULES
@@ -145,6 +170,13 @@ QUERIES = {
     "resolve_names": resolve_names,
     "status_rows": status_rows,
     "prefetch_status": prefetch_status,
+    "dps_events": lambda spark, d: P.dps_events(lines(spark, d)),
+    "dps_status": dps_status,
+    "file_dates": file_dates,
+    "lookup_names": lookup_names,
+    "label_rule_hits": label_rule_hits,
+    "other_disk": lambda spark, d: parts(spark, d).filter(column(P.both(P.VALID, P.OTHER_DISK))).select("norm").distinct(),
+    "deleted_split": lambda spark, d: absolute(spark, d).join(inventory(spark, d).select("cmp_path").distinct(), "cmp_path", "left_anti").select("norm", F.coalesce(column(P.DELETED_SIGNAL), F.lit(False)).alias("signal")).distinct(),
     "allowlist_split": allowlist,
     "seed_index": lambda spark, d: R.seed_index(absolute(spark, d)),
     "rule_hits": lambda spark, d: rules.rule_hits(documents(spark, d), RULES),
@@ -180,6 +212,14 @@ FROM x LEFT JOIN k ON x.norm = k.norm AND k.n <= 3 GROUP BY x.norm, x.file_name"
 WITH p AS (SELECT DISTINCT prefetch, program FROM {steps_sql(DISTINCT, [*P.STEPS, *P.PREFETCH_STEPS])} p WHERE prefetch IS NOT NULL),
 i AS (SELECT file_name, min(norm) AS path FROM {INVENTORY} i GROUP BY file_name)
 SELECT prefetch, program, path, CASE WHEN path IS NOT NULL THEN 'no deleted' ELSE 'program deleted' END AS status FROM p LEFT JOIN i ON program = file_name""",
+    "dps_events": f"SELECT DISTINCT norm, cmp_path, file_name, ts FROM {_DPS} e",
+    "dps_status": f"SELECT DISTINCT file_name, ts, CASE WHEN file_name IN (SELECT file_name FROM {INVENTORY} i) OR file_name LIKE '%0.exe' THEN 'no deleted' ELSE 'deleted' END AS status FROM {_DPS} e",
+    "file_dates": f"SELECT norm, string_agg(hint, ', ' ORDER BY hint) AS times FROM (SELECT DISTINCT r.norm, h.hint FROM {_REFS} r JOIN {_DATED} h ON r.line = h.line) x GROUP BY norm",
+    "lookup_names": f"SELECT file_name, high FROM (SELECT DISTINCT file_name, coalesce({ansi_sql(HIGH_VALUE)}, false) AS high FROM {PARTS} p WHERE {ansi_sql(P.VALID)}) x ORDER BY high DESC, file_name LIMIT 40",
+    "label_rule_hits": f"""SELECT file, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT file, label FROM ({_HITS}) h
+    JOIN (VALUES ('insults', 'set0.txt'), ('licences', 'set1.txt'), ('contact', 'set0.txt')) l(c, label) ON h.client = l.c) x GROUP BY file""",
+    "other_disk": f"SELECT DISTINCT norm FROM {PARTS} p WHERE {ansi_sql(P.both(P.VALID, P.OTHER_DISK))}",
+    "deleted_split": f"SELECT DISTINCT norm, coalesce({ansi_sql(P.DELETED_SIGNAL)}, false) AS signal FROM {PARTS} p WHERE {ansi_sql(P.VALID)} AND is_abs AND cmp_path NOT IN (SELECT cmp_path FROM {INVENTORY} i)",
     "allowlist_split": "SELECT doc_id AS file, sha256(text) AS sha256, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) AS known FROM documents",
     "seed_index": f"SELECT file_name, string_agg(norm, ',' ORDER BY norm) AS paths FROM (SELECT DISTINCT file_name, norm FROM {PARTS} p WHERE {ansi_sql(P.VALID)} AND is_abs) x GROUP BY file_name",
     "rule_hits": _HITS,
