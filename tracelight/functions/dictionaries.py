@@ -156,3 +156,20 @@ LOCAL_ENDPOINTS = ("127.0.0.1:", "localhost:", "::1", "0.0.0.0:", "socks5://127.
 GAME_MARKERS = ("minecraft", ".minecraft", "javaw.exe", "lunarclient", "badlion", "feather", "meteorclient", "fabric-loader", "forge", "autoclicker", "killaura")
 SUSPICIOUS_PORTS = (1337, 2222, 31337, 4444, 6666, 7777, 8081, 9001)
 LOCAL_PROXY_PORTS = (1080, 10808, 10809, 2080, 2081, 3128, 7890, 7891, 9050, 9090)
+EVENT_MARKERS = (
+    "eventid=4624", "eventid=4625", "eventid=4648", "eventid=4634", "eventid=4688", "eventid=4672", "eventid=7045", "eventid=6005", "eventid=6006", "taskscheduler/operational",
+    "security.evtx", "system.evtx",
+)
+GAME_CHEATS = (
+    "liquidbounce", "meteorclient", "wurst", "impact client", "future client", "baritone", "forgehax", "javaagent", "authlib-injector", "clicker", "reach", "velocity", "autoclicker",
+)
+SEARCH_MARKERS = ("windows.edb", "searchindexer", "windows search", "search-ms")
+THUMBNAIL_MARKERS = ("thumbcache", "iconcache", "thumbs.db")
+PERSISTENCE_MARKERS = (
+    "wmi event subscription", "__eventfilter", "__filtertoconsumerbinding", "commandlineeventconsumer", "ifeo", "silentprocessexit", "appinit_dlls", "knowndlls", "currentversion\\run",
+    "currentversion\\runonce",
+)
+INJECTION_MARKERS = (
+    "writeprocessmemory", "createremotethread", "ntcreatethreadex", "queueuserapc", "virtualalloc", "virtualprotect", "ntmapviewofsection", "manualmap", "shellcode", "rwx",
+    "page_execute_readwrite", "thread hijack",
+)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from tracelight.functions.dictionaries import ACTION_WORDS, LINK_SUFFIXES, LOG_NOISE, SCRIPT_EXTENSIONS, SHELL_LAUNCHERS, STREAM_EXTENSIONS, TRACKED_EXTENSIONS, TRIGGERS
-from tracelight.functions.text import URL_SCHEME, WORDS, all_of, any_of, both, count_of, either, has, matches, no, starts, token
+from tracelight.functions.text import URL_SCHEME, WORDS, all_of, any_of, both, count_of, either, has, matches, no, starts, token, with_steps
 
 SOURCE_NOISE = either(
     both(has("\\n"), any_of(['\\"', "fn ", "assert!(", "return "])),
@@ -62,3 +64,20 @@ ACTIONABLE_HIDING = both(
 TAGGABLE = both("@octets(line) <= 620", f"{WORDS} <= 96", no(SOURCE_NOISE))
 REGISTRY_WRITE = either(both(token("reg"), token("add", "import", "copy")), any_of(["new-itemproperty", "set-itemproperty"]))
 URL = URL_SCHEME
+#: Tests that many operators share: columns, so that a line is tested once.
+SHARED = [
+    ("is_source_noise", SOURCE_NOISE), ("is_documentation", DOCUMENTATION), ("has_launcher", LAUNCHER), ("has_url", URL_SCHEME), ("has_artifact_hint", ARTIFACT_HINT), ("is_chained", CHAINED),
+    ("is_extension_list", EXTENSION_LIST), ("has_stream_syntax", STREAM_SYNTAX), ("writes_registry", REGISTRY_WRITE), ("words", WORDS),
+]
+
+
+def shared(sql: str) -> str:
+    """sql with the shared tests as columns."""
+    for name, test in SHARED:
+        sql = sql.replace(test, name)
+    return sql
+
+
+def with_shared(lines: DataFrame) -> DataFrame:
+    """lines(line, lower) with the columns of SHARED."""
+    return with_steps(lines, SHARED)

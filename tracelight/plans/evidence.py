@@ -159,3 +159,11 @@ DUMP = [
     r"checksum mismatch {id}", r"example.com:9001 connect {id}", r"app=C:\Tools\b.exe tcp 10.0.0.1:1337 {id}", r"udp 1.2.3.4:50000 send {id}", r"iqvw64e.sys at C:\Temp\{id}",
     r'"tool_uses" tcp 8.8.8.8:4444 {id}', r"plain prose with no sign {id}", r"conhost history stdin stdout {id}", r"wmic process call create connect 9.9.9.9:4444 {id}",
 ]
+
+NOTED = [
+    r"security.evtx eventid=4624 user {id}", r"eventid=7045 service x{id}", r"eventid=4688 {id}", r"system.evtx {id}", r"taskscheduler/operational {id}", r"minecraft with liquidbounce {id}",
+    r"minecraft alone {id}", r"C:\ProgramData\Microsoft\Search\Data\windows.edb {id}", r"searchindexer.exe {id}", r"searchindexer.exe /embedding {id}",
+    r"C:\Users\u\AppData\Local\Microsoft\Windows\Explorer\thumbcache_{id}.db bypass", r"thumbcache_{id}.db", r"HKLM\Software\Microsoft\Windows\CurrentVersion\Run a{id}.exe",
+    r"HKLM\Software\Microsoft\Windows\CurrentVersion\Run nothing {id}", r"\KnownDlls\ntdll.dll {id}", r"\KnownDlls\evil{id}.dll", r"__EventFilter {id}",
+    r"\Device\HarddiskVolume3\Users\u\x{id}.exe   ran", r"\??\ c:\temp\y{id}.dll", r"ab", r"sec-websocket-key: {id}", r"plain words {id}", r"C:\Users\u\AppData\Roaming\hook{id}.dll",
+]

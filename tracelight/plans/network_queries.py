@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelight.functions.text import ansi_sql, lowered, steps_sql
-from tracelight.operators import detectors, taggers, triage
+from tracelight.functions.text import ansi_sql, column, lowered, steps_sql
+from tracelight.operators import detectors, dump, taggers, triage
 from tracelight.operators import network as N
 from tracelight.operators import report
 from tracelight.plans import command_queries
-from tracelight.plans.evidence import DUMP, rows, rows_sql
+from tracelight.plans.evidence import DUMP, NOTED, rows, rows_sql
 
 RAW = rows_sql(DUMP, "events", "event_id")
 LINES = f"(SELECT *, {ansi_sql(lowered('line'))} AS lower FROM {RAW} e)"
@@ -78,7 +78,36 @@ _TRIAGE = " UNION ALL ".join(
     f"SELECT DISTINCT '{f}' AS category, tag || ' | ' || line AS row FROM (SELECT line, {ansi_sql(taggers.tag_sql(f))} AS tag FROM {command_queries.LINES} l) t WHERE tag IS NOT NULL" for f in triage.BASE if f in taggers.FAMILIES
 )
 
+NOTED_LINES = f"(SELECT *, {ansi_sql(lowered('line'))} AS lower FROM {rows_sql(NOTED, 'events', 'event_id')} e)"
+ALL_LINES = f"(SELECT line, lower FROM {NOTED_LINES} a UNION ALL SELECT line, lower FROM {command_queries.LINES} b)"
+NEEDLES = ("liquidbounce", "ab")
+
+
+def noted(spark, d):
+    return detectors.with_lower(rows(spark, d, NOTED, "events", "event_id"))
+
+
+def fast_lines(spark, d):
+    own = noted(spark, d).select("line", "lower").unionByName(command_queries.lines(spark, d).select("line", "lower"))
+    return dump.fast_lines(own, NEEDLES)
+
+
+def dump_gates(spark, d):
+    return dump.normal_lines(noted(spark, d)).select("id", "line", column(dump.INTERESTING).alias("interesting"), column(dump.HARD).alias("hard"))
+
+
+def modules(spark, d):
+    return noted(spark, d).select((F.col("id") % 7).alias("source"), F.col("line").alias("module"), (F.col("id") % 2 == 0).alias("unloaded"))
+
+
+_NORMAL = f"(SELECT id, text AS line, lower FROM (SELECT *, {ansi_sql(lowered('text'))} AS lower FROM {steps_sql(rows_sql(NOTED, 'events', 'event_id'), dump.NORMAL)} n) x WHERE {ansi_sql(dump.FIT)})"
+_MODULE = "CASE WHEN id % 2 = 0 THEN 'unloaded-module' ELSE 'module' END"
+
 QUERIES = {
+    "fast_lines": fast_lines,
+    "dump_gates": dump_gates,
+    "dump_notes": lambda spark, d: dump.notes(noted(spark, d)),
+    "classify_modules": lambda spark, d: dump.classify_modules(modules(spark, d)),
     "endpoints": lambda spark, d: N.endpoints(lines(spark, d)).select("id", "endpoint", "port", "process", "bucket"),
     "dump_sections": lambda spark, d: N.sections(lines(spark, d)),
     "network_dedupe": lambda spark, d: N.network_dedupe(lines(spark, d)),
@@ -96,6 +125,13 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "fast_lines": f"SELECT DISTINCT line FROM {ALL_LINES} l WHERE {ansi_sql(dump.fast_gate(NEEDLES))}",
+    "dump_gates": f"SELECT id, line, {ansi_sql(dump.INTERESTING)} AS interesting, {ansi_sql(dump.HARD)} AS hard FROM {_NORMAL} n",
+    "dump_notes": f"SELECT DISTINCT {ansi_sql(dump.EVENT_TAG)} AS marker, line FROM {NOTED_LINES} l WHERE {ansi_sql(dump.EVENT_TAG)} IS NOT NULL UNION ALL "
+    + " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS marker, line FROM {NOTED_LINES} l WHERE {ansi_sql(t)}" for name, t in dump.NOTES.items()),
+    "classify_modules": f"""SELECT DISTINCT 'hidden_processes' AS section, 'unloaded-module' AS marker, line FROM {NOTED_LINES} l WHERE id % 2 = 0
+    UNION ALL SELECT DISTINCT 'suspicious_dll', {_MODULE}, line FROM {NOTED_LINES} l WHERE {ansi_sql(N.SUSPICIOUS_DLL)}
+    UNION ALL SELECT DISTINCT 'notes', 'module-persistence', line FROM {NOTED_LINES} l WHERE {ansi_sql(dump.PERSISTENT)}""",
     "endpoints": f"SELECT id, endpoint, port, process, bucket FROM {ENDPOINTS} l",
     "dump_sections": _SECTIONS,
     "network_dedupe": f"""WITH o AS (SELECT DISTINCT line, endpoint, port, process, bucket FROM {ENDPOINTS} l)
