@@ -132,11 +132,13 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP, spreads: int = SPREADS
         F.max("total").alias("total"), *[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in LEAST_SPREAD for side in ("low", "high")]
     )
     limits = [c for c in quartiles.columns if c.startswith(("low_", "high_"))]
-    at = lambda n, *keys: quartiles.filter(F.col("level") == n).select(*keys, *([F.col("total").alias(f"total_{n}")]), F.struct(*limits).alias(f"limits_{n}"))
-    one = F.lit(1).alias("every")
-    groups = at(0, "group_lang", "group_source", one).join(at(1, "group_lang"), "group_lang").join(at(2, one), "every")
-    chosen = F.when(F.col("total_0") >= min_group, F.col("limits_0")).when(F.col("total_1") >= min_group, F.col("limits_1")).otherwise(F.col("limits_2"))
-    return groups.select("group_lang", "group_source", chosen.alias("limits")).select("group_lang", "group_source", "limits.*")
+    quartiles = stored(quartiles)
+    every = quartiles.filter("level = 2").select(*limits).first()  # one row of twelve numbers
+    own = quartiles.filter("level = 0").select("group_lang", "group_source", F.col("total").alias("total_0"), F.struct(*limits).alias("limits_0"))
+    lang = quartiles.filter("level = 1").select("group_lang", F.col("total").alias("total_1"), F.struct(*limits).alias("limits_1"))
+    of_all = F.struct(*[F.lit(every[c] if every else None).cast("long").alias(c) for c in limits])
+    chosen = F.when(F.col("total_0") >= min_group, F.col("limits_0")).when(F.col("total_1") >= min_group, F.col("limits_1")).otherwise(of_all)
+    return own.join(lang, "group_lang").select("group_lang", "group_source", chosen.alias("limits")).select("group_lang", "group_source", "limits.*")
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def judged(rows: DataFrame) -> DataFrame:
         if m in LOWER_FENCE:
             beyond = beyond | (F.col(m) < F.col(f"low_{m}"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    out = rows.join(fences(sketches(rows)), ["group_lang", "group_source"])
+    out = rows.join(fences(stored(sketches(rows))), ["group_lang", "group_source"])
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
