@@ -51,12 +51,25 @@ QUERIES = {
 } | {f"{kind}_domains": lambda spark, d, kind=kind: L.host_counts(template_links(spark, d), kind) for kind in L.HOST_TESTS}
 
 
+def link_lines(spark, d):
+    return template_links(spark, d).select(F.concat(F.lit("see "), "link", F.lit(" and mail me@example.org or v1.2.example.com")).alias("line"))
+
+
+QUERIES["extract_links"] = lambda spark, d: L.extract_links(link_lines(spark, d))
+_LINES = f"(SELECT 'see ' || link || ' and mail me@example.org or v1.2.example.com' AS line FROM {TEMPLATES} t)"
+_URL, _URL_AT, _DOMAIN_AT = (ansi_sql(f"\x01{x}\x02") for x in (L.URL, L.URL_AT, L.DOMAIN_AT))
+_URLS = f"(SELECT unnest(regexp_extract_all(line, {_URL_AT}, 1)) AS link FROM {_LINES} l)"
+_BARE = f"(SELECT unnest(regexp_extract_all(rest, {_DOMAIN_AT}, 1)) AS link FROM (SELECT regexp_replace(line, {_URL}, ' | ', 'g') AS rest FROM {_LINES} l) r WHERE {test(L.NARROW)})"
+_FOUND = f"SELECT normal AS link FROM {steps_sql(_URLS, L.PARTS)} t WHERE {test(L.PLAUSIBLE)} UNION SELECT normal AS link FROM {steps_sql(_BARE, L.PARTS)} t WHERE {test(L.both(L.PLAUSIBLE, L.KEPT_BARE))}"
+
+
 def _keyword_sql(words):
     return f"SELECT DISTINCT keyword, display FROM {steps_sql(DISTINCT_TEMPLATES, [*L.PARTS, *L.keyword_link(words)])} t WHERE keyword IS NOT NULL"
 
 
 _MIN = "CASE WHEN (SELECT count(*) FROM h) > 40000 THEN 16 WHEN (SELECT count(*) FROM h) > 15000 THEN 12 WHEN (SELECT count(*) FROM h) > 6000 THEN 8 ELSE 4 END"
 ORACLE_SQL = {
+    "extract_links": _FOUND,
     "domain_frequency": f"""
 WITH h AS (SELECT host, count(*) AS n FROM {steps_sql(DISTINCT_PAGES, L.PARTS)} t WHERE {test(L.PARSED)} GROUP BY host)
 SELECT host, n FROM h WHERE n >= {_MIN} + CASE WHEN starts_with(host, 'www.') THEN 2 ELSE 0 END OR {test(L.NAMED_HOST)}

@@ -156,6 +156,15 @@ _HITS = " UNION ALL ".join(
     f"SELECT file, '{r.client}' AS client, m AS matched, {r.needed} AS min_hits, {len(r.patterns)} AS patterns FROM (SELECT doc_id AS file, {_MATCHED[r.client]} AS m FROM documents) t WHERE m >= {r.needed}" for r in RULES
 )
 
+def _refs_sql(source: str) -> str:
+    rooted, named = (ansi_sql(f"\x01{x}\x02") for x in (P.ROOTED, P.NAMED))
+    found = f"""(SELECT DISTINCT path FROM (SELECT unnest(regexp_extract_all(line, {rooted})) AS path FROM {source} l
+        UNION ALL SELECT unnest(regexp_extract_all(regexp_replace(line, {rooted}, '"', 'g'), {named}, 1)) AS path FROM {source} l) x)"""
+    return f"SELECT DISTINCT CASE WHEN is_abs THEN norm ELSE file_name END AS ref, file_name AS name, ext, is_abs FROM {steps_sql(found, P.STEPS)} p WHERE {ansi_sql(P.VALID)}"
+
+
+_STARTED = f"(SELECT unnest(regexp_extract_all(line, '{P.PROCESS_START}', 1)) AS line FROM {LINES} l)"
+
 QUERIES = {
     "normalize_paths": normalize_paths,
     "path_flags": path_flags,
@@ -190,6 +199,8 @@ ORACLE_SQL = {
     "distinct_paths": f"SELECT cmp_path, min(norm) AS norm FROM {PARTS} p WHERE norm <> '' GROUP BY cmp_path",
     "keyword_files_cheat": keyword_files_sql(CHEAT_ARTIFACTS),
     "keyword_files_bypass": keyword_files_sql(BYPASS_ARTIFACTS),
+    "file_refs": _refs_sql(LINES),
+    "process_starts": f"SELECT ref FROM ({_refs_sql(_STARTED)}) r",
     "time_hints": f"SELECT line, hint FROM {_DATED} d",
     "resolve_full": f"""
 WITH i AS {INVENTORY}, r AS (SELECT DISTINCT cmp_path, file_name, after_drive FROM {PARTS} p WHERE {ansi_sql(P.VALID)} AND is_abs),
