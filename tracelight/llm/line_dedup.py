@@ -51,9 +51,9 @@ def doc_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def bucket_keys(edits: int = EDITS) -> Column:
-    """An array of struct(bucket, indexed) for each line."""
-    length, parts, keys = F.char_length("line"), edits + 1, []
+def bucket_keys(edits: int = EDITS) -> tuple[Column, list[int]]:
+    """An array of each line's buckets, and the places in it of those that are in the index, too."""
+    length, parts, keys, indexed = F.char_length("line"), edits + 1, [], []
     for shorter in range(edits + 1):
         n = length - shorter
         base, over = F.floor(n / parts).cast("int"), (n % parts).cast("int")
@@ -63,17 +63,22 @@ def bucket_keys(edits: int = EDITS) -> Column:
             size = base + (over >= parts - i).cast("int")
             low, high = max(-i, shorter - (parts - 1 - i)), min(i, shorter + (parts - 1 - i))
             for off in range(low, high + 1):
-                bucket = F.xxhash64(F.lit(i), n, F.expr("line").substr(start + (off + 1), size))
-                keys.append(F.struct(bucket.alias("bucket"), F.lit(shorter == 0 and off == 0).alias("indexed")))
-    return F.array(*keys)
+                if shorter == 0 and off == 0:
+                    indexed.append(len(keys))
+                keys.append(F.xxhash64(F.lit(i), n, F.expr("line").substr(start + (off + 1), size)))
+    return F.array(*keys), indexed
 
 
-def line_links(lines: DataFrame, edits: int = EDITS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between hashes of different lines that are alike, from document_lines()."""
-    keyed = lines.select("h", F.explode(bucket_keys(edits)).alias("k")).select("h", "k.bucket", "k.indexed")
-    ends = keyed.groupBy("bucket").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between hashes of different lines that are alike.
+
+    keyed(h, keys) holds bucket_keys() of lines(h, line).
+    """
+    indexed = bucket_keys(edits)[1]
+    ends = keyed.select("h", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("h").alias("least"), F.max("h").alias("most"))
     shared = stored(ends.filter("least < most").select("bucket"))
-    members = stored(keyed.join(_small(shared), "bucket").groupBy("bucket", "h").agg(F.max("indexed").alias("indexed")))
+    placed = keyed.select("h", F.posexplode("keys").alias("place", "bucket")).join(_small(shared), "bucket")
+    members = stored(placed.groupBy("bucket", "h").agg(F.max(F.col("place").isin(indexed)).alias("indexed")))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max("indexed").alias("any")).filter("any").drop("any")
     members = stored(members.join(sizes, "bucket"))
     wanted = stored(members.select("h").distinct())
@@ -99,14 +104,15 @@ def line_links(lines: DataFrame, edits: int = EDITS, hot: int = HOT, block: int
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, doc_key and removed, the numbers of the lines that go, of documents that lose any."""
     lines = document_lines(docs, min_chars)
-    places = stored(lines.select("doc_id", "doc_key", "line_no", "h"))
+    # Each text is cut and hashed once; what follows reads numbers.
+    places = stored(lines.select("doc_id", "doc_key", "line_no", "h", bucket_keys(edits)[0].alias("keys")))
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc_key"), F.col("line_no"))
     first = stored(places.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")))
-    roots = components(line_links(lines, edits)).withColumnRenamed("node", "h")
+    roots = components(line_links(places.select("h", "keys"), lines, edits)).withColumnRenamed("node", "h")
     classed = first.join(roots, "h", "left").filter("root is not null or first <> last").withColumn("root", F.coalesce("root", "h"))
     heads = classed.groupBy("root").agg(F.min("first").alias("head"))
     heads = stored(classed.join(heads, "root").select("h", "head"))
-    gone = places.join(heads, "h").filter(at != F.col("head"))
+    gone = places.drop("keys").join(heads, "h").filter(at != F.col("head"))
     return gone.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
