@@ -131,7 +131,7 @@ def test_time_hints(spark):
 
 
 LINKS = {"https://github.com/test": True, "github.com/repo": True, "0.com": False, "00.mp": False}
-BARE = {"yandex.ru": False, "keyauth.win": True, "discord.gg/residencescreenshare": True}
+BARE = {"yandex.ru": False, "keyauth.win": True, "discord.gg/somewhere": True}
 
 
 def test_links(spark):

@@ -106,7 +106,7 @@ COMMANDS = [
 
 LINKS = [
     "https://github.com/test{id}", "github.com/repo{id}", "0.com", "00.mp", "HTTPS://User@WWW.Example.COM:443/a{id}?q=1", "http://example.net:8080/path{id}/", "yandex.ru", "keyauth.win",
-    "discord.gg/residence{id}", "https://keyauth.win/download{id}", "https://yandex.ru/search/?text=keyauth{id}", "https://cdn.keyauth.win/x{id}.exe",
+    "discord.gg/somewhere{id}", "https://keyauth.win/download{id}", "https://yandex.ru/search/?text=keyauth{id}", "https://cdn.keyauth.win/x{id}.exe",
     "https://files.example.com/CrystalDisk{id}.zip", "https://example.com/get?u=https://other.com/API{id}.dll", "https://github.com/search?q=autoclicker{id}",
     "https://github.com/x/AutoClicker/releases/tag/v1.{id}", "https://sourceforge.net/projects/sdelete/files/latest/download", "(https://example.org/a\\/b{id}),", "https://exa_mple.com/x{id}",
     "https://anydesk.com/en/downloads{id}", "https://abc{id}.ngrok.io/x", "http://trycloudflare.com/{id}", "https://example.unknownsuffix/{id}", "https://-bad.example.com/{id}",
