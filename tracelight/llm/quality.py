@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, stored, table
+from .common import SPACE_CLASS, WORD_CLASS, small, stored, table
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -31,6 +31,8 @@ SPREADS = 4
 #: Measures with their least spread.
 LEAST_SPREAD = {"m_word_length": 50, "m_symbols": 40, "m_dup_lines": 60, "m_repeats": 60, "m_bangs": 40, "m_capitals": 40}
 LOWER_FENCE = ("m_word_length",)
+#: Groups whose fences (under 200 bytes each) may be broadcast; more are shuffled.
+BROADCAST_GROUPS = 50_000
 
 
 def let(value: Column, f) -> Column:
@@ -149,7 +151,8 @@ def judged(rows: DataFrame) -> DataFrame:
         if m in LOWER_FENCE:
             beyond = beyond | (F.col(m) < F.col(f"low_{m}"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    out = rows.join(fences(stored(sketches(rows))), ["group_lang", "group_source"])
+    limits = small(stored(fences(stored(sketches(rows)))), BROADCAST_GROUPS)
+    out = rows.join(limits, ["group_lang", "group_source"])
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
