@@ -98,7 +98,10 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, hot: int
     near = lambda x, y: (x["h"] < y["h"]) & (F.abs(x["size"] - y["size"]) <= edits) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
     # Both orders of two blocks meet, so each pair is seen with the smaller hash on the left.
     found = F.flatten(F.transform("left", lambda x: F.transform(F.filter("right", lambda y: near(x, y)), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))))
-    return links.unionByName(one.join(two, "bucket").select(F.explode(found).alias("e")).select("e.a", "e.b").distinct())
+    # Few bytes but many comparisons: dealt over all partitions, which would else be put together.
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = one.join(two, "bucket").repartition(parts, "bucket", "i", "j")
+    return links.unionByName(met.select(F.explode(found).alias("e")).select("e.a", "e.b").distinct())
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
