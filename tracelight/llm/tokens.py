@@ -10,7 +10,7 @@ other white space, or with a special token's name, go to the library whole.
 from __future__ import annotations
 
 #: Parts that the memo holds before it starts again from the latest batch.
-MEMO_ENTRIES = 650_000
+MEMO_ENTRIES = 800_000
 #: Longer parts are forgotten after their batch, so that the memo's memory is bounded.
 MEMO_PART = 64
 #: Characters of new parts that go to the library at once.
@@ -143,7 +143,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 #: Bytes of text that are encoded at once in a worker; a longer text is a batch of its own.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 
 
 def encoded(batches, path: str):
