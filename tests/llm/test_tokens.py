@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -29,6 +30,15 @@ def test_memo_gives_the_library_s_ids():
             assert got.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_unicode_white_space_around_spaces():
+    """Every text of up to five of some white space, between words."""
+    blanks = [" ", "\xa0", "\u2003", "\x85", "\u3000", "\n"]
+    texts = ["word" + "".join(x) + "word" for n in range(1, 6) for x in itertools.product(blanks, repeat=n)]
+    ids, ends = encoder(vocabulary()).encode(pa.array(texts))
+    wrong = [t for t, got in zip(texts, np.split(ids, ends[:-1])) if got.tolist() != LIBRARY.encode(t, add_special_tokens=False).ids]
+    assert not wrong
+
+
 def test_packing_is_whole_and_certified(spark, odd_docs):
     rows = packing.pack_documents(odd_docs, part_rows=20).toPandas()
     texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}

@@ -15,8 +15,10 @@ MEMO_ENTRIES = 800_000
 MEMO_PART = 64
 #: Characters of new parts that go to the library at once.
 RUN_CHARS = 1 << 20
+#: White space as the splitter knows it, which is Unicode's (Arrow's own \s is ASCII's).
+_BLANK = r"[\s\x0b\x1c-\x1f\p{Z}\x{85}]"
 #: Texts in which a cut at a space might change ids.
-_UNSAFE = r"\s \s|^\s|\s$|<\|endoftext\|>"
+_UNSAFE = rf"{_BLANK} {_BLANK}|^{_BLANK}|{_BLANK}$|<\|endoftext\|>"
 _loaded: dict[str, "Encoder"] = {}
 
 
