@@ -79,3 +79,10 @@ def test_odd_documents(odd_docs, no_docs):
     out = line_dedup.deduplicated(odd_docs)
     assert out.columns == odd_docs.columns and out.filter(F.col("doc_id") == 5).count() == 3
     assert line_dedup.deduplicated(no_docs).count() == 0
+
+
+def test_short_lines_go_if_equal(spark, tmp_path):
+    docs = [(1, "All rights reserved.\n\nfirst"), (2, "second\n\nAll rights reserved."), (3, "All rights reserved!\n \n \nfirst\nfirst"), (4, "x" * 40 + "\nok"), (5, "y" + "x" * 39 + "\nok")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = line_dedup.op5_line_dedup(spark, str(tmp_path))
+    assert {r["doc_id"]: r["removed"] for r in rows.collect()} == {1: [], 2: [2], 3: [3, 4], 4: [], 5: [0, 1]}

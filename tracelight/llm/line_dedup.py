@@ -2,7 +2,8 @@
 
 Two lines are alike if at most EDITS insertions, deletions and replacements of characters turn one
 into the other; lines that are linked through others form one class, of which the first line (by
-doc_id, then place) stays. Lines of under MIN_CHARS characters are never removed.
+doc_id, then place) stays. Only lines of MIN_CHARS characters or more are compared so; with short,
+shorter ones with a word in them are alike if they are equal, without it they are never removed.
 
 The join splits a line of length n evenly into EDITS + 1 segments, of which an alike line holds at
 least one unchanged. Each line offers its segments to an index under its length and the segment's
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import WORD_CLASS, stored, table
 from .graph import components
 
 EDITS = 2
@@ -40,10 +41,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """doc_key, doc_id, line_no, line, h of the lines that take part."""
     lines = docs.select("doc_id", doc_key().alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.char_length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+    taken = F.char_length("line") >= min_chars
+    return lines.filter(taken | F.col("line").rlike(WORD_CLASS) if short else taken).withColumn("h", F.xxhash64("line"))
 
 
 def doc_key() -> Column:
@@ -104,14 +106,16 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, hot: int
     return links.unionByName(met.select(F.explode(found).alias("e")).select("e.a", "e.b").distinct())
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """doc_id, doc_key and removed, the numbers of the lines that go, of documents that lose any."""
-    lines = document_lines(docs, min_chars)
+    lines = document_lines(docs, min_chars, short)
+    # Short lines are in no bucket of the edit join.
+    keys = F.when(F.char_length("line") >= min_chars, bucket_keys(edits)[0])
     # Each text is cut and hashed once; what follows reads numbers.
-    places = stored(lines.select("doc_id", "doc_key", "line_no", "h", bucket_keys(edits)[0].alias("keys")))
+    places = stored(lines.select("doc_id", "doc_key", "line_no", "h", keys.alias("keys")))
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc_key"), F.col("line_no"))
     first = stored(places.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")))
-    roots = components(line_links(places.select("h", "keys"), lines, edits)).withColumnRenamed("node", "h")
+    roots = components(line_links(places.select("h", "keys").filter("keys is not null"), document_lines(docs, min_chars), edits)).withColumnRenamed("node", "h")
     classed = first.join(roots, "h", "left").filter("root is not null or first <> last").withColumn("root", F.coalesce("root", "h"))
     heads = classed.groupBy("root").agg(F.min("first").alias("head"))
     heads = stored(classed.join(heads, "root").select("h", "head"))
@@ -119,10 +123,10 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     return gone.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """row (the columns of docs), its lines' number, those removed, and kept_text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    removed = stored(removed_lines(own, edits, min_chars))
+    removed = stored(removed_lines(own, edits, min_chars, short))
     removed = removed.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"), "removed")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("doc_key", doc_key())
@@ -142,7 +146,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return rows.select(
         "row.doc_id", F.when(F.col("kept_text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
         "removed", F.coalesce(F.char_length("kept_text"), F.lit(0)).cast("long").alias("kept_chars"), F.crc32(F.coalesce("kept_text", F.lit(""))).alias("kept_crc32"),
