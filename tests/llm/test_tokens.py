@@ -25,7 +25,7 @@ def test_memo_gives_the_library_s_ids():
     tool = encoder(vocabulary())
     for a in range(0, len(texts), 300):
         own = texts[a : a + 300]
-        ids, ends = tool.encode(pa.array(own))
+        ids, ends = tool.encode(pa.array(own, pa.large_string()))
         for text, got in zip(own, np.split(ids, ends[:-1])):
             assert got.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
@@ -34,7 +34,7 @@ def test_unicode_white_space_around_spaces():
     """Every text of up to five of some white space, between words."""
     blanks = [" ", "\xa0", "\u2003", "\x85", "\u3000", "\n"]
     texts = ["word" + "".join(x) + "word" for n in range(1, 6) for x in itertools.product(blanks, repeat=n)]
-    ids, ends = encoder(vocabulary()).encode(pa.array(texts))
+    ids, ends = encoder(vocabulary()).encode(pa.array(texts, pa.large_string()))
     wrong = [t for t, got in zip(texts, np.split(ids, ends[:-1])) if got.tolist() != LIBRARY.encode(t, add_special_tokens=False).ids]
     assert not wrong
 

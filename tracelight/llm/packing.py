@@ -45,20 +45,18 @@ def pieces(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY,
 
         for batch, ids, ends in encoded(batches, path):
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-            row, number, start, length, crc = [], [], [], [], []
-            begin = 0
-            for i, stop in enumerate(ends.tolist()):
-                own = np.append(ids[begin:stop], np.uint32(end_id)).astype("<u4")
-                begin = stop
-                bounds = [*range(len(own), 0, -capacity), 0][::-1]
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    row.append(i)
-                    number.append(k)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(own[a:b]))
+            # All documents of the batch with their end ids.
+            whole = np.insert(ids, ends, end_id).astype("<u4", copy=False)
+            sizes = np.diff(ends, prepend=0) + 1
+            n = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), n)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            stop = (sizes - (n - 1) * capacity)[row] + number * capacity
+            start = np.where(number > 0, stop - capacity, 0)
+            at = (np.cumsum(sizes) - sizes)[row]
+            crc = [zlib.crc32(whole[a:b]) for a, b in zip((at + start).tolist(), (at + stop).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [doc_ids.take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [doc_ids.take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(stop - start, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 

@@ -1,13 +1,13 @@
 """Token-id files of independent zstandard frames with a trailing seek table.
 
 A file is: frames, each the 32-bit ids of a few whole documents; the seek table, a frame of its
-own; a footer of the table's length and CRC-32 and the mark below. The table has for each frame
-its stored length, raw length, CRC-32 of the stored bytes and number of documents, and for each
-document its id and number of ids. A reader needs the footer, the table and the frames that hold
-the documents it wants.
+own; a footer of the table's length and CRC-32, the mark below and a line feed. The table has for
+each frame its stored length, raw length, CRC-32 of the stored bytes and number of documents, and
+for each document its id and number of ids. A reader needs the footer, the table and the frames
+that hold the documents it wants.
 
 Files are written through Spark's text writer, one row a file, so that the writer's commit
-protocol covers lost tasks; the mark's line end is the writer's separator.
+protocol covers lost tasks; the line feed is that writer's.
 
 Documents are written in ascending doc_id order, null ids first, rows of equal ids in the order of
 a hash of their texts. Null texts are empty documents, which consist of the end id. An empty table
@@ -46,10 +46,10 @@ class FileWriter:
         self.stored: list[bytes] = []
         self.frames: list[tuple[int, int, int, int]] = []
         self.docs: list[tuple[bool, int, int]] = []
-        self.open: list[bytes] = []
+        self.open: list[bytes | memoryview] = []
         self.open_bytes = self.size = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes | memoryview) -> None:
         self.docs.append((doc_id is not None, doc_id or 0, len(ids) // 4))
         self.open.append(ids)
         self.open_bytes += len(ids)
@@ -127,9 +127,11 @@ def write_token_files(docs: DataFrame, path: str, vocab: str | None = None, end_
         writer, number = FileWriter(part, 0), 0
         for batch, ids, ends in encoded(batches, vocab):
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            # All documents of the batch with their end ids, of which the writer takes slices.
+            whole = memoryview(np.insert(ids, ends, end_id).astype("<u4", copy=False)).cast("B")
             begin = 0
-            for doc_id, stop in zip(doc_ids, ends.tolist()):
-                writer.add(doc_id, np.append(ids[begin:stop], np.uint32(end_id)).astype("<u4").tobytes())
+            for doc_id, stop in zip(doc_ids, (4 * (ends + np.arange(1, len(ends) + 1))).tolist()):
+                writer.add(doc_id, whole[begin:stop])
                 begin = stop
                 if writer.size >= FILE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], names=["file"])

@@ -4,21 +4,26 @@ The vocabulary's splitter never joins a space and the visible character before i
 be cut before each space that stands between visible characters; the ids of the parts, put
 together, are the ids of the text. Parts repeat far more often than texts, so each batch is cut
 by Arrow, and only parts that are not in the memo go to the library. Texts with a space between
-other white space, or with a special token's name, go to the library whole.
+other white space, or with an added token's name, go to the library whole; so do all texts where
+the vocabulary file names another splitter or a normalizer.
 """
 
 from __future__ import annotations
 
-#: Parts that the memo holds before it starts again from the latest batch.
-MEMO_ENTRIES = 800_000
-#: Longer parts are forgotten after their batch, so that the memo's memory is bounded.
+import json
+import re
+
+#: Parts that the memo holds before it drops those that few batches used.
+MEMO_ENTRIES = 400_000
+#: Bytes of a part from which on it isn't remembered, so that the memo's memory is bounded.
 MEMO_PART = 64
-#: Characters of new parts that go to the library at once.
-RUN_CHARS = 1 << 20
+#: Bytes of new parts that go to the library at once.
+RUN_BYTES = 1 << 18
 #: White space as the splitter knows it, which is Unicode's (Arrow's own \s is ASCII's).
 _BLANK = r"[\s\x0b\x1c-\x1f\p{Z}\x{85}]"
 #: Texts in which a cut at a space might change ids.
-_UNSAFE = rf"{_BLANK} {_BLANK}|^{_BLANK}|{_BLANK}$|<\|endoftext\|>"
+_UNSAFE = rf"{_BLANK} {_BLANK}|^{_BLANK}|{_BLANK}$"
+_EDGE = rf"^$|^{_BLANK}|{_BLANK}$"
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -27,106 +32,134 @@ class Encoder:
 
     def __init__(self, path: str):
         import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        splitter = model.get("pre_tokenizer") or {}
+        #: Whether texts may be cut at spaces.
+        self.cuts = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True) and not model.get("normalizer")
+        self.unsafe = "|".join([_UNSAFE, *(re.escape(x["content"]) for x in model.get("added_tokens") or [])])
         #: A token of a byte-level vocabulary has as many characters as it stands for bytes.
         self.width = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.width[i] = len(token)
-        self._forget()
+        self.words, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
 
-    def _forget(self) -> None:
+    def _keep(self, kept) -> None:
+        """Only the kept entries of the memo stay."""
         import numpy as np
+        import pyarrow as pa
 
-        self.memo: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        starts, sizes = self.starts[kept], self.sizes[kept]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.words, self.starts, self.sizes, self.uses = self.words.filter(pa.array(kept)), ends - sizes, sizes, np.zeros(len(sizes), np.int64)
 
-    def _whole(self, text: str):
+    def _whole(self, texts: list[str]) -> list:
         import numpy as np
 
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """The ids of words behind a space. Runs of them are encoded as one text and cut again."""
+    def _apart(self, words, between: str):
+        """(ids, sizes) of words that have visible edges, each with a mark beside it.
+
+        Runs of words are encoded as one text and cut again. A space stands before a word and
+        is a part of its ids; a line feed stands behind it and is a part, too.
+        """
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        ids, sizes, run, chars = [], [], [], 0
-
-        def flush():
-            nonlocal run, chars
-            if run:
-                got = self._whole(" " + " ".join(run))
-                byte_ends = np.cumsum(np.fromiter((len(x.encode()) for x in run), np.int64, len(run)) + 1)
-                ends = np.searchsorted(np.cumsum(self.width[got]), byte_ends) + 1
-                ids.append(got)
-                sizes.append(np.diff(ends, prepend=0))
-                run, chars = [], 0
-
-        plain = [x for x in words if x and not x[0].isspace() and not x[-1].isspace()]
-        for x in plain:
-            run.append(x)
-            chars += len(x)
-            if chars >= RUN_CHARS:
-                flush()
-        flush()
-        odd = [x for x in words if not x or x[0].isspace() or x[-1].isspace()]
-        for x in odd:
-            ids.append(self._whole(" " + x))
-            sizes.append(np.array([len(ids[-1])], np.int64))
-        if not ids:
-            return
-        n, at = len(self.sizes), len(self.ids)
-        new = np.concatenate(sizes)
-        self.memo.update(zip(plain + odd, range(n, n + len(new))))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.starts = np.concatenate([self.starts, at + np.cumsum(new) - new])
-        self.sizes = np.concatenate([self.sizes, new])
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        byte_ends = np.cumsum(np.asarray(pc.binary_length(words)).astype(np.int64) + 1)
+        bounds = np.unique(np.concatenate([np.searchsorted(byte_ends, np.arange(0, byte_ends[-1], RUN_BYTES)), [len(words)]]))
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), pa.scalar(between, words.type))
+        ids = np.concatenate([self._whole([between + x if between == " " else x + between])[0] for x in runs.to_pylist()])
+        ends = np.searchsorted(np.cumsum(self.width[ids]), byte_ends) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, words):
+        """(words in another order, ids, sizes) of words behind a space."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring_regex(words, _EDGE)
+        plain, rest = words.filter(pc.invert(odd)), words.filter(odd)
+        ids, sizes = self._apart(plain, " ")
+        more = self._whole([" " + x for x in rest.to_pylist()]) if len(rest) else []
+        return pa.concat_arrays([plain, rest]), np.concatenate([ids, *more]), np.concatenate([sizes, np.fromiter(map(len, more), np.int64, len(more))])
+
+    def _heads(self, heads):
+        """(ids, starts, sizes) of the parts that texts begin with; an empty one has no ids."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        some = np.asarray(pc.not_equal(heads, ""))
+        ids, sizes = self._apart(heads.filter(some), "\n")
+        starts, lengths = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
+        # The mark behind a head is one id, which is left out.
+        starts[some], lengths[some] = np.cumsum(sizes) - sizes, sizes - 1
+        return ids, starts, lengths
 
     def encode(self, texts) -> tuple:
-        """texts: an Arrow array of strings without nulls."""
+        """texts: an Arrow array of large strings without nulls."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        whole = {}
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        unsafe = pc.or_(pc.match_substring_regex(texts, _UNSAFE), pc.not_equal(pc.utf8_trim_whitespace(texts), texts))
-        if pc.any(unsafe).as_py():
-            whole = {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(np.asarray(unsafe))}
-            texts = pc.if_else(unsafe, pa.scalar("", texts.type), texts)
+        unsafe = np.asarray(pc.match_substring_regex(texts, self.unsafe)) if self.cuts else np.ones(len(texts), bool)
+        whole = {}
+        if unsafe.any():
+            for at in np.flatnonzero(unsafe).tolist():
+                whole[at] = self._whole([texts[at].as_py()])[0]
+            texts = pc.if_else(pa.array(unsafe), pa.scalar("", texts.type), texts)
         parts = pc.split_pattern(texts, " ")
         ends = np.asarray(parts.offsets)[1:].astype(np.int64) - parts.offsets[0].as_py()
         first = np.concatenate([[0], ends[:-1]])
-        coded = parts.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        codes = np.asarray(coded.indices).astype(np.int64)
+        flat = parts.flatten()
+        coded = flat.dictionary_encode()
+        codes = np.asarray(coded.indices)
         behind = np.ones(len(codes), bool)
         behind[first] = False
-        used = np.zeros(len(names), bool)
+        used = np.zeros(len(coded.dictionary), bool)
         used[codes[behind]] = True
-        if len(self.memo) > MEMO_ENTRIES:
-            self._forget()
-        memo = self.memo
-        self._learn([x for x, u in zip(names, used) if u and x not in memo])
-        slots = np.fromiter((memo.get(x, 0) for x in names), np.int64, len(names))[codes]
-        # A text's first part has no space before it, so it is encoded for itself.
-        heads = [np.zeros(0, np.uint32) if i in whole else self._whole(names[codes[j]]) for i, j in enumerate(first)]
-        store = np.concatenate([self.ids, *heads])
-        sizes, starts = self.sizes[slots] if len(self.sizes) else np.zeros(len(slots), np.int64), self.starts[slots] if len(self.starts) else np.zeros(len(slots), np.int64)
-        lengths = np.fromiter(map(len, heads), np.int64, len(heads))
-        sizes[first], starts[first] = lengths, len(self.ids) + np.cumsum(lengths) - lengths
-        stops = np.cumsum(sizes)
-        out = store[np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
-        text_ends = stops[ends - 1] if len(ends) else np.zeros(0, np.int64)
-        for x in names:
-            if len(x) > MEMO_PART:
-                memo.pop(x, None)
+        place = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1)).astype(np.int64)
+        self.uses[place[used & (place >= 0)]] += 1
+        new = used & (place < 0)
+        names, ids, sizes = self._learn(coded.dictionary.filter(pa.array(new)))
+        place[np.asarray(pc.index_in(names, value_set=coded.dictionary)).astype(np.int64)] = len(self.words) + np.arange(len(names))
+        own_starts = len(self.ids) + np.cumsum(sizes) - sizes
+        head_ids, head_starts, head_sizes = self._heads(flat.take(pa.array(first)))
+        store = np.concatenate([self.ids, ids, head_ids])
+        all_starts, all_sizes = np.concatenate([self.starts, own_starts, [0]]), np.concatenate([self.sizes, sizes, [0]])
+        slots = place[codes]
+        starts, lengths = all_starts[slots], all_sizes[slots]
+        starts[first], lengths[first] = head_starts + len(self.ids) + len(ids), head_sizes
+        stops = np.cumsum(lengths)
+        out = store[np.repeat(starts - stops + lengths, lengths) + np.arange(stops[-1])]
+        text_ends = stops[ends - 1]
+
+        short = np.asarray(pc.less_equal(pc.binary_length(names), MEMO_PART))
+        self.words = pa.concat_arrays([self.words, names.filter(pa.array(short))])
+        self.ids, self.starts, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.starts, own_starts[short]]), np.concatenate([self.sizes, sizes[short]])
+        self.uses = np.concatenate([self.uses, np.zeros(int(short.sum()), np.int64)])
+        if len(self.words) > MEMO_ENTRIES:
+            # Half of them stay at most, those that most batches used.
+            least = max(1, int(np.partition(self.uses, -(MEMO_ENTRIES // 2))[-(MEMO_ENTRIES // 2)]))
+            kept = self.uses >= least
+            self._keep(kept if kept.sum() <= MEMO_ENTRIES * 3 // 4 else self.uses > least)
         if whole:
             pieces = np.split(out, text_ends[:-1])
-            for i, ids in whole.items():
-                pieces[i] = ids
+            for i, own in whole.items():
+                pieces[i] = own
             out, text_ends = np.concatenate(pieces), np.cumsum([len(x) for x in pieces])
         return out, text_ends
 
@@ -145,7 +178,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 #: Bytes of text that are encoded at once in a worker; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 
 
 def encoded(batches, path: str):
