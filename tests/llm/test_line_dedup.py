@@ -15,9 +15,9 @@ def distance(a, b):
     return row[-1]
 
 
-def slow(docs, edits, min_chars):
+def slow(docs, edits=line_dedup.EDITS, per=line_dedup.CHARS_PER_EDIT):
     """Removed line numbers by row: docs are (doc_id, text)."""
-    places = [(i is None, i or 0, n, x, r) for r, (i, t) in enumerate(docs) if t is not None for n, x in enumerate(t.split("\n")) if len(x) >= min_chars]
+    places = [(i is None, i or 0, n, x, r) for r, (i, t) in enumerate(docs) if t is not None for n, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
     names = sorted({p[3] for p in places})
     group = {x: x for x in names}
 
@@ -28,7 +28,8 @@ def slow(docs, edits, min_chars):
 
     for i, a in enumerate(names):
         for b in names[:i]:
-            if abs(len(a) - len(b)) <= edits and top(a) != top(b) and distance(a, b) <= edits:
+            t = min(edits, min(len(a), len(b)) // per)
+            if t and abs(len(a) - len(b)) <= t and top(a) != top(b) and distance(a, b) <= t:
                 group[top(a)] = top(b)
     first = {}
     for p in places:
@@ -38,7 +39,7 @@ def slow(docs, edits, min_chars):
 
 def edited(rnd, line, n):
     for _ in range(n):
-        at = rnd.randrange(len(line))
+        at = rnd.randrange(len(line) + 1)
         kind = rnd.randrange(3)
         line = line[:at] + ("" if kind == 0 else rnd.choice("abé ")) + line[at + (kind != 1) :]
     return line
@@ -46,31 +47,60 @@ def edited(rnd, line, n):
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_against_brute_force(spark, edits):
+    """Lines of all lengths, of which the shortest must be equal."""
     rnd = random.Random(edits)
     make = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
-    bases = [make(rnd.randint(9, 16)) for _ in range(12)]
+    bases = [make(rnd.randint(3, 24)) for _ in range(16)]
     docs = []
     for i in range(60):
         lines = [edited(rnd, rnd.choice(bases), rnd.randint(0, 5)) if rnd.random() < 0.7 else make(rnd.randint(0, 16)) for _ in range(rnd.randint(0, 5))]
         docs.append((i, "\n".join(lines)))
     docs += [(100, None), (101, ""), (None, bases[0] + "\n" + make(12)), (102, bases[0] + "\n" + bases[0])]
-    rows = line_dedup.dedup_lines(spark.createDataFrame([(*d, r) for r, d in enumerate(docs)], "doc_id long, text string, h long"), edits=edits, min_chars=8)
+    rows = line_dedup.dedup_lines(spark.createDataFrame([(*d, r) for r, d in enumerate(docs)], "doc_id long, text string, h long"), edits=edits, per=6)
     got = {r["row"]["h"]: r["removed"] for r in rows.collect()}
-    assert got == slow(docs, edits, 8)
+    assert got == slow(docs, edits, 6)
 
 
-def test_hot_buckets_lose_no_link(spark):
+def test_automaton_against_distances(spark):
+    rnd = random.Random(8)
+    pairs = []
+    for i in range(400):
+        x = "".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 90)))
+        y = edited(rnd, x, rnd.randint(0, 4)) or "a"
+        pairs.append((i, x, y))
+    rows = spark.createDataFrame([p for p in pairs if p[1] and p[2]], "i long, x string, y string")
+    for t in (1, 2, 3):
+        sized = rows.selectExpr("i", "x", "y", "char_length(x) AS m", "char_length(y) AS n", "split(x, '') AS cx", "split(y, '') AS cy").filter(f"abs(m - n) <= {t}")
+        got = sized.select("x", "y", line_dedup.within(F.col("cx"), F.col("cy"), F.col("m"), F.col("n"), t).alias("near")).collect()
+        assert got and all(r["near"] == (distance(r["x"], r["y"]) <= t) for r in got)
+
+
+def hot_lines(kind, n):
+    """Lines that share long passages: changed copies, an opening alone, a frame around a word, numbers."""
     rnd = random.Random(9)
-    base = "".join(rnd.choice("abcdefgh ") for _ in range(60))
-    docs = [(i, edited(rnd, base, rnd.randint(1, 3))) for i in range(150)]
-    rows = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {r["row"]["doc_id"]: r["removed"] for r in rows.collect()} == slow(docs, 2, line_dedup.MIN_CHARS)
+    make = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    base, opening, end = make(60), make(37), make(30)
+    if kind == "copies":
+        return [edited(rnd, base, rnd.randint(1, 3)) for _ in range(n)]
+    if kind == "opening":
+        return [edited(rnd, opening + make(50), rnd.randint(0, 1)) for _ in range(n // 2)] + [opening + make(3) + end[:20] + rnd.choice("xyz") for _ in range(n // 2)]
+    if kind == "frame":
+        return [opening + make(9) + end for _ in range(n)]
+    return [f"{opening} {rnd.randrange(10**6)} {end}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["copies", "opening", "frame", "numbers"])
+def test_hot_buckets_lose_no_link(spark, kind):
+    docs = list(enumerate(hot_lines(kind, 80)))
+    rows = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), hot=10)
+    assert {r["row"]["doc_id"]: r["removed"] for r in rows.collect()} == slow(docs)
 
 
 def test_shuffled_sides_give_the_same(spark, odd_docs, monkeypatch):
     key = lambda df: sorted(map(str, df.select("row.doc_id", "removed", "kept_text").collect()))
     want = key(line_dedup.dedup_lines(odd_docs))
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_NUMBERS", -1)
     assert key(line_dedup.dedup_lines(odd_docs)) == want
 
 
@@ -82,7 +112,7 @@ def test_odd_documents(odd_docs, no_docs):
 
 
 def test_short_lines_go_if_equal(spark, tmp_path):
-    docs = [(1, "All rights reserved.\n\nfirst"), (2, "second\n\nAll rights reserved."), (3, "All rights reserved!\n \n \nfirst\nfirst"), (4, "x" * 40 + "\nok"), (5, "y" + "x" * 39 + "\nok")]
+    docs = [(1, "All rights reserved\n\nfirst"), (2, "second\n\nAll rights reserved"), (3, "All rights reserved!!\n \n \nfirst\nfirst"), (4, "x" * 40 + "\nok"), (5, "y" + "x" * 39 + "\nok"), (6, "yy" + "x" * 35)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = line_dedup.op5_line_dedup(spark, str(tmp_path))
-    assert {r["doc_id"]: r["removed"] for r in rows.collect()} == {1: [], 2: [2], 3: [3, 4], 4: [], 5: [0, 1]}
+    assert {r["doc_id"]: r["removed"] for r in rows.collect()} == {1: [], 2: [2], 3: [3, 4], 4: [], 5: [0, 1], 6: []}

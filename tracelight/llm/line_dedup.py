@@ -1,51 +1,66 @@
 """Removal of lines that repeat, or nearly repeat, earlier lines of any document.
 
-Two lines are alike if at most EDITS insertions, deletions and replacements of characters turn one
-into the other; lines that are linked through others form one class, of which the first line (by
-doc_id, then place) stays. Only lines of MIN_CHARS characters or more are compared so; with short,
-shorter ones with a word in them are alike if they are equal, without it they are never removed.
-
-The join splits a line of length n evenly into EDITS + 1 segments, of which an alike line holds at
-least one unchanged. Each line offers its segments to an index under its length and the segment's
-number, and asks for those substrings of itself that can be a segment of a line of its length or
-up to EDITS shorter (the multi-match-aware positions). Buckets, hashes of such keys, are first
-reduced to the least and greatest line in them by partial aggregation, which drops all that hold
-a single line; only lines in the others are looked at again. Pairs of a bucket are verified by
-the banded edit distance that Spark has built in. A bucket of over HOT lines is verified in blocks
-of lines, so that its pairs are compared within rows and only links leave them.
-
-Lines are cut at line feeds. Lines are told apart by a 64-bit hash. Null texts stay null; empty
-texts have one empty line. Rows of equal doc_id and text keep the same lines. Null doc_ids come
-last. An empty table gives an empty result; other columns pass through. All work is done by
-DataFrame functions.
+Two lines are alike if t insertions, deletions and replacements of characters turn one into the
+other, where t is the shorter line's length divided by CHARS_PER_EDIT, EDITS at most; so lines of
+under CHARS_PER_EDIT characters are alike only if they are equal. Lines that are linked through
+others form one class, of which the first line (by doc_id, then place) stays. Every line with a
+word takes part; blank lines are never removed.
+
+The join splits a line evenly into t + 1 segments, of which an alike line holds at least one
+unchanged. Each line offers its segments to an index under its length and the segment's number,
+and asks for those substrings of itself that can be a segment of a line of its length or up to t
+shorter (the multi-match-aware positions). Pairs with equal first segments need no other bucket,
+and those with equal last ones no bucket between. So buckets, hashes of such keys, are first reduced
+by partial aggregation to the extremes of their lines and of these lines' end segments, which drops
+all that hold a single line, or lines that meet elsewhere anyway; only lines in the others are
+looked at again.
+
+A bucket of at most HOT lines gives its pairs. In a larger one all lines are compared with its
+least line. If its lines aren't all connected by then, the segment that they share is cut out of
+them, which leaves the edits of every pair in what is left, and the same join divides the bucket by
+that, for pairs that aren't connected yet: so the work grows with the lines of a bucket, not with
+their pairs. Where under SHORT characters are left of each segment, the lines differ in little else,
+and the rest is compared in blocks of lines.
+
+An edit changes the length by one and the counts of two characters by one at most, so pairs whose
+lengths and counts of common characters are too far apart go first. The others are verified by a banded bit-parallel automaton. Bit b of row e tells whether e edits turn
+the first j characters of one line into the first j + b - t of the other; the rows for all e up to
+t lie in one number, which each character of the line updates by shifts.
+
+Lines are cut at line feeds and told apart by two 64-bit hashes. Null texts stay null; empty texts
+have one empty line. Rows of equal doc_id and text keep the same lines. Null doc_ids come last. An
+empty table gives an empty result; other columns pass through. All work is done by DataFrame
+functions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, stored, table
+from .common import WORD_CLASS, small, stored, table
 from .graph import components
 
 EDITS = 2
-MIN_CHARS = 40
-#: Lines of a bucket whose pairs become rows; larger buckets are compared in blocks of BLOCK.
-HOT, BLOCK = 16, 32
-#: Rows of two numbers (32 MB at most) that may be broadcast; larger sides are shuffled.
+CHARS_PER_EDIT = 20
+#: Lines of a bucket whose pairs become rows; larger buckets are divided.
+HOT = 16
+#: Characters of a segment under which buckets aren't divided any more, and lines of a block there.
+SHORT, BLOCK = 4, 32
+#: Characters that are counted before lines are compared; any set gives the same results.
+COMMON = " etaoinsrhldu"
+#: Rows of a few numbers (64 MB at most) that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Numbers in the arrays of lines that documents lose (16 bytes of a row counted as four) that may be broadcast.
+BROADCAST_NUMBERS = 6_000_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored df, broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """doc_key, doc_id, line_no, line, h of the lines that take part."""
+def document_lines(docs: DataFrame) -> DataFrame:
+    """doc_key, doc_id, line_no, line and its hashes h and g of the lines that take part."""
     lines = docs.select("doc_id", doc_key().alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    taken = F.char_length("line") >= min_chars
-    return lines.filter(taken | F.col("line").rlike(WORD_CLASS) if short else taken).withColumn("h", F.xxhash64("line"))
+    return lines.filter(F.col("line").rlike(WORD_CLASS)).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
 
 def doc_key() -> Column:
@@ -53,84 +68,203 @@ def doc_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def bucket_keys(edits: int = EDITS) -> tuple[Column, list[int]]:
-    """An array of each line's buckets, and the places in it of those that are in the index, too."""
-    length, parts, keys, indexed = F.char_length("line"), edits + 1, [], []
-    for shorter in range(edits + 1):
-        n = length - shorter
-        base, over = F.floor(n / parts).cast("int"), (n % parts).cast("int")
-        for i in range(parts):
-            # The last `over` segments are longer by one.
-            start = base * i + F.greatest(F.lit(0), over - (parts - i))
-            size = base + (over >= parts - i).cast("int")
-            low, high = max(-i, shorter - (parts - 1 - i)), min(i, shorter + (parts - 1 - i))
-            for off in range(low, high + 1):
-                if shorter == 0 and off == 0:
-                    indexed.append(len(keys))
-                keys.append(F.xxhash64(F.lit(i), n, F.expr("line").substr(start + (off + 1), size)))
-    return F.array(*keys), indexed
-
-
-def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between hashes of different lines that are alike.
-
-    keyed(h, keys) holds bucket_keys() of lines(h, line).
+def allowed(length: Column, edits: int = EDITS, per: int = CHARS_PER_EDIT) -> Column:
+    """The edits at which lines are still alike, of which the shorter has this length."""
+    return F.least(F.lit(edits), F.floor(length / per)).cast("int")
+
+
+class Segments:
+    """The places of a text at which it is looked up, in their order in an array of keys.
+
+    Texts that may differ in t edits have places of their own for each t; t_of(n) tells which of
+    them hold for partners of n characters, at least.
     """
-    indexed = bucket_keys(edits)[1]
-    ends = keyed.select("h", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("h").alias("least"), F.max("h").alias("most"))
-    shared = stored(ends.filter("least < most").select("bucket"))
-    placed = keyed.select("h", F.posexplode("keys").alias("place", "bucket")).join(_small(shared), "bucket")
-    members = stored(placed.groupBy("bucket", "h").agg(F.max(F.col("place").isin(indexed)).alias("indexed")))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max("indexed").alias("any")).filter("any").drop("any")
-    members = stored(members.join(sizes, "bucket"))
-    wanted = stored(members.select("h").distinct())
-    texts = stored(lines.select("h", "line").join(_small(wanted), "h").dropDuplicates(["h"]))
-
-    few = members.filter(F.col("n") <= hot)
-    pairs = few.filter("indexed").select("bucket", F.col("h").alias("a")).join(few.select("bucket", F.col("h").alias("b")), "bucket").filter("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    alike = lambda x, y: (F.abs(F.char_length(x) - F.char_length(y)) <= edits) & (F.levenshtein(x, y, edits) >= 0)
-    links = pairs.filter(alike(F.col("x"), F.col("y"))).select("a", "b")
-
-    many = members.filter(F.col("n") > hot).join(texts, "h")
-    dealt = F.pmod(F.xxhash64("h", "bucket"), F.ceil(F.col("n") / block))
-    blocks = stored(many.groupBy("bucket", dealt.alias("block")).agg(F.collect_list(F.struct("h", "line", F.char_length("line").alias("size"))).alias("own")))
-    one, two = blocks.select("bucket", F.col("block").alias("i"), F.col("own").alias("left")), blocks.select("bucket", F.col("block").alias("j"), F.col("own").alias("right"))
-    near = lambda x, y: (x["h"] < y["h"]) & (F.abs(x["size"] - y["size"]) <= edits) & (F.levenshtein(x["line"], y["line"], edits) >= 0)
+
+    def __init__(self, text: Column, t_of, edits: int, *scope: Column):
+        length, self.keys, self.starts, self.sizes, self.t, self.indexed = F.char_length(text), [], [], [], [], []
+        #: For each place those of the first and the last segment, which a pair that it serves doesn't share.
+        self.ends: list[tuple[int, int] | None] = []
+        for t in range(1, edits + 1):
+            for shorter in range(t + 1):
+                n, first, last = length - shorter, len(self.keys), sum(len(self.offsets(t, shorter, i)) for i in range(t)) + len(self.keys)
+                base, over = F.floor(n / (t + 1)).cast("int"), (n % (t + 1)).cast("int")
+                for i in range(t + 1):
+                    # The last `over` segments are longer by one.
+                    own = base * i + F.greatest(F.lit(0), over - (t + 1 - i))
+                    size = base + (over >= t + 1 - i).cast("int")
+                    for off in self.offsets(t, shorter, i):
+                        if shorter == 0 and off == 0:
+                            self.indexed.append(len(self.keys))
+                        key = F.xxhash64(*scope, F.lit(t), F.lit(i), n, text.substr(own + (off + 1), size))
+                        self.keys.append(F.when((t_of(n) == t) & (base > 0), key))
+                        self.starts.append(own + off)
+                        self.sizes.append(size)
+                        self.t.append(t)
+                        self.ends.append((first, first if i == t else last) if i else None)
+
+    @staticmethod
+    def offsets(t: int, shorter: int, i: int) -> range:
+        """How far segment i may have moved in a line that is longer by so much; one place for the first and the last."""
+        return range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1)
+
+    def without(self, text: Column, place: Column) -> Column:
+        """The text without its segment at that place."""
+        at, size = F.array(*self.starts)[place], F.array(*self.sizes)[place]
+        return F.concat(text.substr(F.lit(1), at), text.substr(at + size + 1, F.char_length(text)))
+
+
+def within(x: Column, y: Column, m: Column, n: Column, t: int) -> Column:
+    """Whether t edits turn characters x (an array of m) into y (of n), which differ by at most t in number."""
+    width = 2 * t + 1
+    mask = (1 << width) - 1
+    one = lambda k: F.lit(1 << k).cast("long")
+    none = F.lit(0).cast("long")
+
+    def same(j: Column) -> Column:
+        """Which of x's characters from j - t to j + t are y's character j."""
+        return reduce(Column.bitwiseOR, [F.when(F.get(x, j + (b - t - 1)) == F.get(y, j - 1), one(b)).otherwise(none) for b in range(width)])
+
+    def step(rows: Column, same: Column) -> Column:
+        """The rows for one more character of y."""
+        new: list[Column] = []
+        for e in range(t + 1):
+            row = rows[f"r{e}"].bitwiseAND(same)
+            if e:
+                less = rows[f"r{e - 1}"]
+                row = row.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(new[e - 1], 1)).bitwiseAND(F.lit(mask).cast("long"))
+            new.append(row)
+        return F.struct(*[r.alias(f"r{e}") for e, r in enumerate(new)])
+
+    start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << t).cast("long").alias(f"r{e}") for e in range(t + 1)])
+    # Position m of x is bit m - n + t of the last row.
+    return F.aggregate(F.transform(F.sequence(F.lit(1), n), same), start, step, lambda rows: F.pmod(F.floor(rows[f"r{t}"] / F.pow(F.lit(2), m - n + t)), F.lit(2)) == 1)
+
+
+def may_be_alike(x: Column, y: Column, edits: int) -> Column:
+    """False for lines whose counts of some common characters differ by more than edits can make."""
+    count = lambda c, k: F.char_length(c) - F.char_length(F.replace(c, F.lit(k), F.lit("")))
+    return sum((F.abs(count(x, k) - count(y, k)) for k in COMMON), F.abs(F.char_length(x) - F.char_length(y))) <= 3 * edits
+
+
+def alike(x: Column, y: Column, edits: int, per: int) -> Column:
+    """Whether two different lines are alike."""
+    m, n = F.char_length(x), F.char_length(y)
+    t = allowed(F.least(m, n), edits, per)
+    # Lines are cut into characters once for each pair, not for each step.
+    near = lambda k: F.transform(F.array(F.struct(F.split(x, "").alias("x"), F.split(y, "").alias("y"), m.alias("m"), n.alias("n"))), lambda s: within(s["x"], s["y"], s["m"], s["n"], k))[0]
+    return reduce(lambda rest, k: F.when((t == k) & (F.abs(m - n) <= k), near(k)).otherwise(rest), range(1, edits + 1), F.lit(False))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per: int) -> DataFrame:
+    """Those of pairs(a, b) of texts(h, line) that are alike."""
+    side = lambda h, c: texts.select(F.col("h").alias(h), F.col("line").alias(c))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    # Few bytes but many comparisons: written in as many files as there are partitions, because the
+    # optimizer would else compare within the join, in the one partition that so few bytes get.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = stored(both.filter(may_be_alike(F.col("x"), F.col("y"), edits)).repartition(parts, "a", "b"))
+    return both.filter(alike(F.col("x"), F.col("y"), edits, per)).select("a", "b")
+
+
+def _members(keyed: DataFrame, segments: Segments) -> DataFrame:
+    """bucket, rid, h, root, place, p, q, n and least of rows(rid, h, root, keys) in buckets that link lines.
+
+    Only lines of a bucket that differ in root, p and q need to meet in it.
+    """
+    key = lambda k: F.col("keys")[k]
+    places = [F.struct(F.lit(k).alias("place"), key(k).alias("bucket"), (key(e[0]) if e else F.col("h")).alias("p"), (key(e[1]) if e else F.col("h")).alias("q")) for k, e in enumerate(segments.ends)]
+    placed = keyed.select("rid", "h", "root", F.explode(F.array(*places)).alias("x")).select("rid", "h", "root", "x.*").filter("bucket is not null")
+    ends = placed.groupBy("bucket").agg(F.min("h").alias("least"), *[f(c).alias(f.__name__ + c) for c in ("root", "p", "q") for f in (F.min, F.max)])
+    shared = stored(ends.filter("minroot < maxroot and minp < maxp and minq < maxq").select("bucket", "least"))
+    placed = stored(placed.join(small(shared, BROADCAST_ROWS), "bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.col("place").isin(segments.indexed)).alias("any")).filter("any").drop("any")
+    return stored(placed.join(sizes, "bucket"))
+
+
+def _in_blocks(rows: DataFrame, texts: DataFrame, block: int, edits: int, per: int) -> DataFrame:
+    """Links between lines of a scope and different roots of rows(scope, h, root), which are compared in blocks."""
+    sizes = rows.groupBy("scope").agg(F.count("*").alias("n"))
+    rows = rows.join(sizes, "scope").join(texts, "h")
+    dealt = F.pmod(F.xxhash64("h", "scope"), F.ceil(F.col("n") / block))
+    lines = F.struct("h", "root", "line")
+    blocks = stored(rows.groupBy("scope", dealt.alias("block")).agg(F.collect_list(lines).alias("own")))
+    one, two = blocks.select("scope", F.col("block").alias("i"), F.col("own").alias("left")), blocks.select("scope", F.col("block").alias("j"), F.col("own").alias("right"))
+    near = lambda x, y: (x["h"] < y["h"]) & (x["root"] != y["root"]) & alike(x["line"], y["line"], edits, per)
     # Both orders of two blocks meet, so each pair is seen with the smaller hash on the left.
     found = F.flatten(F.transform("left", lambda x: F.transform(F.filter("right", lambda y: near(x, y)), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))))
-    # Few bytes but many comparisons: dealt over all partitions, which would else be put together.
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = one.join(two, "bucket").repartition(parts, "bucket", "i", "j")
-    return links.unionByName(met.select(F.explode(found).alias("e")).select("e.a", "e.b").distinct())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stored(one.join(two, "scope").repartition(parts, "scope", "i", "j"))
+    return met.select(F.explode(found).alias("e")).select("e.a", "e.b").distinct()
+
+
+def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT, hot: int = HOT, short: int = SHORT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between hashes of lines that are alike, and h, g and line of all that were looked at.
+
+    keyed(h, keys) holds the keys of lines(h, g, line).
+    """
+    line, rest = F.col("line"), F.col("rest")
+    segments = Segments(line, lambda n: allowed(n, edits, per), edits)
+    members = _members(keyed.withColumns({"rid": F.col("h"), "root": F.col("h")}), segments)
+    wanted = stored(members.select("h").distinct())
+    texts = stored(lines.select("h", "g", "line").join(small(wanted, BROADCAST_ROWS), "h").dropDuplicates(["h"]))
+    rows, text, found = texts.withColumn("rid", F.col("h")), line, []
+    while True:
+        few, many = members.filter(F.col("n") <= hot), members.filter(F.col("n") > hot)
+        side = lambda df, k: df.select("bucket", *[F.col(c).alias(c + k) for c in ("h", "root", "p", "q")])
+        pairs = side(few.filter(F.col("place").isin(segments.indexed)), "0").join(side(few, "1"), "bucket").filter("root0 <> root1 and p0 <> p1 and q0 <> q1")
+        pairs = pairs.select(F.least("h0", "h1").alias("a"), F.greatest("h0", "h1").alias("b"))
+        stars = many.filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+        found.append(stored(_verified(pairs.unionByName(stars).distinct(), texts, edits, per)))
+        if not many.head(1):
+            break
+        # Buckets whose lines are all connected are done.
+        roots = small(stored(components(reduce(DataFrame.unionByName, found))), BROADCAST_ROWS)
+        many = many.drop("root").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+        left = stored(many.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket"))
+        many = many.join(small(left, BROADCAST_ROWS), "bucket").join(rows.select("rid", text), "rid")
+        t = F.array(*[F.lit(x) for x in segments.t])[F.col("place")]
+        rows = many.select(F.col("bucket").alias("scope"), "h", "root", t.alias("t"), segments.without(text, F.col("place")).alias("rest")).distinct()
+        rows = stored(rows.withColumn("rid", F.xxhash64("scope", "h", "rest")))
+        scopes = rows.groupBy("scope").agg((F.min(F.char_length("rest")) < (F.max("t") + 1) * short).alias("short"))
+        rows, text = stored(rows.join(scopes, "scope")), rest
+        found.append(stored(_in_blocks(rows.filter("short").select("scope", "h", "root").distinct(), texts, block, edits, per)))
+        rows = rows.filter("not short")
+        if not rows.head(1):
+            break
+        segments = Segments(rest, lambda n: F.col("t"), edits, F.col("scope"))
+        members = _members(rows.select("rid", "h", "root", F.array(*segments.keys).alias("keys")), segments)
+    return reduce(DataFrame.unionByName, found), texts
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT, **options) -> DataFrame:
     """doc_id, doc_key and removed, the numbers of the lines that go, of documents that lose any."""
-    lines = document_lines(docs, min_chars, short)
-    # Short lines are in no bucket of the edit join.
-    keys = F.when(F.char_length("line") >= min_chars, bucket_keys(edits)[0])
+    lines = document_lines(docs)
     # Each text is cut and hashed once; what follows reads numbers.
-    places = stored(lines.select("doc_id", "doc_key", "line_no", "h", keys.alias("keys")))
+    keys = F.array(*Segments(F.col("line"), lambda n: allowed(n, edits, per), edits).keys)
+    places = stored(lines.select("doc_id", "doc_key", "line_no", "h", "g", F.when(F.char_length("line") >= per, keys).alias("keys")))
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc_key"), F.col("line_no"))
-    first = stored(places.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")))
-    roots = components(line_links(places.select("h", "keys").filter("keys is not null"), document_lines(docs, min_chars), edits)).withColumnRenamed("node", "h")
-    classed = first.join(roots, "h", "left").filter("root is not null or first <> last").withColumn("root", F.coalesce("root", "h"))
-    heads = classed.groupBy("root").agg(F.min("first").alias("head"))
-    heads = stored(classed.join(heads, "root").select("h", "head"))
-    gone = places.drop("keys").join(heads, "h").filter(at != F.col("head"))
+    first = stored(places.groupBy("h", "g").agg(F.min(at).alias("first"), F.max(at).alias("last")))
+    links, texts = line_links(places.select("h", "keys").filter("keys is not null"), lines, edits, per, **options)
+    roots = components(links).withColumnRenamed("node", "h").join(texts.select("h", "g"), "h")
+    classed = first.join(roots, ["h", "g"], "left").filter("root is not null or first <> last")
+    # A line without a link is a class of its own under both of its hashes.
+    classed = classed.select("h", "g", "first", F.coalesce("root", "h").alias("root"), F.when(F.col("root").isNull(), F.col("g")).otherwise(0).alias("apart"))
+    heads = classed.groupBy("root", "apart").agg(F.min("first").alias("head"))
+    heads = stored(classed.join(heads, ["root", "apart"]).select("h", "g", "head"))
+    gone = places.drop("keys").join(small(heads, BROADCAST_ROWS // 2), ["h", "g"]).filter(at != F.col("head"))
     return gone.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT, **options) -> DataFrame:
     """row (the columns of docs), its lines' number, those removed, and kept_text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    removed = stored(removed_lines(own, edits, min_chars, short))
+    removed = stored(removed_lines(own, edits, per, **options))
     removed = removed.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"), "removed")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("doc_key", doc_key())
-    rows = rows.join(_small(removed), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("doc_key") == F.col("gone_key")), "left")
+    numbers = removed.agg(F.coalesce(F.sum(F.size("removed") + 4), F.lit(0))).first()[0]
+    removed = F.broadcast(removed) if numbers <= BROADCAST_NUMBERS else removed
+    rows = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("doc_key") == F.col("gone_key")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
     return rows.select("row", F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
@@ -146,7 +280,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
         "row.doc_id", F.when(F.col("kept_text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
         "removed", F.coalesce(F.char_length("kept_text"), F.lit(0)).cast("long").alias("kept_chars"), F.crc32(F.coalesce("kept_text", F.lit(""))).alias("kept_crc32"),
