@@ -16,16 +16,17 @@ all that hold a single line, or lines that meet elsewhere anyway; only lines in
 looked at again.
 
 A bucket of at most HOT lines gives its pairs. In a larger one all lines are compared with its
-least line. If its lines aren't all connected by then, the segment that they share is cut out of
-them, which leaves the edits of every pair in what is left, and the same join divides the bucket by
-that, for pairs that aren't connected yet: so the work grows with the lines of a bucket, not with
-their pairs. Where under SHORT characters are left of each segment, the lines differ in little else,
-and the rest is compared in blocks of lines.
-
-An edit changes the length by one and the counts of two characters by one at most, so pairs whose
-lengths and counts of common characters are too far apart go first. The others are verified by a banded bit-parallel automaton. Bit b of row e tells whether e edits turn
-the first j characters of one line into the first j + b - t of the other; the rows for all e up to
-t lie in one number, which each character of the line updates by shifts.
+least line, which connects large groups of alike lines with as many comparisons as they have lines;
+only pairs that aren't connected by then are left. Up to DIVIDE lines are compared in blocks, whose
+pairs are made within rows. From a still larger bucket the segment that its lines share is cut out,
+which leaves the edits of every pair in what is left, and the same join divides the bucket by that:
+so the work grows with the lines of a bucket, not with their pairs. Where under SHORT characters are
+left of each segment, the lines differ in little else, and blocks are compared there, too.
+
+An edit changes the length by one and whether two characters occur an odd number of times, so pairs
+whose lengths or parities are too far apart go first. The others are verified by a banded bit-parallel
+automaton. Bit b of row e tells whether e edits turn the first j characters of one line into the
+first j + b - t of the other; each character of the line updates the rows for all e up to t by shifts.
 
 Lines are cut at line feeds and told apart by two 64-bit hashes. Null texts stay null; empty texts
 have one empty line. Rows of equal doc_id and text keep the same lines. Null doc_ids come last. An
@@ -40,17 +41,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, small, stored, table
+from .common import small, stored, table
 from .graph import components
 
+#: The characters that words don't hold.
+BLANKS = " \t\n\x0b\x0c\r"
 EDITS = 2
 CHARS_PER_EDIT = 20
-#: Lines of a bucket whose pairs become rows; larger buckets are divided.
-HOT = 16
-#: Characters of a segment under which buckets aren't divided any more, and lines of a block there.
-SHORT, BLOCK = 4, 32
-#: Characters that are counted before lines are compared; any set gives the same results.
-COMMON = " etaoinsrhldu"
+#: Lines of a bucket whose pairs become rows, and those up to which pairs are compared in blocks of BLOCK.
+HOT, DIVIDE, BLOCK = 8, 512, 32
+#: Characters of a segment under which buckets aren't divided any more.
+SHORT = 4
+#: Characters whose parities are compared before lines are; any set gives the same results.
+COMMON = " etaoinsrhldcumfpgwybvk,.ETAOINSRHDC0123456789"
 #: Rows of a few numbers (64 MB at most) that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Numbers in the arrays of lines that documents lose (16 bytes of a row counted as four) that may be broadcast.
@@ -60,7 +63,7 @@ BROADCAST_NUMBERS = 6_000_000
 def document_lines(docs: DataFrame) -> DataFrame:
     """doc_key, doc_id, line_no, line and its hashes h and g of the lines that take part."""
     lines = docs.select("doc_id", doc_key().alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(WORD_CLASS)).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
+    return lines.filter(F.btrim("line", F.lit(BLANKS)) != "").withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
 
 def doc_key() -> Column:
@@ -70,7 +73,12 @@ def doc_key() -> Column:
 
 def allowed(length: Column, edits: int = EDITS, per: int = CHARS_PER_EDIT) -> Column:
     """The edits at which lines are still alike, of which the shorter has this length."""
-    return F.least(F.lit(edits), F.floor(length / per)).cast("int")
+    return F.least(F.lit(edits), _div(length, per))
+
+
+def _div(n: Column, by: int) -> Column:
+    """n div by, in whole numbers."""
+    return F.call_function("div", n, F.lit(by)).cast("int")
 
 
 class Segments:
@@ -87,7 +95,7 @@ class Segments:
         for t in range(1, edits + 1):
             for shorter in range(t + 1):
                 n, first, last = length - shorter, len(self.keys), sum(len(self.offsets(t, shorter, i)) for i in range(t)) + len(self.keys)
-                base, over = F.floor(n / (t + 1)).cast("int"), (n % (t + 1)).cast("int")
+                base, over = _div(n, t + 1), (n % (t + 1)).cast("int")
                 for i in range(t + 1):
                     # The last `over` segments are longer by one.
                     own = base * i + F.greatest(F.lit(0), over - (t + 1 - i))
@@ -140,10 +148,15 @@ def within(x: Column, y: Column, m: Column, n: Column, t: int) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), same), start, step, lambda rows: F.pmod(F.floor(rows[f"r{t}"] / F.pow(F.lit(2), m - n + t)), F.lit(2)) == 1)
 
 
+def parities(line: Column) -> Column:
+    """A bit for each of the common characters: whether the line holds it an odd number of times."""
+    odd = lambda c: ((F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 2).cast("long")
+    return reduce(Column.bitwiseOR, [F.shiftleft(odd(c), k) for k, c in enumerate(COMMON)])
+
+
 def may_be_alike(x: Column, y: Column, edits: int) -> Column:
-    """False for lines whose counts of some common characters differ by more than edits can make."""
-    count = lambda c, k: F.char_length(c) - F.char_length(F.replace(c, F.lit(k), F.lit("")))
-    return sum((F.abs(count(x, k) - count(y, k)) for k in COMMON), F.abs(F.char_length(x) - F.char_length(y))) <= 3 * edits
+    """False for lines, as structs of size and odd, that more edits lie between."""
+    return (F.abs(x["size"] - y["size"]) <= edits) & (F.bit_count(x["odd"].bitwiseXOR(y["odd"])) <= 2 * edits)
 
 
 def alike(x: Column, y: Column, edits: int, per: int) -> Column:
@@ -156,13 +169,13 @@ def alike(x: Column, y: Column, edits: int, per: int) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per: int) -> DataFrame:
-    """Those of pairs(a, b) of texts(h, line) that are alike."""
-    side = lambda h, c: texts.select(F.col("h").alias(h), F.col("line").alias(c))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    """Those of pairs(a, b) of texts(h, line, size, odd) that are alike."""
+    side = lambda h, c: texts.select(F.col("h").alias(h), F.struct("line", "size", "odd").alias(c))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(may_be_alike(F.col("x"), F.col("y"), edits))
     # Few bytes but many comparisons: written in as many files as there are partitions, because the
     # optimizer would else compare within the join, in the one partition that so few bytes get.
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = stored(both.filter(may_be_alike(F.col("x"), F.col("y"), edits)).repartition(parts, "a", "b"))
+    both = stored(both.select("a", "b", F.col("x.line").alias("x"), F.col("y.line").alias("y")).repartition(parts, "a", "b"))
     return both.filter(alike(F.col("x"), F.col("y"), edits, per)).select("a", "b")
 
 
@@ -182,23 +195,26 @@ def _members(keyed: DataFrame, segments: Segments) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, texts: DataFrame, block: int, edits: int, per: int) -> DataFrame:
-    """Links between lines of a scope and different roots of rows(scope, h, root), which are compared in blocks."""
-    sizes = rows.groupBy("scope").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "scope").join(texts, "h")
-    dealt = F.pmod(F.xxhash64("h", "scope"), F.ceil(F.col("n") / block))
-    lines = F.struct("h", "root", "line")
-    blocks = stored(rows.groupBy("scope", dealt.alias("block")).agg(F.collect_list(lines).alias("own")))
-    one, two = blocks.select("scope", F.col("block").alias("i"), F.col("own").alias("left")), blocks.select("scope", F.col("block").alias("j"), F.col("own").alias("right"))
-    near = lambda x, y: (x["h"] < y["h"]) & (x["root"] != y["root"]) & alike(x["line"], y["line"], edits, per)
+    """Links between lines of a bucket that differ in root, p and q, of rows(bucket, h, root, p, q)."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    rows = rows.join(sizes, "bucket").join(texts, "h")
+    dealt = F.pmod(F.xxhash64("h", "bucket"), F.ceil(F.col("n") / block))
+    lines = F.struct("h", "root", "p", "q", "size", "odd", "line")
+    blocks = stored(rows.groupBy("bucket", dealt.alias("block")).agg(F.collect_list(lines).alias("own")))
+    one, two = blocks.select("bucket", F.col("block").alias("i"), F.col("own").alias("left")), blocks.select("bucket", F.col("block").alias("j"), F.col("own").alias("right"))
+
+    def near(x: Column, y: Column) -> Column:
+        return (x["h"] < y["h"]) & may_be_alike(x, y, edits) & (x["root"] != y["root"]) & (x["p"] != y["p"]) & (x["q"] != y["q"]) & alike(x["line"], y["line"], edits, per)
+
     # Both orders of two blocks meet, so each pair is seen with the smaller hash on the left.
     found = F.flatten(F.transform("left", lambda x: F.transform(F.filter("right", lambda y: near(x, y)), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = stored(one.join(two, "scope").repartition(parts, "scope", "i", "j"))
+    met = stored(one.join(two, "bucket").repartition(parts, "bucket", "i", "j"))
     return met.select(F.explode(found).alias("e")).select("e.a", "e.b").distinct()
 
 
-def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT, hot: int = HOT, short: int = SHORT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between hashes of lines that are alike, and h, g and line of all that were looked at.
+def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT, hot: int = HOT, divide: int = DIVIDE, short: int = SHORT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between hashes of lines that are alike, and h and g of all that were looked at.
 
     keyed(h, keys) holds the keys of lines(h, g, line).
     """
@@ -206,7 +222,8 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, per: int
     segments = Segments(line, lambda n: allowed(n, edits, per), edits)
     members = _members(keyed.withColumns({"rid": F.col("h"), "root": F.col("h")}), segments)
     wanted = stored(members.select("h").distinct())
-    texts = stored(lines.select("h", "g", "line").join(small(wanted, BROADCAST_ROWS), "h").dropDuplicates(["h"]))
+    texts = lines.select("h", "g", "line").join(small(wanted, BROADCAST_ROWS), "h").dropDuplicates(["h"])
+    texts = stored(texts.withColumns({"size": F.char_length("line"), "odd": parities(line)}))
     rows, text, found = texts.withColumn("rid", F.col("h")), line, []
     while True:
         few, many = members.filter(F.col("n") <= hot), members.filter(F.col("n") > hot)
@@ -221,17 +238,22 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, per: int
         roots = small(stored(components(reduce(DataFrame.unionByName, found))), BROADCAST_ROWS)
         many = many.drop("root").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
         left = stored(many.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket"))
-        many = many.join(small(left, BROADCAST_ROWS), "bucket").join(rows.select("rid", text), "rid")
+        many = stored(many.join(small(left, BROADCAST_ROWS), "bucket"))
+        found.append(stored(_in_blocks(many.filter(F.col("n") <= divide).select("bucket", "h", "root", "p", "q").distinct(), texts, block, edits, per)))
+        many = many.filter(F.col("n") > divide)
+        if not many.head(1):
+            break
+        many = many.join(rows.select("rid", text), "rid")
         t = F.array(*[F.lit(x) for x in segments.t])[F.col("place")]
-        rows = many.select(F.col("bucket").alias("scope"), "h", "root", t.alias("t"), segments.without(text, F.col("place")).alias("rest")).distinct()
-        rows = stored(rows.withColumn("rid", F.xxhash64("scope", "h", "rest")))
-        scopes = rows.groupBy("scope").agg((F.min(F.char_length("rest")) < (F.max("t") + 1) * short).alias("short"))
-        rows, text = stored(rows.join(scopes, "scope")), rest
-        found.append(stored(_in_blocks(rows.filter("short").select("scope", "h", "root").distinct(), texts, block, edits, per)))
+        rows = many.select("bucket", "h", "root", "p", "q", t.alias("t"), segments.without(text, F.col("place")).alias("rest")).distinct()
+        rows = stored(rows.withColumn("rid", F.xxhash64("bucket", "h", "rest")))
+        scopes = rows.groupBy("bucket").agg((F.min(F.char_length("rest")) < (F.max("t") + 1) * short).alias("short"))
+        rows, text = stored(rows.join(scopes, "bucket")), rest
+        found.append(stored(_in_blocks(rows.filter("short").select("bucket", "h", "root", "p", "q").distinct(), texts, block, edits, per)))
         rows = rows.filter("not short")
         if not rows.head(1):
             break
-        segments = Segments(rest, lambda n: F.col("t"), edits, F.col("scope"))
+        segments = Segments(rest, lambda n: F.col("t"), edits, F.col("bucket"))
         members = _members(rows.select("rid", "h", "root", F.array(*segments.keys).alias("keys")), segments)
     return reduce(DataFrame.unionByName, found), texts
 
