@@ -1,5 +1,7 @@
 """Quality rules, URL filter and mixing against plain Python."""
 
+import math
+import random
 import re
 
 import pytest
@@ -39,12 +41,42 @@ def test_thresholds_follow_the_group(spark):
     """The same text is kept where its kind is usual and rejected where it isn't."""
     plain = lambda i: " ".join(f"word{i}x{k}" for k in range(40))
     loud = lambda i: " ".join(f"word{i}x{k}#" for k in range(40))
-    rows = [(i, plain(i), "en", "calm") for i in range(150)] + [(1000 + i, loud(i), "en", "tags") for i in range(150)] + [(5000, loud(5000), "en", "calm"), (5001, plain(5001), "en", "calm")]
+    rows = [(i, plain(100 + i), "en", "calm") for i in range(150)] + [(1000 + i, loud(100 + i), "en", "tags") for i in range(150)] + [(5000, loud(500), "en", "calm"), (5001, plain(501), "en", "calm")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r["doc_id"] for r in quality.kept_documents(docs).collect()}
     assert kept == {r[0] for r in rows} - {5000}
 
 
+def test_every_measure_s_fence_follows_its_group(spark):
+    """Groups of other spreads get other fences in all measures, without spreads given by hand."""
+    rnd = random.Random(2)
+
+    def text(i, wide):
+        size = lambda: rnd.choice([4, 5, 6]) if not wide else rnd.choice([3, 8, 14])
+        word = lambda k: "".join(rnd.choice("ABCabcdefgh" if wide else "Aabcdefghijklmnopq") for _ in range(size())) + ("#" * (wide and rnd.random() < 0.5)) + ("!" * (wide and rnd.random() < 0.4))
+        lines = [" ".join(word(k) for k in range(12)) for _ in range(20)]
+        return "\n".join(lines + lines[: (rnd.randint(1, 2) if wide else 1) if i % 3 == 0 else 0])
+
+    rows = [(i, text(i, i % 2), "en", ["narrow", "wide"][i % 2]) for i in range(1200)]
+    own = quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    narrow, wide = (r for r in quality.fences(quality.sketches(own)).orderBy("group_source").collect())
+    for m in quality.MEASURES:
+        assert narrow[f"high_{m}"] != wide[f"high_{m}"], m
+    assert narrow["high_m_symbols"] == 0 < wide["high_m_symbols"]
+
+
+def test_sure_share(spark):
+    """A few marks in a short text are no evidence."""
+    rows = [(i, " ".join(["word"] * (n - k) + ["w#"] * k), "en", "s") for i, (k, n) in enumerate([(1, 200), (2, 60), (40, 80), (0, 50), (80, 80)])]
+    got = [r["m_symbols"] for r in quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()]
+
+    def wilson(k, n):
+        p = k / n
+        return math.floor(1000 * max(0, (p + 4.5 / n - 3 * math.sqrt(p * (1 - p) / n + 2.25 / n / n)) / (1 + 9 / n)))
+
+    assert got == [wilson(1, 200), wilson(2, 60), wilson(40, 80), 0, wilson(80, 80)] and got[0] == 0
+
+
 def test_sketches_are_mergeable(spark, odd_docs):
     rows = quality.measured(odd_docs.filter("doc_id is not null"))
     parts = quality.sketches(rows.filter("doc_id % 2 = 0")).unionByName(quality.sketches(rows.filter("doc_id % 2 = 1")))

@@ -1,13 +1,18 @@
 """Quality rules whose thresholds follow quantile sketches of each language and source.
 
-Measures of a text are whole numbers: its mean word length, and its symbols, repeated lines,
-repeated words, exclamation marks and capitals per thousand words, lines or characters. The sketch
-of a measure is a histogram over buckets that keep a value's six leading bits (a relative error
-under 1/32). Histograms of parts add up to that of the whole, so a group of under MIN_GROUP
-documents takes the sketch of its language, and a language of so few that of all documents. A
-document is rejected if a measure lies beyond the upper quartile by over SPREADS times the
-distance of the quartiles; that distance counts as a measure's least spread where most documents
-are alike. The mean word length has a lower fence, too.
+Measures of a text are whole numbers: its mean word length, capitals per thousand characters, the
+lower confidence bounds of its symbols and exclamation marks per thousand words (so that a mark or
+two in a short text are no evidence), and its repeated lines and words per thousand. The sketch of a
+measure is a histogram over buckets that keep a value's six leading bits (a relative error under
+1/32). Histograms of parts add up to that of the whole. Sketches hold the texts that pass the base
+rules; those of repeats hold only texts that repeat anything, since most don't.
+
+Each group's quantiles Q10, Q50 and Q90 are drawn towards those of its language, and these towards
+those of all documents, as if PRIOR documents of the wider group were added. A document is rejected if
+a measure lies beyond Q90 by over SPREADS times the distance from Q50 to Q90; the mean word length
+and the capitals have a lower fence below Q10, too. No spread is given by hand: where nine tenths
+of a group have no symbols, a text that surely has some is rejected. Without any text to learn
+from, there is no fence.
 
 Words are runs of characters other than space and 0x09-0x0D. Null, empty and blank texts have no
 words and fail. Null languages and sources are groups of their own. Repeated rows are judged each.
@@ -26,11 +31,14 @@ from .common import SPACE_CLASS, WORD_CLASS, small, stored, table
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-MIN_GROUP = 100
-SPREADS = 4
-#: Measures with their least spread.
-LEAST_SPREAD = {"m_word_length": 50, "m_symbols": 40, "m_dup_lines": 60, "m_repeats": 60, "m_bangs": 40, "m_capitals": 40}
-LOWER_FENCE = ("m_word_length",)
+#: Documents of the wider group that a group's quantiles are mixed with.
+PRIOR = 30
+SPREADS = 3
+MEASURES = ("m_word_length", "m_capitals", "m_symbols", "m_bangs", "m_dup_lines", "m_repeats")
+LOWER_FENCE = ("m_word_length", "m_capitals")
+#: Measures of which only texts that show anything count.
+OF_SOME = ("m_dup_lines", "m_repeats")
+QUANTILES = (10, 50, 90)
 #: Groups whose fences (under 200 bytes each) may be broadcast; more are shuffled.
 BROADCAST_GROUPS = 50_000
 
@@ -91,14 +99,17 @@ def measured(docs: DataFrame) -> DataFrame:
         }
     )
     rows = rows.withColumns({"n_words": F.col("of_words.n"), "n_repeat_words": F.col("of_words.r"), "n_dup_lines": F.col("of_lines.d"), "n_lines": F.col("of_lines.n")})
+    # The lower end of Wilson's interval at three standard errors.
+    surely = lambda a, b: F.expr(f"""CASE WHEN {b} > 0 THEN cast(floor(1000 * greatest(0D, (least({a}, {b}) / {b} + 4.5D / {b}
+        - 3D * sqrt(least({a}, {b}) / {b} * (1D - least({a}, {b}) / {b}) / {b} + 2.25D / {b} / {b})) / (1D + 9D / {b}))) AS long) ELSE 0L END""")
     share = lambda a, b: F.when(F.col(b) > 0, F.floor(1000 * F.col(a) / F.col(b))).otherwise(0).cast("long")
     return rows.withColumns(
         {
             "m_word_length": F.when(F.col("n_words") > 0, F.floor(100 * F.col("word_chars") / F.col("n_words"))).otherwise(0).cast("long"),
-            "m_symbols": share("n_symbols", "n_words"),
+            "m_symbols": surely("n_symbols", "n_words"),
             "m_dup_lines": share("n_dup_lines", "n_lines"),
             "m_repeats": share("n_repeat_words", "n_words"),
-            "m_bangs": share("bangs", "n_words"),
+            "m_bangs": surely("bangs", "n_words"),
             "m_capitals": share("capitals", "word_chars"),
             "group_lang": F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")),
             "group_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
@@ -106,54 +117,55 @@ def measured(docs: DataFrame) -> DataFrame:
     ).drop("of_words", "of_lines", "n_lines", "bangs", "capitals")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """Histograms: group_lang, group_source, measure, bucket, n."""
+    """Histograms of the rows that pass the base rules: group_lang, group_source, measure, bucket, n."""
     value = F.col("m.value")
     shift = F.greatest(F.lit(0), F.length(F.bin(value)) - 6)
     bucket = F.when(value < 64, value).otherwise(F.floor(value / F.pow(F.lit(2), shift)).cast("long") * F.pow(F.lit(2), shift).cast("long"))
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in LEAST_SPREAD]))
-    long = rows.select("group_lang", "group_source", each.alias("m"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES]))
+    long = rows.filter(~base_failed()).select("group_lang", "group_source", each.alias("m")).filter(~F.col("m.measure").isin(*OF_SOME) | (value > 0))
     return long.groupBy("group_lang", "group_source", F.col("m.measure").alias("measure"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP, spreads: int = SPREADS) -> DataFrame:
-    """low_<measure> and high_<measure> for each group_lang and group_source."""
-    own = sketch.withColumn("level", F.lit(0))
-    lang = sketch.groupBy("group_lang", F.lit("*").alias("group_source"), "measure", "bucket").agg(F.sum("n").alias("n")).withColumn("level", F.lit(1))
-    every = sketch.groupBy(F.lit("*").alias("group_lang"), F.lit("*").alias("group_source"), "measure", "bucket").agg(F.sum("n").alias("n")).withColumn("level", F.lit(2))
-    key = ["level", "group_lang", "group_source", "measure"]
+def _quantiles(sketch: DataFrame, key: list[str], name: str) -> DataFrame:
+    """key, measure, <name>_n and <name>_q<p> of the sketch's groups."""
     # Rows here are buckets of sketches, not documents.
-    along = W.partitionBy(*key).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    summed = own.unionByName(lang).unionByName(every).withColumns({"cum": F.sum("n").over(along), "total": F.sum("n").over(W.partitionBy(*key))})
-    quartile = lambda k: F.min(F.when(4 * F.col("cum") >= k * F.col("total"), F.col("bucket")))
-    quartiles = summed.groupBy(*key).agg(F.max("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in LEAST_SPREAD.items()])
-    spread = spreads * F.greatest(F.col("q3") - F.col("q1"), least)
-    quartiles = quartiles.withColumns({"low": F.when(F.col("measure").isin(*LOWER_FENCE), F.col("q1") - spread), "high": F.col("q3") + spread})
-    quartiles = quartiles.groupBy("level", "group_lang", "group_source").agg(
-        F.max("total").alias("total"), *[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in LEAST_SPREAD for side in ("low", "high")]
+    counts = sketch.groupBy(*key, "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = W.partitionBy(*key, "measure")
+    summed = counts.withColumns({"cum": F.sum("n").over(whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("n").over(whole)})
+    return summed.groupBy(*key, "measure").agg(
+        F.max("total").alias(f"{name}_n"), *[F.min(F.when(100 * F.col("cum") >= p * F.col("total"), F.col("bucket"))).alias(f"{name}_q{p}") for p in QUANTILES]
     )
-    limits = [c for c in quartiles.columns if c.startswith(("low_", "high_"))]
-    quartiles = stored(quartiles)
-    every = quartiles.filter("level = 2").select(*limits).first()  # one row of twelve numbers
-    own = quartiles.filter("level = 0").select("group_lang", "group_source", F.col("total").alias("total_0"), F.struct(*limits).alias("limits_0"))
-    lang = quartiles.filter("level = 1").select("group_lang", F.col("total").alias("total_1"), F.struct(*limits).alias("limits_1"))
-    of_all = F.struct(*[F.lit(every[c] if every else None).cast("long").alias(c) for c in limits])
-    chosen = F.when(F.col("total_0") >= min_group, F.col("limits_0")).when(F.col("total_1") >= min_group, F.col("limits_1")).otherwise(of_all)
-    return own.join(lang, "group_lang").select("group_lang", "group_source", chosen.alias("limits")).select("group_lang", "group_source", "limits.*")
+
+
+def fences(sketch: DataFrame, spreads: int = SPREADS, prior: int = PRIOR) -> DataFrame:
+    """low_<measure> and high_<measure> for each group_lang and group_source."""
+    every = _quantiles(sketch, [], "all")
+    lang = stored(_quantiles(sketch, ["group_lang"], "lang").join(F.broadcast(every), "measure"))  # one row for each measure
+    drawn = lambda name, p, wide: f"CASE WHEN {name}_n > 0 THEN ({name}_n * {name}_q{p} + {prior} * {wide}) div ({name}_n + {prior}) ELSE {wide} END"
+    lang = lang.withColumns({f"wide_q{p}": F.expr(drawn("lang", p, f"all_q{p}")) for p in QUANTILES}).select("group_lang", "measure", *[f"wide_q{p}" for p in QUANTILES])
+    groups = sketch.select("group_lang", "group_source").distinct()
+    own = groups.join(lang, "group_lang").join(_quantiles(sketch, ["group_lang", "group_source"], "own"), ["group_lang", "group_source", "measure"], "left")
+    own = own.withColumns({f"q{p}": F.expr(drawn("own", p, f"wide_q{p}")) for p in QUANTILES})
+    own = own.withColumns({"low": F.when(F.col("measure").isin(*LOWER_FENCE), F.col("q10") - spreads * (F.col("q50") - F.col("q10"))), "high": F.col("q90") + spreads * (F.col("q90") - F.col("q50"))})
+    return own.groupBy("group_lang", "group_source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")])
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """Rows of measured(), stored, with base_failed and kept."""
     beyond = F.lit(False)
-    for m in LEAST_SPREAD:
-        beyond = beyond | (F.col(m) > F.col(f"high_{m}"))
+    for m in MEASURES:
+        over = F.col(m) > F.col(f"high_{m}")
         if m in LOWER_FENCE:
-            beyond = beyond | (F.col(m) < F.col(f"low_{m}"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+            over = over | (F.col(m) < F.col(f"low_{m}"))
+        beyond = beyond | (F.coalesce(over, F.lit(False)) & (F.lit(m not in OF_SOME) | (F.col(m) > 0)))
     limits = small(stored(fences(stored(sketches(rows)))), BROADCAST_GROUPS)
-    out = rows.join(limits, ["group_lang", "group_source"])
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~beyond)
+    out = rows.join(limits, ["group_lang", "group_source"], "left")
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -168,7 +180,18 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_MEASURES = "\n  UNION ALL ".join(f"SELECT doc_id, gl, gs, '{m}' AS measure, {m} AS v, {s} AS least FROM m" for m, s in LEAST_SPREAD.items())
+_MEASURES = "\n  UNION ALL ".join(f"SELECT doc_id, gl, gs, '{m}' AS measure, {m} AS v FROM z WHERE NOT base_failed{' AND ' + m + ' > 0' if m in OF_SOME else ''}" for m in MEASURES)
+
+
+def _surely(count: str) -> str:
+    part = f"(least({count}, n_words)::DOUBLE / n_words)"
+    return f"CASE WHEN n_words > 0 THEN CAST(floor(1000 * greatest(0, ({part} + 4.5::DOUBLE / n_words - 3 * sqrt({part} * (1 - {part}) / n_words + 2.25::DOUBLE / n_words / n_words)) / (1 + 9::DOUBLE / n_words))) AS BIGINT) ELSE 0 END"
+
+
+def _drawn(name: str, wide: str, out: str) -> str:
+    return ", ".join(f"CASE WHEN {name}.n > 0 THEN ({name}.q{p} * {name}.n + {PRIOR} * {wide}.q{p}) // ({name}.n + {PRIOR}) ELSE {wide}.q{p} END AS {out}{p}" for p in QUANTILES)
+
+
 OP3_SQL = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
@@ -189,33 +212,29 @@ c AS (SELECT t.doc_id, coalesce(lang, '/null') AS gl, coalesce(source, '/null')
              coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
       FROM t LEFT JOIN d ON t.doc_id = d.doc_id LEFT JOIN r ON t.doc_id = r.doc_id),
 m AS (SELECT *, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS m_word_length,
-             CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS m_symbols,
+             {_surely('n_symbols')} AS m_symbols,
              CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS m_dup_lines,
              CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS m_repeats,
-             CASE WHEN n_words > 0 THEN 1000 * bangs // n_words ELSE 0 END AS m_bangs,
+             {_surely('bangs')} AS m_bangs,
              CASE WHEN word_chars > 0 THEN 1000 * capitals // word_chars ELSE 0 END AS m_capitals FROM c),
+z AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m),
 v AS ({_MEASURES}),
-b AS (SELECT gl, gs, measure, least,
-             CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket, count(*) AS n
-      FROM v GROUP BY ALL),
-lv AS (SELECT 0 AS level, gl, gs, measure, least, bucket, n FROM b
-       UNION ALL SELECT 1, gl, '*', measure, least, bucket, sum(n) FROM b GROUP BY gl, measure, least, bucket
-       UNION ALL SELECT 2, '*', '*', measure, least, bucket, sum(n) FROM b GROUP BY measure, least, bucket),
+b AS (SELECT gl, gs, measure, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket, count(*) AS n FROM v GROUP BY ALL),
+lv AS (SELECT 0 AS level, gl, gs, measure, bucket, n FROM b
+       UNION ALL SELECT 1, gl, '*', measure, bucket, sum(n) FROM b GROUP BY gl, measure, bucket
+       UNION ALL SELECT 2, '*', '*', measure, bucket, sum(n) FROM b GROUP BY measure, bucket),
 cu AS (SELECT *, sum(n) OVER (PARTITION BY level, gl, gs, measure ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS cum,
               sum(n) OVER (PARTITION BY level, gl, gs, measure) AS total FROM lv),
-q AS (SELECT level, gl, gs, measure, least, max(total) AS total, min(CASE WHEN 4 * cum >= total THEN bucket END) AS q1,
-             min(CASE WHEN 4 * cum >= 3 * total THEN bucket END) AS q3 FROM cu GROUP BY level, gl, gs, measure, least),
-f AS (SELECT *, q1 - {SPREADS} * greatest(q3 - q1, least) AS low, q3 + {SPREADS} * greatest(q3 - q1, least) AS high FROM q),
-g AS (SELECT a.gl, a.gs, a.measure,
-             CASE WHEN a.total >= {MIN_GROUP} THEN a.low WHEN b.total >= {MIN_GROUP} THEN b.low ELSE e.low END AS low,
-             CASE WHEN a.total >= {MIN_GROUP} THEN a.high WHEN b.total >= {MIN_GROUP} THEN b.high ELSE e.high END AS high
-      FROM f a JOIN f b ON b.level = 1 AND a.gl = b.gl AND a.measure = b.measure
-      JOIN f e ON e.level = 2 AND a.measure = e.measure WHERE a.level = 0),
-x AS (SELECT v.doc_id, bool_or(v.v > g.high OR v.measure = 'm_word_length' AND v.v < g.low) AS beyond
-      FROM v JOIN g ON v.gl = g.gl AND v.gs = g.gs AND v.measure = g.measure GROUP BY v.doc_id),
-z AS (SELECT m.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m)
+q AS (SELECT level, gl, gs, measure, max(total) AS n, {", ".join(f"min(CASE WHEN 100 * cum >= {p} * total THEN bucket END) AS q{p}" for p in QUANTILES)}
+      FROM cu GROUP BY level, gl, gs, measure),
+lq AS (SELECT l.gl, l.measure, {_drawn("l", "e", "q")} FROM q l JOIN q e ON e.level = 2 AND l.measure = e.measure WHERE l.level = 1),
+gr AS (SELECT DISTINCT gl, gs FROM b),
+oq AS (SELECT gr.gl, gr.gs, w.measure, {_drawn("o", "w", "q")} FROM gr JOIN lq w ON gr.gl = w.gl
+       LEFT JOIN q o ON o.level = 0 AND o.gl = gr.gl AND o.gs = gr.gs AND o.measure = w.measure),
+x AS (SELECT v.doc_id, bool_or(v.v > q90 + {SPREADS} * (q90 - q50) OR v.measure IN {LOWER_FENCE} AND v.v < q10 - {SPREADS} * (q50 - q10)) AS beyond
+      FROM v JOIN oq ON v.gl = oq.gl AND v.gs = oq.gs AND v.measure = oq.measure GROUP BY v.doc_id)
 SELECT z.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT beyond AS kept
-FROM z JOIN x ON z.doc_id = x.doc_id
+       NOT base_failed AND NOT coalesce(beyond, false) AS kept
+FROM z LEFT JOIN x ON z.doc_id = x.doc_id
 """
