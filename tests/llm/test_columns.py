@@ -62,7 +62,7 @@ def test_every_measure_s_fence_follows_its_group(spark):
     narrow, wide = (r for r in quality.fences(quality.sketches(own)).orderBy("group_source").collect())
     for m in quality.MEASURES:
         assert narrow[f"high_{m}"] != wide[f"high_{m}"], m
-    assert narrow["high_m_symbols"] == 0 < wide["high_m_symbols"]
+    assert narrow["high_m_symbols"] < wide["high_m_symbols"]
 
 
 def test_sure_share(spark):
