@@ -98,7 +98,7 @@ DICTIONARIES = {
 }
 
 #: Marker lists of the memory-dump classifiers.
-OPEN_MARKERS = ("\\pipe\\", "socket", "opensavepidlmru", "lastvisitedpidlmru", "typedpaths", "wordwheelquery", "runmru", "thumbcache", "iconcache", "windows.edb")
+OPEN_MARKERS = ("\\device\\", "\\??\\", "\\pipe\\", "socket", "handle", "opensavepidlmru", "lastvisitedpidlmru", "typedpaths", "wordwheelquery", "runmru", "thumbcache", "iconcache", "windows.edb")
 COMMAND_MARKERS = (
     "cmd.exe", "powershell", "pwsh", "conhost", "history", "stdin", "stdout", "stderr", "wevtutil", "reg add", "reg delete", "wmic", "schtasks", "vssadmin", "fsutil", "auditpol", "bcdedit",
 )
@@ -173,3 +173,25 @@ INJECTION_MARKERS = (
     "writeprocessmemory", "createremotethread", "ntcreatethreadex", "queueuserapc", "virtualalloc", "virtualprotect", "ntmapviewofsection", "manualmap", "shellcode", "rwx",
     "page_execute_readwrite", "thread hijack",
 )
+STRONG_OPEN_MARKERS = ("\\pipe\\", "socket", "opensavepidlmru", "lastvisitedpidlmru", "typedpaths", "wordwheelquery", "runmru", "thumbcache", "iconcache", "windows.edb")
+OPEN_TOOLS = (
+    "anydesk", "teamviewer", "rustdesk", "radmin", "parsec", "hoptodesk", "supremo", "wireguard", "tailscale", "zerotier", "cloudflared", "ngrok", "superfreevpn", "planetvpn",
+    "happ\\tun\\sing-box", "cheat engine", "processhacker", "systeminformer", "autoclicker", "keyauth",
+)
+OPEN_NOISE_PATHS = (
+    "\\.cargo\\registry\\", "\\.cargo\\git\\", "\\target\\debug\\", "\\target\\release\\", "\\target_release_check\\", "\\.fingerprint\\", "\\incremental\\", "\\toolchains\\",
+    "\\share\\doc\\rust\\", "\\microsoft visual studio\\", "\\windows kits\\", "\\windowsapps\\", "thirdpartynotices.txt", "\\node_modules\\", "\\site-packages\\", "\\__pycache__\\",
+    "\\msys64\\", "\\perl5\\", "\\service worker\\", "\\code cache\\", "\\cache_data\\",
+)
+DEVELOPER_TOOLS = (
+    "\\program files\\git\\", "\\.cargo\\bin\\cargo.exe", "\\.cargo\\bin\\rustc.exe", "\\program files\\powershell\\7\\pwsh.exe", "\\vscode\\extensions\\",
+    "\\program files\\microsoft visual studio\\", "\\program files (x86)\\microsoft visual studio\\",
+)
+ENVIRONMENT_NAMES = (
+    "allusersprofile=", "appdata=", "localappdata=", "commonprogramfiles=", "commonprogramfiles(x86)=", "commonprogramw6432=", "comspec=", "systemroot=", "userprofile=", "windir=", "path=",
+)
+SENSITIVE_PLACES = ("\\appdata\\", "\\programdata\\", "\\users\\public\\", "\\recycle.bin\\", "\\windows\\tasks\\", "\\startup\\", "\\temp\\", "\\drivers\\")
+TLS_MARKERS = ("https://", "tls", "ssl", "x509", "certificate", "encrypted")
+MARKUP_NOISE = ('class="btn', 'target="_blank"', 'aria-label="toggle', 'id="themebtn"', 'id="pagestringsbtn"', 'id="pagedumpbtn"', "residence screenshare")
+DIALOG_HISTORY = ("opensavepidlmru", "lastvisitedpidlmru")
+USER_HISTORY = ("typedpaths", "wordwheelquery", "runmru")

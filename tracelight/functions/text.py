@@ -16,7 +16,7 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 _CONSTANT = re.compile("\x01(.*?)\x02", re.S)
 #: Names that differ: Spark's and the other spelling.
-_NAMES = {"rx": ("regexp_like", "regexp_matches"), "octets": ("octet_length", "strlen"), "chars": ("char_length", "length"), "rxcount": ("regexp_count", "rxcount")}
+_NAMES = {"rx": ("regexp_like", "regexp_matches"), "octets": ("octet_length", "strlen"), "chars": ("char_length", "length"), "rxcount": ("regexp_count", "rxcount"), "epoch": ("unix_timestamp", "epoch")}
 
 
 def s(value: str) -> str:

@@ -91,3 +91,8 @@ def rule_hits(texts: DataFrame, rules: list[Rule]) -> DataFrame:
 def hits_by_file(hits: DataFrame) -> DataFrame:
     """file, its rules and their number."""
     return hits.groupBy("file").agg(F.array_join(F.sort_array(F.collect_set("client")), ",").alias("clients"), F.count("*").alias("n"))
+
+
+def totals(hits: DataFrame) -> DataFrame:
+    """Each rule's files and matched patterns in all of them."""
+    return hits.groupBy("client").agg(F.count("*").alias("files"), F.sum("matched").cast("long").alias("matched"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracelight.functions.dictionaries import BYPASS_ARTIFACTS, CHEAT_ARTIFACTS, REMOTE_SESSIONS, VULNERABLE_DRIVERS
-from tracelight.functions.text import URL_SCHEME, WORDS, all_of, any_of, both, column, either, first_keyword, has, keyword, matches, no, ordered, starts, token, tokens
+from tracelight.functions.text import URL_SCHEME, WORDS, all_of, any_of, both, column, either, first_keyword, has, keyword, matches, no, ordered, starts, token, tokens, with_steps
 from tracelight.operators.gates import (
     ACTIONABLE, ACTIONABLE_HIDING, CONTAINER_ARGS, COVERT_CHANNEL, IMAGE_DISK_ARGS, LAUNCHER, PLACEHOLDER, RAM_DISK, REGISTRY_WRITE, STEGANOGRAPHY_ARGS, STREAM_CMDLET, STREAM_SYNTAX,
-    STREAMS_TOOL, TAGGABLE,
+    STREAMS_TOOL, TAGGABLE, shared, with_shared,
 )
 
 PROGRAM = any_of([".exe", ".dll", ".bat", ".cmd", ".ps1", ".js", ".vbs", ".jar"])
@@ -166,3 +167,17 @@ def tag_lines(lines: DataFrame, family: str) -> DataFrame:
 def vulnerable_drops(refs: DataFrame) -> DataFrame:
     """Distinct tag and line of file paths that put a vulnerable driver where users can write."""
     return refs.filter(column(VULNERABLE_DROP)).selectExpr("'vulnerable_driver_drop' as tag", "line").distinct()
+
+
+def tag_all(lines: DataFrame, families) -> DataFrame:
+    """Distinct family, tag and line of lines(line, lower), all families in one pass.
+
+    What a line needs besides its family's words is tested once, and before them.
+    """
+    own = with_shared(lines.select("line", "lower").distinct()).filter(column(shared(TAGGABLE)))
+    contexts = {context: f"in_context_{i}" for i, context in enumerate(dict.fromkeys(FAMILIES[f][1] for f in families if FAMILIES[f][1]))}
+    own = with_steps(own, [(name, shared(context)) for context, name in contexts.items()])
+    if all(FAMILIES[f][1] for f in families):
+        own = own.filter(column(either(*contexts.values())))
+    tags = [F.when(column(contexts.get(FAMILIES[f][1], "true")), F.struct(F.lit(f).alias("family"), column(shared(ordered(FAMILIES[f][0]))).alias("tag"))) for f in families]
+    return own.select(F.explode(F.array_compact(F.array(*tags))).alias("x"), "line").select("x.family", "x.tag", "line").filter("tag is not null")

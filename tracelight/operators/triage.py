@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelight.functions.text import any_of, both, column, has, lowered, no
+from tracelight.functions.dictionaries import SUSPICIOUS
+from tracelight.functions.text import any_of, both, column, has, lowered, matches, no
 
 #: Category: its rows' base score, and how many of them take part.
 BASE = {
@@ -19,6 +20,8 @@ BOOSTS = [
     (any_of(["cheatengine", "cheat engine", "kdmapper", "xenos", "sdelete", "bleachbit", "timestomp"]), 4), (both(has("deleted"), no(has("no deleted"))), 2),
 ]
 TOP, DISPLAY = 160, 360
+#: Rule rows, "file | rule, rule", whose rules only say that a file looks packed, and that name nothing suspicious.
+WEAK_RULE = both(no(any_of(SUSPICIOUS)), matches(r"^[^|]* \| *(suspect|obf|entropy)( *, *(suspect|obf|entropy))* *$"))
 _BY_CATEGORY = "CASE category " + " ".join(f"WHEN '{c}' THEN {{{i}}}" for i, c in enumerate(BASE)) + " END"
 CAP = _BY_CATEGORY.format(*[n for _, n in BASE.values()])
 SCORE = "(" + " + ".join([_BY_CATEGORY.format(*[n for n, _ in BASE.values()]), *[f"CASE WHEN {t} THEN {n} ELSE 0 END" for t, n in BOOSTS]]) + ")"
@@ -27,10 +30,13 @@ SCORE = "(" + " + ".join([_BY_CATEGORY.format(*[n for n, _ in BASE.values()]), *
 def priority(rows: DataFrame) -> DataFrame:
     """rank, score, category and row of the best of rows(category, row).
 
-    Each category is cut to its cap before the final ranking, which therefore sees few rows.
+    Each category is cut to its cap before the final ranking, which therefore sees few rows; each
+    task keeps no more than the largest cap of a category. Weak rule hits count for the cap but
+    aren't ranked.
     """
     first = W.partitionBy("category").orderBy("row")
-    own = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= column(CAP))
+    own = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= max(n for _, n in BASE.values())).filter(F.col("n") <= column(CAP))
+    own = own.withColumn("lower", column(lowered("row"))).filter((F.col("category") != "rules") | ~column(WEAK_RULE)).drop("lower")
     shown = F.when(F.char_length("row") > DISPLAY, F.concat(F.substring("row", 1, DISPLAY), F.lit(" ..."))).otherwise(F.col("row"))
     scored = own.withColumn("lower", column(lowered("row"))).select(column(SCORE).alias("score"), "category", shown.alias("row"))
     best = scored.orderBy(F.desc("score"), "category", "row").limit(TOP)

@@ -139,7 +139,7 @@ PATHS = [
     r"Z:\Net\agent{id}.exe", r"A:\Legacy\oldtool{id}.exe", r"C:\path\abc.dll.dll", r"svchost.exe", r"0-0.dll", r"C:\Users\Public\Downloads\vape{id}.jar", r"C:\Program Files\App\app{id}.exe",
     r"C:\Users\u\AppData\Local\Temp\loader{id}.dll", r"C:\Windows\WinSxS\x{id}.dll", r"C:\src\target\debug\kdmapper{id}.exe", r"C:\Users\u\node_modules\xenos\x.exe", r"C:\Tools\triggerbot.exe",
     r"C:\Users\u\AppData\Local\gdrv{id}.sys", r"c:\TOOLS\Xenos-{id}.exe", r"C:\Tools\sdelete-{id}.exe", r"C:\tools\monitor{id}.exe", r"C:\tools\tor.exe", r"\\host\share\x{id}.exe", r"\Users\u\run{id}.bat", r"C:\Temp\api-ms-win-x{id}.dll",
-    r"C:\Users\u\Desktop\9f8e7d6c5b4a39281706f5e4d3c2b1a0.exe", r"C:\Users\u\Desktop\a({id}.exe", r"D:\Games\Minecraft\inject{id}.jar", "",
+    r"C:\Users\u\Desktop\9f8e7d6c5b4a39281706f5e4d3c2b1a0.exe", r"C:\Users\u\Desktop\a({id}.exe", r"D:\Games\Minecraft\inject{id}.jar", r"C:\Users\mira\Downloads\pack{id}\gdrv.sys", r"C:\Windows\System32\drivers{id}\capcom.sys", "",
 ]
 
 REFS = [

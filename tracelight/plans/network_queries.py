@@ -8,7 +8,7 @@ from tracelight.functions.text import ansi_sql, column, lowered, steps_sql
 from tracelight.operators import detectors, dump, taggers, triage
 from tracelight.operators import network as N
 from tracelight.operators import report
-from tracelight.plans import command_queries
+from tracelight.plans import command_queries, link_queries, path_queries
 from tracelight.plans.evidence import DUMP, NOTED, rows, rows_sql
 
 RAW = rows_sql(DUMP, "events", "event_id")
@@ -43,29 +43,34 @@ SELECT DISTINCT e.logon_id, e.bucket, e.line, a.auth_events FROM e JOIN a ON e.l
 
 
 def artifacts(spark, d):
-    """Sections of dump lines by source, the line's number mod 40, with LOLBin rows as one more section."""
-    own = rows(spark, d, DUMP, "events", "event_id")
-    own = detectors.with_lower(own).withColumn("source", F.col("id") % 40)
-    found = N.sections(own.select("line", "lower")).select("section", "line").join(own.select("line", "source").distinct(), "line")
-    lolbin = N.with_steps(N.endpoints(own), N.LOLBIN_STEPS).filter(N.LOLBIN_KEPT).select("line", "source").distinct()
-    return found.select("source", "section").unionByName(lolbin.selectExpr("source", "'lolbin_network' as section"))
+    """Sections of dump lines by source, the line's number mod 40, with scored tools as one more section."""
+    own = detectors.with_lower(rows(spark, d, DUMP, "events", "event_id")).withColumn("source", F.col("id") % 40)
+    scored = N.lolbin_scores(own, "source").select("source", F.lit("lolbin_network").alias("section"), "line")
+    return N.sections(own, "source").select("source", "section", "line").unionByName(scored)
 
 
 _SECTIONS = " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS section, '{marker}' AS marker, line FROM {ENDPOINTS} l WHERE {ansi_sql(test)}" for name, (marker, test) in N.SECTIONS.items())
-_LOLBIN = f"(SELECT * FROM {steps_sql(ENDPOINTS, N.LOLBIN_STEPS)} l WHERE {N.LOLBIN_KEPT})"
-_ARTIFACTS = f"""(SELECT s.section, d.source FROM ({_SECTIONS}) s JOIN (SELECT DISTINCT line, id % 40 AS source FROM {RAW} e) d ON s.line = d.line
-    UNION ALL SELECT 'lolbin_network' AS section, source FROM (SELECT DISTINCT line, id % 40 AS source FROM {_LOLBIN} l) x)"""
+_LOLBIN = f"(SELECT * FROM {steps_sql(ENDPOINTS, N.LOLBIN_STEPS)} l WHERE {ansi_sql(N.LOLBIN_KEPT)})"
+_ARTIFACTS = "(" + " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS section, id % 40 AS source, line FROM {ENDPOINTS} l WHERE {ansi_sql(test)}" for name, (_, test) in N.SECTIONS.items()) + f"""
+    UNION ALL SELECT 'lolbin_network', id % 40 AS source, min(line) FROM {_LOLBIN} l GROUP BY id % 40, marker, process, endpoint, port, bucket)"""
 _COUNTS = ", ".join(f"count(*) FILTER (section = '{section}') AS {name}" for name, section in N.COUNTED.items())
-CAP = 50
+CAP = 30_000
+
+
+TAGGED = [f for f in triage.BASE if f in taggers.FAMILIES]
 
 
 def triage_rows(spark, d):
-    """category and row of every tagged command line."""
-    own = command_queries.lines(spark, d)
-    tagged = [taggers.tag_lines(own, family).select(F.lit(family).alias("category"), F.concat_ws(" | ", "tag", "line").alias("row")) for family in triage.BASE if family in taggers.FAMILIES]
-    out = tagged[0]
-    for t in tagged[1:]:
-        out = out.unionByName(t)
+    """category and row of all that is ranked: tagged command lines, keyword files and links, rule hits."""
+    row = lambda category, *parts: (F.lit(category).alias("category"), F.concat_ws(" | ", *parts).alias("row"))
+    out = taggers.tag_all(command_queries.lines(spark, d), TAGGED).select(F.col("family").alias("category"), F.concat_ws(" | ", "tag", "line").alias("row"))
+    hits = path_queries.QUERIES["rule_hits_by_file"](spark, d).select(*row("rules", F.col("file").cast("string"), F.col("clients")))
+    files = path_queries.QUERIES["suspicious_files"](spark, d).select(*row("suspicious_files", "norm"))
+    out = out.unionByName(hits).unionByName(files).unionByName(link_queries.QUERIES["suspicious_links"](spark, d).select(*row("suspicious_links", "link")))
+    for kind in ("cheat", "bypass"):
+        named = path_queries.QUERIES[f"keyword_files_{kind}"](spark, d).select(*row(f"{kind}_artifacts", F.lit("file"), "keyword", "norm"))
+        linked = link_queries.QUERIES[f"keyword_links_{kind}"](spark, d).select(*row(f"{kind}_artifacts", F.lit("link"), "keyword", "display"))
+        out = out.unionByName(named).unionByName(linked)
     return out
 
 
@@ -74,9 +79,13 @@ def rated(spark, d):
 
 
 _RATED = f"(SELECT *, {ansi_sql(report.SIGNAL)} AS signal, {ansi_sql(report.TRUST)} AS trust, {ansi_sql(report.SIGN)} AS sign FROM (SELECT section, line, {ansi_sql(lowered('line'))} AS lower FROM ({_SECTIONS}) s) x)"
-_TRIAGE = " UNION ALL ".join(
-    f"SELECT DISTINCT '{f}' AS category, tag || ' | ' || line AS row FROM (SELECT line, {ansi_sql(taggers.tag_sql(f))} AS tag FROM {command_queries.LINES} l) t WHERE tag IS NOT NULL" for f in triage.BASE if f in taggers.FAMILIES
-)
+_TRIAGE = " UNION ALL ".join([
+    *[f"SELECT DISTINCT '{f}' AS category, tag || ' | ' || line AS row FROM (SELECT line, {ansi_sql(taggers.tag_sql(f))} AS tag FROM {command_queries.LINES} l) t WHERE tag IS NOT NULL" for f in TAGGED],
+    f"SELECT 'rules', file || ' | ' || clients FROM ({path_queries.ORACLE_SQL['rule_hits_by_file']}) r", f"SELECT 'suspicious_files', norm FROM ({path_queries.ORACLE_SQL['suspicious_files']}) f",
+    f"SELECT 'suspicious_links', link FROM ({link_queries.ORACLE_SQL['suspicious_links']}) k",
+    *[f"SELECT '{k}_artifacts', 'file | ' || keyword || ' | ' || norm FROM ({path_queries.ORACLE_SQL[f'keyword_files_{k}']}) f UNION ALL SELECT '{k}_artifacts', 'link | ' || keyword || ' | ' || display FROM ({link_queries.ORACLE_SQL[f'keyword_links_{k}']}) l" for k in ("cheat", "bypass")],
+])
+_WEAK = "category = 'rules' AND len(list_filter(string_split(split_part(lower, ' | ', 2), ','), lambda r: trim(r) NOT IN ('suspect', 'obf', 'entropy'))) = 0"
 
 NOTED_LINES = f"(SELECT *, {ansi_sql(lowered('line'))} AS lower FROM {rows_sql(NOTED, 'events', 'event_id')} e)"
 ALL_LINES = f"(SELECT line, lower FROM {NOTED_LINES} a UNION ALL SELECT line, lower FROM {command_queries.LINES} b)"
@@ -113,6 +122,7 @@ QUERIES = {
     "network_dedupe": lambda spark, d: N.network_dedupe(lines(spark, d)),
     "lolbin_scores": lambda spark, d: N.lolbin_scores(lines(spark, d)),
     "risk_verdict": lambda spark, d: N.risk_verdict(artifacts(spark, d)),
+    "risk_evidence": lambda spark, d: N.risk_evidence(artifacts(spark, d)),
     "capped_sections": lambda spark, d: N.capped(N.sections(lines(spark, d)), CAP),
     "artifact_signal": lambda spark, d: rated(spark, d).select("section", "line", "signal", "trust", "sign"),
     "artifact_filters": lambda spark, d: report.exclude_words(report.exclude_disks(report.filter_rows(rated(spark, d), "tcp", signal="high"), ["D"]), ["syn"]).select("section", "line"),
@@ -137,8 +147,10 @@ ORACLE_SQL = {
     "dump_sections": _SECTIONS,
     "network_dedupe": f"""WITH o AS (SELECT DISTINCT line, endpoint, port, process, bucket FROM {ENDPOINTS} l)
 SELECT min(line) AS line FROM o WHERE endpoint IS NOT NULL GROUP BY process, endpoint, port, bucket UNION ALL SELECT line FROM o WHERE endpoint IS NULL""",
-    "lolbin_scores": f"SELECT marker, process, endpoint, port, bucket, min_by(score, line) AS score, min_by(level, line) AS level, min(line) AS line FROM {_LOLBIN} l GROUP BY marker, process, endpoint, port, bucket",
+    "lolbin_scores": f"""SELECT marker, process, endpoint, port, bucket, min_by(score, line) AS score, min_by(level, line) AS level, min(line) AS line FROM {_LOLBIN} l GROUP BY marker, process, endpoint, port, bucket""",
     "risk_verdict": f"SELECT source, {N.VERDICT} AS verdict, {N.CONFIDENCE} AS confidence FROM (SELECT source, {_COUNTS} FROM {_ARTIFACTS} a GROUP BY source) c",
+    "risk_evidence": f"""SELECT source, section, line FROM (SELECT *, row_number() OVER (PARTITION BY source, section ORDER BY line) AS n FROM (SELECT DISTINCT source, section, line FROM {_ARTIFACTS} a) x) y
+WHERE n <= CASE section WHEN 'proxy_bypass' THEN 8 WHEN 'javaw_betatest' THEN 6 WHEN 'lolbin_network' THEN 6 WHEN 'suspicious_connections' THEN 6 ELSE 0 END""",
     "capped_sections": f"SELECT section, marker, line FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY line) AS n FROM ({_SECTIONS}) s) t WHERE n <= {CAP}",
     "artifact_signal": f"SELECT section, line, signal, trust, sign FROM {_RATED} r",
     "artifact_filters": f"SELECT section, line FROM {_RATED} r WHERE contains(lower, 'tcp') AND signal = 'high' AND NOT regexp_matches(line, '[Dd]\\s*:\\s*[\\\\/]') AND NOT contains(lower, 'syn')",
@@ -149,7 +161,7 @@ SELECT min(line) AS line FROM o WHERE endpoint IS NOT NULL GROUP BY process, end
     "event_correlation_hour": correlation_sql(13),
     "triage_priority": f"""
 WITH r AS ({_TRIAGE}), c AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row) AS n FROM r),
-s AS (SELECT category, CASE WHEN length(row) > {triage.DISPLAY} THEN substr(row, 1, {triage.DISPLAY}) || ' ...' ELSE row END AS row, {ansi_sql(triage.SCORE)} AS score FROM (SELECT *, {ansi_sql(lowered('row'))} AS lower FROM c) c WHERE n <= {ansi_sql(triage.CAP)})
+s AS (SELECT category, CASE WHEN length(row) > {triage.DISPLAY} THEN substr(row, 1, {triage.DISPLAY}) || ' ...' ELSE row END AS row, {ansi_sql(triage.SCORE)} AS score FROM (SELECT *, {ansi_sql(lowered('row'))} AS lower FROM c) c WHERE n <= {ansi_sql(triage.CAP)} AND NOT ({_WEAK}))
 SELECT CAST(row_number() OVER (ORDER BY score DESC, category, row) AS INT) AS rank, score, category, row FROM s ORDER BY score DESC, category, row LIMIT {triage.TOP}""",
     "triage_summary": f"SELECT category, count(*) AS n FROM ({_TRIAGE}) t GROUP BY category",
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelight.functions.dictionaries import BYPASS_ARTIFACTS, CHEAT_ARTIFACTS, SUSPICIOUS, VULNERABLE_DRIVERS
+from tracelight.functions.dictionaries import BUILD_PATHS, BYPASS_ARTIFACTS, CACHE_PATHS, CHEAT_ARTIFACTS, SUSPICIOUS, VULNERABLE_DRIVERS
 from tracelight.functions.text import ansi_sql, column, steps_sql
+from tracelight.operators import artifact_rows, candidates, taggers
 from tracelight.operators import paths as P
 from tracelight.operators import resolve as R
 from tracelight.operators import rules, timehints
@@ -136,6 +137,27 @@ def lookup_names(spark, d):
     return R.lookup_names(parts(spark, d).filter(column(P.VALID)), F.coalesce(column(HIGH_VALUE), F.lit(False)), 40)
 
 
+def driver_drops(spark, d):
+    own = absolute(spark, d).select(F.col("norm").alias("line"), F.col("cmp_path").alias("lower"))
+    return taggers.vulnerable_drops(own)
+
+
+def all_files(spark, d):
+    """What the inventory, the prefetch names and the evidence itself found, as one set."""
+    found = resolve_full(spark, d).filter("how <> 'missing'").selectExpr("resolved as ref")
+    named = resolve_names(spark, d).filter("resolved is not null").selectExpr("resolved as ref")
+    return candidates.union_of(found, named, prefetch_names(spark, d).selectExpr("prefetch as ref"))
+
+
+def prefetch_missing(spark, d):
+    own = P.with_steps(parts(spark, d), P.PREFETCH_STEPS).filter("prefetch is not null")
+    return candidates.prefetch_missing(own.select("prefetch", F.col("is_abs").alias("found")))
+
+
+def rule_totals(spark, d):
+    return rules.totals(rules.rule_hits(documents(spark, d), RULES))
+
+
 def label_rule_hits(spark, d):
     labels = spark.range(3).selectExpr("array('INSULTS', 'licences', 'contact')[cast(id as int)] as client", "concat('set', id % 2, '.txt') as label")
     return R.label_hits(rules.rule_hits(documents(spark, d), RULES), labels)
@@ -188,11 +210,50 @@ QUERIES = {
     "deleted_split": lambda spark, d: absolute(spark, d).join(inventory(spark, d).select("cmp_path").distinct(), "cmp_path", "left_anti").select("norm", F.coalesce(column(P.DELETED_SIGNAL), F.lit(False)).alias("signal")).distinct(),
     "allowlist_split": allowlist,
     "seed_index": lambda spark, d: R.seed_index(absolute(spark, d)),
+    "suspicious_files": lambda spark, d: candidates.suspicious_files(paths(spark, d)),
+    "driver_drops": driver_drops,
+    "hash_scope": lambda spark, d: candidates.hash_scope(paths(spark, d)),
+    "split_refs": lambda spark, d: candidates.split_refs(parts(spark, d).filter(column(P.VALID))),
+    "all_files": all_files,
+    "prefetch_missing": prefetch_missing,
+    "rule_totals": rule_totals,
+    "paths_in_lines": lambda spark, d: artifact_rows.paths_in_lines(lines(spark, d)),
     "rule_hits": lambda spark, d: rules.rule_hits(documents(spark, d), RULES),
     "rule_hits_by_file": lambda spark, d: rules.hits_by_file(rules.rule_hits(documents(spark, d), RULES)),
 }
 
+def _plain(names, of):
+    return "(" + " OR ".join("contains({}, '{}')".format(of, n.replace("'", "''")) for n in names) + ")"
+
+
+def _worded(names, of):
+    """Plain SQL: a keyword stands in of, with a boundary at each end that is a word character."""
+    return "(" + " OR ".join("regexp_matches({}, '{}')".format(of, ("(^|[^a-z0-9_])" if n[0].isalnum() or n[0] == "_" else "") + "".join("\\" + c if c in ".\\+*?()[]{}^$|" else c for c in n) + ("([^a-z0-9_]|$)" if n[-1].isalnum() or n[-1] == "_" else "")) for n in names) + ")"
+
+
+_FALSE = "file_name IN ('triggerbot.exe', 'triggerbot64.exe', 'doomsday.exe', 'doomsday64.exe')"
+_HIGH = f"(NOT {_FALSE} AND ({_worded(SUSPICIOUS, 'cmp_path')} OR {_worded(CHEAT_ARTIFACTS, 'cmp_path')} OR {_worded(BYPASS_ARTIFACTS, 'cmp_path')}))"
+_HOME = _plain(["\\users\\", "\\downloads\\", "\\desktop\\", "\\appdata\\", "\\temp\\", "\\programdata\\"], "cmp_path")
+_SYSTEM = r"(starts_with(cmp_path, 'c:\windows\') OR starts_with(cmp_path, 'c:\program files\') OR starts_with(cmp_path, 'c:\program files (x86)\'))"
+_PREFETCHED = f"(SELECT * FROM {steps_sql(DISTINCT, [*P.STEPS, *P.PREFETCH_STEPS])} p WHERE prefetch IS NOT NULL)"
+_CANDIDATES = ansi_sql(f"\x01{P.ROOTED}\x02")
+_NORMED = f"(SELECT DISTINCT path, norm FROM {steps_sql(f'(SELECT DISTINCT unnest(regexp_extract_all(line, {_CANDIDATES})) AS path FROM {LINES} l)', P.NORMAL)} p WHERE norm <> '' AND lower(norm) <> lower(path))"
+
 ORACLE_SQL = {
+    "suspicious_files": f"""SELECT DISTINCT norm FROM {PARTS} p WHERE cmp_path <> '' AND strlen(cmp_path) <= 320 AND NOT {_plain(CACHE_PATHS, 'cmp_path')} AND NOT {_plain(BUILD_PATHS, 'cmp_path')} AND NOT {_FALSE}
+    AND (ends_with(file_name, '.exe') OR ends_with(file_name, '.dll') OR ends_with(file_name, '.sys')) AND ({_worded(CHEAT_ARTIFACTS, 'cmp_path')} OR {_worded(BYPASS_ARTIFACTS, 'cmp_path')}
+    OR {_worded([w for w in SUSPICIOUS if len(w) > 4], 'file_name')}) AND (NOT {_SYSTEM} OR {_plain(["/appdata/", "/programdata/", "/users/public/", "/temp/", "/recycle.bin/", "/drivers/"], "replace(cmp_path, chr(92), '/')")})""",
+    "driver_drops": f"""SELECT DISTINCT 'vulnerable_driver_drop' AS tag, norm AS line FROM {PARTS} p WHERE {ansi_sql(P.VALID)} AND is_abs AND {_plain(VULNERABLE_DRIVERS, 'cmp_path')} AND {_HOME}""",
+    "hash_scope": f"""SELECT norm, priority FROM (SELECT min(norm) AS norm, max(greatest(0, 80 * {_HIGH}::INT + 30 * {_HOME}::INT + CASE WHEN ends_with(cmp_path, '.sys') THEN 22 WHEN ends_with(cmp_path, '.exe') THEN 16 WHEN ends_with(cmp_path, '.dll') THEN 12 ELSE 0 END
+    - 10 * (starts_with(cmp_path, 'c:\\windows\\') OR starts_with(cmp_path, 'c:\\program files\\'))::INT)) AS priority FROM {PARTS} p
+    WHERE cmp_path <> '' AND NOT {_plain(BUILD_PATHS, 'cmp_path')} AND ({_HIGH} OR {_HOME} OR {_plain(["/$recycle.bin/", "/windows/tasks/", "/windows/prefetch/"], "replace(cmp_path, chr(92), '/')")} OR NOT {_SYSTEM}) GROUP BY cmp_path) x
+ORDER BY priority DESC, norm LIMIT 2400""",
+    "split_refs": f"SELECT 'full' AS kind, min(norm) AS ref FROM {PARTS} p WHERE {ansi_sql(P.VALID)} AND is_abs GROUP BY cmp_path UNION ALL SELECT DISTINCT 'name', file_name FROM {PARTS} p WHERE {ansi_sql(P.VALID)} AND NOT is_abs",
+    "prefetch_missing": f"SELECT prefetch FROM {_PREFETCHED} a GROUP BY prefetch HAVING count(*) FILTER (is_abs) = 0",
+    "rule_totals": f"SELECT client, count(*) AS files, CAST(sum(matched) AS BIGINT) AS matched FROM ({_HITS}) h GROUP BY client",
+    "paths_in_lines": f"""WITH l AS (SELECT DISTINCT line FROM {LINES} x), n AS {_NORMED},
+p AS (SELECT l.line, n.path, n.norm, row_number() OVER (PARTITION BY l.line ORDER BY strlen(n.path) DESC, n.path) AS k FROM l JOIN n ON list_contains(regexp_extract_all(l.line, {_CANDIDATES}), n.path))
+SELECT l.line, coalesce(replace(replace(l.line, a.path, a.norm), coalesce(b.path, chr(1)), coalesce(b.norm, '')), l.line) AS text FROM l LEFT JOIN p a ON a.line = l.line AND a.k = 1 LEFT JOIN p b ON b.line = l.line AND b.k = 2""",
     "normalize_paths": f"SELECT path, norm, file_name, ext, drive, after_drive, is_abs, {ansi_sql(P.TRUST)} AS trust FROM {PARTS} p",
     "path_flags": f"SELECT path, {', '.join(f'coalesce({ansi_sql(t)}, false) AS {n}' for n, t in FLAGS.items())} FROM {PARTS} p",
     "prefetch_names": f"SELECT path, prefetch, program FROM {steps_sql(DISTINCT, [*P.STEPS, *P.PREFETCH_STEPS])} p WHERE prefetch IS NOT NULL",
@@ -236,3 +297,4 @@ SELECT prefetch, program, path, CASE WHEN path IS NOT NULL THEN 'no deleted' ELS
     "rule_hits": _HITS,
     "rule_hits_by_file": f"SELECT file, string_agg(client, ',' ORDER BY client) AS clients, count(*) AS n FROM ({_HITS}) h GROUP BY file",
 }
+ORACLE_SQL["all_files"] = f"""SELECT resolved AS ref FROM ({ORACLE_SQL['resolve_full']}) a WHERE how <> 'missing' UNION SELECT resolved FROM ({ORACLE_SQL['resolve_names']}) b WHERE resolved IS NOT NULL UNION SELECT prefetch FROM {_PREFETCHED} p"""

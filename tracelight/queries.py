@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelight.plans import command_queries, line_queries, link_queries, network_queries, path_queries
+from tracelight.plans import command_queries, dump_queries, line_queries, link_queries, network_queries, path_queries
 
-_MODULES = (link_queries, line_queries, command_queries, path_queries, network_queries)
+_MODULES = (link_queries, line_queries, command_queries, path_queries, network_queries, dump_queries)
 
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
