@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 COMMANDS = [
     r'cmd /c reg delete "HKEY_LOCAL_MACHINE\Software\Bad{id}" /f',
-    r"gregdeletehkeyzzz{id}",
+    r"wordsregthendeletehkeyjoined{id}",
     r"reg and hkey only {id}",
     r"cmd /c type input{id}.txt > output{id}.txt",
     r"copy src{id}.dll /-y dst.dll",
     r"Echo this line {id}",
-    r"copy onlyone{id}",
+    r"copy single-operand{id}",
     r"cmd /c echo off > nul",
     r"cmd.exe /c echo pwned{id} > C:\Users\u\run.bat",
     r"powershell -EncodedCommand QQ=={id}",
