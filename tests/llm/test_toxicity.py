@@ -34,3 +34,27 @@ def test_features_of_a_text():
     got = dict(zip(toxicity.FEATURES, toxicity.text_features("YOU are an idiot! zorgling", {"idiot": 2.0}, {4: {"zorg": 3.0}})))
     assert got["hits"] == 2 and got["insults"] == 1 and got["top_odds"] == 3.0 and got["near_you"] > 0 and got["bangs"] > 0
     assert len(toxicity.text_features(None, {}, {})) == len(toxicity.FEATURES)
+
+
+def test_lexicon_against_brute_force(spark):
+    rnd = random.Random(3)
+    words = ["zorgul", "zorgan", "plain", "word", "other", "idiocy"]
+    rows = [(i, float(i % 4 == 0), " ".join(rnd.choice(words[:2] if i % 4 == 0 and rnd.random() < 0.8 else words[2:]) for _ in range(6))) for i in range(400)]
+    got = toxicity.lexicon(spark.createDataFrame(rows, "doc_id long, label double, text string"))
+    toxic = sum(r[1] for r in rows)
+    seen = {}
+    for _, label, text in rows:
+        own = set(text.split())
+        for term in own | {w[:n] + "*" for w in own for n in toxicity.PREFIXES if len(w) >= n}:
+            t, n = seen.get(term, (0, 0))
+            seen[term] = t + label, n + 1
+    rate = {term: (t / toxic, (n - t) / (len(rows) - toxic)) for term, (t, n) in seen.items()}
+    # Every term that is learned is far likelier in toxic texts, and the planted ones are all learned.
+    assert got and all(rate[term][0] > 3 * rate[term][1] for term in got)
+    assert {"zorgul", "zorgan", "zorg*"} <= set(got) and not {"plain", "word"} & set(got)
+
+
+def test_labels_of_one_kind(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(docs, labels).collect()} == {0.0}

@@ -9,8 +9,9 @@ At most FIT_ROWS labelled rows, those of the smallest hash of their id, are used
 scored. labels, lang, source and doc_id are not inputs of a score.
 
 Null and empty texts get the score of a text without words. A doc_id with several labels counts as
-toxic if one is 1; null labels don't count. Without labels of both kinds every score is the share
-of toxic labels (0 without any). An empty table gives an empty result; other columns than doc_id
+toxic if one is 1; null labels don't count. Where the rows for the trees or those for the calibration
+(folds 3 and 4) lack one of the two labels, every score is the share of toxic labels among all that
+may be learned from (0 without any). An empty table gives an empty result; other columns than doc_id
 and text are ignored.
 """
 
