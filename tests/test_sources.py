@@ -102,3 +102,10 @@ def test_stream_correlation(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id int, logon_id string, t string, line string").withColumn("ts", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "t"))).drop("t")
     got = streamed(spark, df, str(tmp_path / "in"), events.correlate_stream, "correlate_out")
     assert [(r["logon_id"], r["auth_event"]) for r in got] == [("7", 4624)]
+
+
+def test_mixed_strings_share_the_byte_between_them(spark):
+    data = b"\x01abcdefg\x00h\x00i\x00j\x00k\x00lmnopqr\x02tiny\x02" + "wide one".encode("utf-16le") + b"\x03 a\r\nbcdef \x03" + b"x" * 9000
+    rows = readers.extract_strings_mixed(spark.createDataFrame([("f", data), ("g", None), ("h", b"")], "path string, content binary"))
+    got = sorted(r["text"] for r in rows.collect())
+    assert got == sorted(["abcdefg", "ghijkl", "lmnopqr", "wide one", "abcdef", "x" * readers.MIXED_CHARS])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions.text import ansi_sql, column, lowered, steps_sql
 from tracelight.operators import cleaning, gates
-from tracelight.sources.readers import extract_strings, tables_as_lines
+from tracelight.sources.readers import extract_strings, extract_strings_mixed, tables_as_lines
 
 
 def document_lines(spark, d):
@@ -34,6 +34,7 @@ QUERIES = {
     "adjacent_dedupe": lambda spark, d: cleaning.drop_adjacent_duplicates(turns(spark, d)).select("source", "line_no", "line"),
     "stitched_lines": lambda spark, d: cleaning.stitch_lines(split_turns(spark, d)),
     "strings_ascii": lambda spark, d: extract_strings(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))).filter("kind = 'ascii'").select("source", "text"),
+    "strings_mixed": lambda spark, d: extract_strings_mixed(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))),
     "strings_utf16": lambda spark, d: extract_strings(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-16LE").alias("content"))).filter("kind = 'utf16'").select("source", "text"),
 }
 
@@ -45,4 +46,6 @@ ORACLE_SQL = {
     lag({ansi_sql(lowered('text'))}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) c WHERE lower IS DISTINCT FROM before""",
     "strings_ascii": _STRINGS,
     "strings_utf16": _STRINGS,
+    "strings_mixed": r"""SELECT source, text FROM (SELECT CAST(doc_id AS VARCHAR) AS source, trim(array_to_string(regexp_split_to_array(substr(run, 1, 8192), '[\r\n]'), ''), ' ' || chr(9)) AS text
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\x20-\x7e\t\n\r]{6,}')) AS run FROM documents) r) t WHERE length(text) >= 6""",
 }

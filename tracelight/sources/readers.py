@@ -90,6 +90,26 @@ def extract_strings(df: DataFrame, key: str = "path", content: str = "content",
     return df.select(F.col(key).cast("string"), content).mapInArrow(run, "source string, offset long, kind string, text string")
 
 
+#: Characters that a mixed string keeps at most.
+MIXED_CHARS = 8192
+
+
+def extract_strings_mixed(df: DataFrame, key: str = "path", content: str = "content", min_len: int = MIN_STRING) -> DataFrame:
+    """source and text of narrow and wide strings, line ends and tabs included, found side by side.
+
+    A narrow string is a run of three printable bytes or more, a wide one of printable bytes with a
+    zero between any two; where one follows the other they share a byte. Line ends in a string and
+    blanks around it go; what is then shorter than min_len goes, too.
+    """
+    printable = r"[\x20-\x7E\t\n\r]"
+    raw = F.decode(content, "ISO-8859-1")
+    narrow = F.regexp_extract_all(raw, F.lit(f"{printable}{{{max(3, min_len)},}}"), 0)
+    wide = F.transform(F.regexp_extract_all(raw, F.lit(f"{printable}(?:\\x00{printable}){{{max(2, min_len) - 1},}}"), 0), lambda x: F.replace(x, F.lit("\0"), F.lit("")))
+    found = df.select(F.col(key).cast("string").alias("source"), F.explode(F.concat(narrow, wide)).alias("found"))
+    text = F.btrim(F.translate(F.substring("found", 1, MIXED_CHARS), "\r\n", ""), F.lit(" \t"))
+    return found.select("source", text.alias("text")).filter(F.char_length("text") >= min_len)
+
+
 def chunk_plan(df: DataFrame, chunk: int, overlap: int, key: str = "path", length: str = "length") -> DataFrame:
     """source, begin, emit_end and end of the windows that cover each file.
 
