@@ -56,8 +56,12 @@ def lexicon(rows: DataFrame, terms: int = TERMS) -> dict[str, float]:
     both = rows.agg(F.sum("label"), F.count("*")).first()
     toxic, other = (both[0] or 0.0), both[1] - (both[0] or 0.0)
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
-    begin = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIXES]
-    seen = rows.select("label", F.explode(F.array_distinct(F.concat(words, *begin))).alias("term"))
+
+    def begin(n: int) -> Column:
+        """The beginnings of n letters; a second argument of the inner functions would be an index."""
+        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    seen = rows.select("label", F.explode(F.array_distinct(F.concat(words, *[begin(n) for n in PREFIXES]))).alias("term"))
     counts = seen.groupBy("term").agg(F.sum("label").alias("t"), F.count("*").alias("n")).filter(F.col("t") >= MIN_TOXIC_TEXTS)
     odds = lambda a, b: F.log((a + 0.5) / (b - a + 0.5))
     t, o = F.col("t"), F.col("n") - F.col("t")
