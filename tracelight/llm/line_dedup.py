@@ -50,6 +50,8 @@ EDITS = 2
 CHARS_PER_EDIT = 20
 #: Lines of a bucket whose pairs become rows, and those up to which pairs are compared in blocks of BLOCK.
 HOT, DIVIDE, BLOCK = 8, 512, 32
+#: Pairs of lines, and of blocks, that a task compares.
+PAIRS, BLOCK_PAIRS = 1_000, 100
 #: Characters of a segment under which buckets aren't divided any more.
 SHORT = 4
 #: Characters whose parities are compared before lines are; any set gives the same results.
@@ -172,13 +174,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per: int) -> DataF
     """Those of pairs(a, b) of texts(h, line, size, odd) that are alike."""
     side = lambda h, c: texts.select(F.col("h").alias(h), F.struct("line", "size", "odd").alias(c))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(may_be_alike(F.col("x"), F.col("y"), edits))
-    # Few bytes but many comparisons: written in as many files as there are partitions, because the
-    # optimizer would else compare within the join, in the one partition that so few bytes get.
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = stored(both.select("a", "b", F.col("x.line").alias("x"), F.col("y.line").alias("y")).repartition(parts, "a", "b"))
+    both = _dealt(both.select("a", "b", F.col("x.line").alias("x"), F.col("y.line").alias("y")), PAIRS)
     return both.filter(alike(F.col("x"), F.col("y"), edits, per)).select("a", "b")
 
 
+def _dealt(df: DataFrame, each: int) -> DataFrame:
+    """df stored, in files of about so many rows where they are few bytes but much work.
+
+    Without them the optimizer would do the work in the one partition that so few bytes get.
+    """
+    df = stored(df)
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // each)
+    return stored(df.repartition(parts)) if parts > 1 else df
+
+
 def _members(keyed: DataFrame, segments: Segments) -> DataFrame:
     """bucket, rid, h, root, place, p, q, n and least of rows(rid, h, root, keys) in buckets that link lines.
 
@@ -208,8 +217,7 @@ def _in_blocks(rows: DataFrame, texts: DataFrame, block: int, edits: int, per: i
 
     # Both orders of two blocks meet, so each pair is seen with the smaller hash on the left.
     found = F.flatten(F.transform("left", lambda x: F.transform(F.filter("right", lambda y: near(x, y)), lambda y: F.struct(x["h"].alias("a"), y["h"].alias("b")))))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = stored(one.join(two, "bucket").repartition(parts, "bucket", "i", "j"))
+    met = _dealt(one.join(two, "bucket"), BLOCK_PAIRS)
     return met.select(F.explode(found).alias("e")).select("e.a", "e.b").distinct()
 
 
