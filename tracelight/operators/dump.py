@@ -18,7 +18,7 @@ NORMAL = [
     ("squeezed", f"substr(trim({replaced('line', '[' + chr(92) + 'x00-' + chr(92) + 'x20' + chr(92) + 'x7F]+', ' ')}), 1, {MAX_BYTES})"),
     ("rooted", replaced("squeezed", r"(?i)\\(\?\?|global\?\?)\\\s*|\\\\\?\\\s*")),
     ("volume", "TRY_CAST(regexp_extract(rooted, \x01(?i)\\\\+device\\\\+harddiskvolume\\s*([0-9]+)\x02, 1) AS INT)"),
-    ("text", "CASE WHEN volume BETWEEN 1 AND 26 THEN regexp_replace(rooted, \x01(?i)\\\\+device\\\\+harddiskvolume\\s*[0-9]+\\s*\\\\*\x02, chr(64 + volume) || \x01:\\\\\\\\\x02@all) ELSE rooted END"),
+    ("text", "CASE WHEN volume BETWEEN 1 AND 26 THEN regexp_replace(rooted, \x01(?i)\\\\+device\\\\+harddiskvolume\\s*[0-9]+\\s*\\\\*\x02, chr(64 + volume) || \x01:\\\\\x02@all) ELSE rooted END"),
 ]
 FIT = both("@octets(text) >= 6", f"{WORDS} <= 64", no(matches(r"\S{141}", "text")))
 PATH_HINT = any_of([":\\", "\\device\\harddiskvolume", "\\??\\", "\\\\?\\", "\\users\\", "\\windows\\"])

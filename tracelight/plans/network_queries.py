@@ -126,7 +126,7 @@ QUERIES = {
     "capped_sections": lambda spark, d: N.capped(N.sections(lines(spark, d)), CAP),
     "artifact_signal": lambda spark, d: rated(spark, d).select("section", "line", "signal", "trust", "sign"),
     "artifact_filters": lambda spark, d: report.exclude_words(report.exclude_disks(report.filter_rows(rated(spark, d), "tcp", signal="high"), ["D"]), ["syn"]).select("section", "line"),
-    "artifact_sorted": lambda spark, d: report.sorted_rows(rated(spark, d)).limit(200).select("section", "line", "signal"),
+    "artifact_sorted": lambda spark, d: report.sorted_rows(rated(spark, d)).select("section", "line", "signal"),
     "artifact_sorted_all": lambda spark, d: report.sorted_rows(rated(spark, d)).select("section", "line", "signal"),
     "high_signal_rows": lambda spark, d: report.high_signal_rows(rated(spark, d)),
     "event_correlation_minute": lambda spark, d: N.event_correlation(N.security_events(event_lines(spark, d))),
@@ -154,7 +154,7 @@ WHERE n <= CASE section WHEN 'proxy_bypass' THEN 8 WHEN 'javaw_betatest' THEN 6
     "capped_sections": f"SELECT section, marker, line FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY line) AS n FROM ({_SECTIONS}) s) t WHERE n <= {CAP}",
     "artifact_signal": f"SELECT section, line, signal, trust, sign FROM {_RATED} r",
     "artifact_filters": f"SELECT section, line FROM {_RATED} r WHERE contains(lower, 'tcp') AND signal = 'high' AND NOT regexp_matches(line, '[Dd]\\s*:\\s*[\\\\/]') AND NOT contains(lower, 'syn')",
-    "artifact_sorted": f"SELECT section, line, signal FROM {_RATED} r ORDER BY {report.RANK} DESC, section, line LIMIT 200",
+    "artifact_sorted": f"SELECT section, line, signal FROM {_RATED} r ORDER BY {report.RANK} DESC, section, line",
     "artifact_sorted_all": f"SELECT section, line, signal FROM {_RATED} r ORDER BY {report.RANK} DESC, section, line",
     "high_signal_rows": f"SELECT DISTINCT section, line FROM {_RATED} r WHERE {ansi_sql(report.STRONG)}",
     "event_correlation_minute": correlation_sql(16),

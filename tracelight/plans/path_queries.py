@@ -70,6 +70,10 @@ HIGH_VALUE = P.both("file_name NOT IN ('triggerbot.exe', 'triggerbot64.exe', 'do
     P.keyword(SUSPICIOUS, "file_name"), P.keyword(CHEAT_ARTIFACTS, "file_name"), P.any_of([*VULNERABLE_DRIVERS, "inject", "mapper", "spoofer", "loader", "bypass", "cheat"], "file_name")))
 
 
+#: Names that are looked up in one run.
+LOOKUPS = 6_000
+
+
 def normalize_paths(spark, d):
     return parts(spark, d).select("path", "norm", "file_name", "ext", "drive", "after_drive", "is_abs", column(P.TRUST).alias("trust"))
 
@@ -134,7 +138,7 @@ def file_dates(spark, d):
 
 
 def lookup_names(spark, d):
-    return R.lookup_names(parts(spark, d).filter(column(P.VALID)), F.coalesce(column(HIGH_VALUE), F.lit(False)), 40)
+    return R.lookup_names(parts(spark, d).filter(column(P.VALID)), F.coalesce(column(HIGH_VALUE), F.lit(False)), LOOKUPS)
 
 
 def driver_drops(spark, d):
@@ -287,7 +291,7 @@ SELECT prefetch, program, path, CASE WHEN path IS NOT NULL THEN 'no deleted' ELS
     "dps_events": f"SELECT DISTINCT norm, cmp_path, file_name, ts FROM {_DPS} e",
     "dps_status": f"SELECT DISTINCT file_name, ts, CASE WHEN file_name IN (SELECT file_name FROM {INVENTORY} i) OR file_name LIKE '%0.exe' THEN 'no deleted' ELSE 'deleted' END AS status FROM {_DPS} e",
     "file_dates": f"SELECT norm, string_agg(hint, ', ' ORDER BY hint) AS times FROM (SELECT DISTINCT r.norm, h.hint FROM {_REFS} r JOIN {_DATED} h ON r.line = h.line) x GROUP BY norm",
-    "lookup_names": f"SELECT file_name, high FROM (SELECT DISTINCT file_name, coalesce({ansi_sql(HIGH_VALUE)}, false) AS high FROM {PARTS} p WHERE {ansi_sql(P.VALID)}) x ORDER BY high DESC, file_name LIMIT 40",
+    "lookup_names": f"SELECT file_name, high FROM (SELECT DISTINCT file_name, coalesce({ansi_sql(HIGH_VALUE)}, false) AS high FROM {PARTS} p WHERE {ansi_sql(P.VALID)}) x ORDER BY high DESC, file_name LIMIT {LOOKUPS}",
     "label_rule_hits": f"""SELECT file, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT file, label FROM ({_HITS}) h
     JOIN (VALUES ('insults', 'set0.txt'), ('licences', 'set1.txt'), ('contact', 'set0.txt')) l(c, label) ON h.client = l.c) x GROUP BY file""",
     "other_disk": f"SELECT DISTINCT norm FROM {PARTS} p WHERE {ansi_sql(P.both(P.VALID, P.OTHER_DISK))}",
