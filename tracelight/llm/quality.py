@@ -10,9 +10,10 @@ rules; those of repeats hold only texts that repeat anything, since most don't.
 Each group's quantiles Q10, Q50 and Q90 are drawn towards those of its language, and these towards
 those of all documents, as if PRIOR documents of the wider group were added. A document is rejected if
 a measure lies beyond Q90 by over SPREADS times the distance from Q50 to Q90; the mean word length
-and the capitals have a lower fence below Q10, too. No spread is given by hand: where nine tenths
-of a group have no symbols, a text that surely has some is rejected. Without any text to learn
-from, there is no fence.
+and the capitals have a lower fence below Q10, too. No spread is given by hand, but none is known finer
+than the sketch's buckets: a distance is a bucket's width at least. So where nine tenths of a group
+have no symbols, a text that surely has some is rejected. Without any text to learn from, there is
+no fence.
 
 Words are runs of characters other than space and 0x09-0x0D. Null, empty and blank texts have no
 words and fail. Null languages and sources are groups of their own. Repeated rows are judged each.
@@ -151,7 +152,9 @@ def fences(sketch: DataFrame, spreads: int = SPREADS, prior: int = PRIOR) -> Dat
     groups = sketch.select("group_lang", "group_source").distinct()
     own = groups.join(lang, "group_lang").join(_quantiles(sketch, ["group_lang", "group_source"], "own"), ["group_lang", "group_source", "measure"], "left")
     own = own.withColumns({f"q{p}": F.expr(drawn("own", p, f"wide_q{p}")) for p in QUANTILES})
-    own = own.withColumns({"low": F.when(F.col("measure").isin(*LOWER_FENCE), F.col("q10") - spreads * (F.col("q50") - F.col("q10"))), "high": F.col("q90") + spreads * (F.col("q90") - F.col("q50"))})
+    width = lambda q: F.expr(f"CASE WHEN {q} < 64 THEN 1L ELSE shiftleft(1L, length(bin({q})) - 6) END")
+    below, above = F.greatest(F.col("q50") - F.col("q10"), width("q10")), F.greatest(F.col("q90") - F.col("q50"), width("q90"))
+    own = own.withColumns({"low": F.when(F.col("measure").isin(*LOWER_FENCE), F.col("q10") - spreads * below), "high": F.col("q90") + spreads * above})
     return own.groupBy("group_lang", "group_source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")])
 
 
@@ -188,6 +191,10 @@ def _surely(count: str) -> str:
     return f"CASE WHEN n_words > 0 THEN CAST(floor(1000 * greatest(0, ({part} + 4.5::DOUBLE / n_words - 3 * sqrt({part} * (1 - {part}) / n_words + 2.25::DOUBLE / n_words / n_words)) / (1 + 9::DOUBLE / n_words))) AS BIGINT) ELSE 0 END"
 
 
+def _width(q: str) -> str:
+    return f"CASE WHEN {q} < 64 THEN 1 ELSE CAST(1 AS BIGINT) << (length(bin({q})) - 6) END"
+
+
 def _drawn(name: str, wide: str, out: str) -> str:
     return ", ".join(f"CASE WHEN {name}.n > 0 THEN ({name}.q{p} * {name}.n + {PRIOR} * {wide}.q{p}) // ({name}.n + {PRIOR}) ELSE {wide}.q{p} END AS {out}{p}" for p in QUANTILES)
 
@@ -231,7 +238,7 @@ lq AS (SELECT l.gl, l.measure, {_drawn("l", "e", "q")} FROM q l JOIN q e ON e.le
 gr AS (SELECT DISTINCT gl, gs FROM b),
 oq AS (SELECT gr.gl, gr.gs, w.measure, {_drawn("o", "w", "q")} FROM gr JOIN lq w ON gr.gl = w.gl
        LEFT JOIN q o ON o.level = 0 AND o.gl = gr.gl AND o.gs = gr.gs AND o.measure = w.measure),
-x AS (SELECT v.doc_id, bool_or(v.v > q90 + {SPREADS} * (q90 - q50) OR v.measure IN {LOWER_FENCE} AND v.v < q10 - {SPREADS} * (q50 - q10)) AS beyond
+x AS (SELECT v.doc_id, bool_or(v.v > q90 + {SPREADS} * greatest(q90 - q50, {_width('q90')}) OR v.measure IN {LOWER_FENCE} AND v.v < q10 - {SPREADS} * greatest(q50 - q10, {_width('q10')})) AS beyond
       FROM v JOIN oq ON v.gl = oq.gl AND v.gs = oq.gs AND v.measure = oq.measure GROUP BY v.doc_id)
 SELECT z.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
