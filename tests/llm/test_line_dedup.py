@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from tracelight.llm import line_dedup
 
 
-def distance(a, b):
+def distance(a, b, most=10**9):
+    """The edit distance, or some number over most where it is greater."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return min(row)
     return row[-1]
 
 
@@ -29,7 +32,7 @@ def slow(docs, edits=line_dedup.EDITS, per=line_dedup.CHARS_PER_EDIT):
     for i, a in enumerate(names):
         for b in names[:i]:
             t = min(edits, min(len(a), len(b)) // per)
-            if t and abs(len(a) - len(b)) <= t and top(a) != top(b) and distance(a, b) <= t:
+            if t and abs(len(a) - len(b)) <= t and top(a) != top(b) and distance(a, b, t) <= t:
                 group[top(a)] = top(b)
     first = {}
     for p in places:
