@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tracelight.functions.byte_strings import MIXED_UNITS
 from tracelight.functions.text import column, lowered
 from tracelight.operators import cleaning, detectors
 from tracelight.sources import readers, sinks
@@ -108,4 +109,4 @@ def test_mixed_strings_share_the_byte_between_them(spark):
     data = b"\x01abcdefg\x00h\x00i\x00j\x00k\x00lmnopqr\x02tiny\x02" + "wide one".encode("utf-16le") + b"\x03 a\r\nbcdef \x03" + b"x" * 9000
     rows = readers.extract_strings_mixed(spark.createDataFrame([("f", data), ("g", None), ("h", b"")], "path string, content binary"))
     got = sorted(r["text"] for r in rows.collect())
-    assert got == sorted(["abcdefg", "ghijkl", "lmnopqr", "wide one", "abcdef", "x" * readers.MIXED_CHARS])
+    assert got == sorted(["abcdefg", "ghijkl", "lmnopqr", "wide one", "abcdef", "x" * MIXED_UNITS])

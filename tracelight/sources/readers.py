@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelight.functions.text import ascii_lower
-from tracelight.operators.rules import Rule, parse_rules
+from tracelight.operators.rules import Rule, parse_rule_file
+from tracelight.sources.windows import extract_mixed
 
 #: Folders of systems and builds that hold no evidence.
 SKIPPED_FOLDERS = ("$recycle.bin", "system volume information", "windows", "node_modules", ".git", "target", ".cargo", ".rustup", "__pycache__")
@@ -90,24 +93,13 @@ def extract_strings(df: DataFrame, key: str = "path", content: str = "content",
     return df.select(F.col(key).cast("string"), content).mapInArrow(run, "source string, offset long, kind string, text string")
 
 
-#: Characters that a mixed string keeps at most.
-MIXED_CHARS = 8192
-
-
-def extract_strings_mixed(df: DataFrame, key: str = "path", content: str = "content", min_len: int = MIN_STRING) -> DataFrame:
-    """source and text of narrow and wide strings, line ends and tabs included, found side by side.
+def extract_strings_mixed(df: DataFrame, key: str = "path", content: str = "content", min_len: int = MIN_STRING, extended: bool = False) -> DataFrame:
+    """source, offset and text of narrow and wide strings, line ends and tabs included, that may follow one another within a byte.
 
-    A narrow string is a run of three printable bytes or more, a wide one of printable bytes with a
-    zero between any two; where one follows the other they share a byte. Line ends in a string and
-    blanks around it go; what is then shorter than min_len goes, too.
+    With the extended set, Latin-1's upper half and wide letters beyond it count, too. Line ends in a
+    string and blanks around it go; what is then shorter than min_len goes, too.
     """
-    printable = r"[\x20-\x7E\t\n\r]"
-    raw = F.decode(content, "ISO-8859-1")
-    narrow = F.regexp_extract_all(raw, F.lit(f"{printable}{{{max(3, min_len)},}}"), 0)
-    wide = F.transform(F.regexp_extract_all(raw, F.lit(f"{printable}(?:\\x00{printable}){{{max(2, min_len) - 1},}}"), 0), lambda x: F.replace(x, F.lit("\0"), F.lit("")))
-    found = df.select(F.col(key).cast("string").alias("source"), F.explode(F.concat(narrow, wide)).alias("found"))
-    text = F.btrim(F.translate(F.substring("found", 1, MIXED_CHARS), "\r\n", ""), F.lit(" \t"))
-    return found.select("source", text.alias("text")).filter(F.char_length("text") >= min_len)
+    return extract_mixed(df, key, content, min_len, extended)
 
 
 def chunk_plan(df: DataFrame, chunk: int, overlap: int, key: str = "path", length: str = "length") -> DataFrame:
@@ -128,9 +120,9 @@ def read_file_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """The rules of a user's rule files, which are few and small."""
-    texts = spark.read.text(path, wholetext=True).orderBy("value").collect()
-    return list(dict.fromkeys(r for t in texts for r in parse_rules(t["value"])))
+    """The rules of a user's rule files below path, which are few and small."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), "value")
+    return list(dict.fromkeys(r for f in files.orderBy("file").collect() for r in parse_rule_file(unquote(f["name"]), f["value"])))
 
 
 def read_hash_allowlist(spark: SparkSession, path: str) -> DataFrame:

@@ -36,7 +36,7 @@ def file_system(path: str):
 
 @dataclass
 class Windows(InputPartition):
-    """Windows of one file, or whole small files together: (path, begin, end, size)."""
+    """The windows of a task, of one file or of several: (path, begin, end, size)."""
 
     places: tuple
 
@@ -45,6 +45,7 @@ class WindowReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.pattern, self.mode = options["path"], options.get("pattern", "*"), options.get("mode", "bytes")
         self.window = max(2 * CONTEXT, int(options.get("window", WINDOW)))
+        self.task = max(self.window, int(options.get("task", 0)))
         self.min_len, self.tab, self.extended = int(options.get("min_len", 6)), options.get("include_tab") == "true", options.get("extended") == "true"
 
     def partitions(self):
@@ -61,7 +62,7 @@ class WindowReader(DataSourceReader):
         for f in sorted((f for f in files if f.type == fs.FileType.File and fnmatch(f.base_name, self.pattern)), key=lambda f: f.path):
             for begin in range(0, f.size, self.window):
                 end = min(f.size, begin + self.window)
-                if held + end - begin > self.window and open_places:
+                if held + end - begin > self.task and open_places:
                     out.append(Windows(tuple(open_places)))
                     open_places, held = [], 0
                 open_places.append((f.path, begin, end, f.size))
@@ -105,7 +106,10 @@ class WindowReader(DataSourceReader):
 
 
 class ByteWindows(DataSource):
-    """spark.read.format("byte_windows") with the options path, pattern, window, mode, min_len, include_tab, extended."""
+    """spark.read.format("byte_windows") with the options path, pattern, window, task, mode, min_len, include_tab, extended.
+
+    window: bytes that are scanned at once; task: bytes that a task reads, a window at least.
+    """
 
     @classmethod
     def name(cls):
@@ -139,9 +143,9 @@ def put_together(pieces: DataFrame, keys: list[str], value: str, joined) -> Data
     return lists.select(*keys, F.col("p")[0]["start"].alias("start"), joined(F.transform("p", lambda x: x["value"])).alias(value))
 
 
-def read_strings(spark: SparkSession, path: str, min_len: int = 6, include_tab: bool = False, window: int = WINDOW, pattern: str = "*") -> DataFrame:
+def read_strings(spark: SparkSession, path: str, min_len: int = 6, include_tab: bool = False, window: int = WINDOW, pattern: str = "*", task: int = 0) -> DataFrame:
     """source, offset, kind and text of the printable runs of files: those of extract_strings, window by window."""
-    rows = stored(read_windows(spark, path, "plain", min_len=min_len, include_tab=include_tab, window=window, pattern=pattern))
+    rows = stored(read_windows(spark, path, "plain", min_len=min_len, include_tab=include_tab, window=window, pattern=pattern, task=task))
     whole = rows.filter("NOT left AND NOT right").select("source", "kind", "start", "text")
     joined = put_together(rows.filter("left OR right"), ["source", "kind"], "text", lambda t: F.array_join(t, "")).filter(F.char_length("text") >= min_len)
     return whole.unionByName(joined).select("source", F.col("start").alias("offset"), F.substring_index("kind", "-", 1).alias("kind"), "text")
@@ -157,13 +161,13 @@ def cleaned(units, min_len: int):
     return F.when(F.char_length(text) >= min_len, text)
 
 
-def read_mixed_strings(spark: SparkSession, path: str, min_len: int = 6, extended: bool = False, window: int = WINDOW, pattern: str = "*") -> DataFrame:
+def read_mixed_strings(spark: SparkSession, path: str, min_len: int = 6, extended: bool = False, window: int = WINDOW, pattern: str = "*", task: int = 0) -> DataFrame:
     """source, offset and text of files' narrow and wide strings, as mixed_strings finds them in a whole file.
 
     Each window is scanned for every state in which it can be entered. Which one it is follows
     from the windows before it, a few numbers each, which are run through in order.
     """
-    rows = stored(read_windows(spark, path, "mixed", min_len=min_len, extended=extended, window=window, pattern=pattern))
+    rows = stored(read_windows(spark, path, "mixed", min_len=min_len, extended=extended, window=window, pattern=pattern, task=task))
 
     def entered(batches):
         import pandas as pd
