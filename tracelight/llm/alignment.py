@@ -30,7 +30,7 @@ from .tokens import Encoder, vocabulary
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once in a worker; a longer text is a batch of its own.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 3 << 19
 _loaded: dict = {}
 
 
@@ -227,9 +227,7 @@ def _slices(batches, paths):
         at = 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, "right")))
-            # A copy, so that its buffers begin with its own bytes.
-            own = pa.concat_arrays([texts.slice(at, stop - at)])
-            yield batch.column(0).slice(at, stop - at), Aligned(pa.array(own.to_pylist(), pa.large_string()), *tools)
+            yield batch.column(0).slice(at, stop - at), Aligned(texts.slice(at, stop - at), *tools)
             at = stop
 
 
