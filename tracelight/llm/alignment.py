@@ -30,7 +30,9 @@ from .tokens import Encoder, vocabulary
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once in a worker; a longer text is a batch of its own.
-BATCH_BYTES = 3 << 19
+BATCH_BYTES = 3 << 17
+#: Words that each of a worker's two encoders remembers; of more, the half that most batches used stays.
+MEMO_WORDS = 100_000
 _loaded: dict = {}
 
 
@@ -52,7 +54,21 @@ class ByteTable:
         return self.bytes[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
 
 
-class SpacedEncoder(Encoder):
+class SmallEncoder(Encoder):
+    """An encoder with a smaller memo, as a worker has two."""
+
+    def encode(self, texts):
+        import numpy as np
+
+        out = super().encode(texts)
+        if len(self.words) > MEMO_WORDS:
+            kept = np.zeros(len(self.words), bool)
+            kept[np.argsort(-self.uses, kind="stable")[: MEMO_WORDS // 2]] = True
+            self._keep(kept)
+        return out
+
+
+class SpacedEncoder(SmallEncoder):
     """Ids of a space and the text by a byte-level vocabulary; special tokens' names are plain text."""
 
     def __init__(self, path: str):
@@ -87,7 +103,7 @@ def byte_level_tokens(library) -> list[bytes]:
     return out
 
 
-class PieceEncoder(Encoder):
+class PieceEncoder(SmallEncoder):
     """Ids of texts by a piece vocabulary, with the memo of the byte-level one.
 
     No piece has a space behind another character, so merges never reach across the beginning of a
