@@ -1,5 +1,8 @@
 """Readers, sinks, cleaning, stitching and streams on small files."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tracelight.functions.byte_strings import MIXED_UNITS
@@ -73,6 +76,39 @@ def test_stitching(spark):
     assert sorted(map(str, cleaning.stitch_lines(df.repartition(1)).collect())) == sorted(map(str, cleaning.stitch_lines(df.repartition(8)).collect()))
 
 
+def log_lines(n):
+    """A log in which some lines are cut, some of them in several places, and some never close a quote."""
+    rnd = random.Random(n)
+    kinds = ["plain words {}", r"cmd /c C:\tools\run {}.exe", "C:\\half\\way {}", "\\rest of it {}.exe", 'call "C:\\Users\\u {}', '\\end {}.exe"', "", "ends in ^", "/c more {}", "{}"]
+    return [(i, rnd.choice(kinds).format(i)) for i in range(n)]
+
+
+def test_one_long_source_is_stitched_in_parts(spark):
+    lines = log_lines(30_000)
+    quoted = [(i, f'never closed " C:\\x {i}' if i % 2 else f"more {i}") for i in range(3000)]
+    df = spark.createDataFrame([("long", *r) for r in lines] + [("quoted", *r) for r in quoted] + [(None, *r) for r in lines[:50]], "source string, line_no long, line string").repartition(7)
+    rows = cleaning.stitch_lines(df).collect()
+    for source, own in (("long", lines), ("quoted", quoted), (None, lines[:50])):
+        assert sorted((r["line_no"], r["line"]) for r in rows if r["source"] == source) == sorted(cleaning.stitched(own))
+
+
+def test_a_large_text_file_is_numbered_over_its_splits(spark, tmp_path):
+    rnd = random.Random(3)
+    text = "".join(rnd.choice(["line %d\n", "line %d\r\n", "a\0b %d\n", "\n"]).replace("%d", str(i)) for i in range(4000)) + "no end"
+    (tmp_path / "big.txt").write_bytes(text.encode())
+    (tmp_path / "small.txt").write_text("one\ntwo\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    try:
+        df = readers.read_text_evidence(spark, str(tmp_path))
+        assert df.filter("source LIKE '%big%'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [x for line in text.split("\n") for x in re.split("[\r\0]", line)]
+    assert sorted((r["line_no"], r["line"]) for r in rows if "big" in r["source"]) == list(enumerate(want))
+    assert sorted((r["line_no"], r["line"]) for r in rows if "small" in r["source"]) == [(0, "one"), (1, "two")]
+
+
 def test_adjacent_duplicates(spark):
     df = spark.createDataFrame([("s", 1, "A"), ("s", 2, "a"), ("s", 3, "b"), ("s", 4, "a")], "source string, line_no int, line string").withColumn("lower", column(lowered("line")))
     assert sorted(r["line_no"] for r in cleaning.drop_adjacent_duplicates(df).collect()) == [1, 3, 4]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracelight.functions.dictionaries import SHELL_LAUNCHERS, TRACKED_EXTENSIONS
 from tracelight.functions.text import both, column, lowered, no, replaced, with_steps
 from tracelight.operators.gates import ARTIFACT_HINT, KNOWN_NOISE
+from tracelight.sources.shared import stored
 
 #: From `line` to `clean` and its lower case: counters, escapes and stray digits at the end go, white space is squeezed.
 CLEAN = [
@@ -74,9 +75,11 @@ def _joined(left: str, right: str) -> str:
     return _trimmed(left + ("" if left[-1] in "\\/" or right[0] in "\\/\"'" else " ") + right)
 
 
-def stitched(fragments):
-    """(line_no, text) of the logical lines of one source's fragments, which come in order."""
-    pending = None
+def stitched(fragments, pending=None, ends: bool = True):
+    """(line_no, text) of the logical lines of fragments, which come in order, behind an open line.
+
+    What is open at the end comes as a last line, or without ends as the generator's value.
+    """
     for number, raw in fragments:
         text = raw.strip("\r\n\0").strip()
         if not text:
@@ -92,31 +95,75 @@ def stitched(fragments):
         if not _open(text):
             yield pending
             pending = None
-    if pending:
+    if pending and ends:
         yield pending
+    return pending
 
 
-def stitch_lines(lines: DataFrame) -> DataFrame:
-    """lines(source, line_no, line) with lines that were cut put together again, under their first number.
+_STITCHED = "key string, part int, kind int, line_no long, line string"
+ENTERED, FRAGMENT, LEFT = range(3)
 
-    What a line is joined to depends on all before it, so a source's lines pass one task in order;
-    the task keeps no more than the line that is still open.
-    """
 
-    def run(batches):
-        import pandas as pd
+def _stitched_parts(batches):
+    """The logical lines of each (key, part), and as one row more the line that it leaves open.
 
-        from itertools import chain, groupby
+    A part's first row, of the kind ENTERED, is the line that is open before it.
+    """
+    from itertools import chain, groupby
+
+    import pandas as pd
+
+    names = ["key", "part", "kind", "line_no", "line"]
+    rows = chain.from_iterable(zip(*(b[c].tolist() for c in names)) for b in batches)
+    out = []
+    for (key, part), own in groupby(rows, key=lambda r: r[:2]):
+        *_, number, text = next(own)
+        lines = stitched(((int(n), x) for *_, n, x in own if x is not None), (int(number), text) if text is not None else None, False)
+        while True:
+            try:
+                out.append((key, part, FRAGMENT, *next(lines)))
+            except StopIteration as end:
+                out.append((key, part, LEFT, *(end.value or (-1, None))))
+                break
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+    yield pd.DataFrame(out, columns=names)
 
-        rows = chain.from_iterable(zip(b["source"].tolist(), b["line_no"].tolist(), b["line"].tolist()) for b in batches)
-        out = []
-        for source, own in groupby(rows, key=lambda r: r[0]):
-            for number, text in stitched((n, x) for _, n, x in own if x is not None):
-                out.append((source, number, text))
-                if len(out) >= 10_000:
-                    yield pd.DataFrame(out, columns=["source", "line_no", "line"])
-                    out = []
-        yield pd.DataFrame(out, columns=["source", "line_no", "line"])
 
-    own = lines.select(F.col("source").cast("string").alias("source"), F.col("line_no").cast("long").alias("line_no"), "line")
-    return own.repartition("source").sortWithinPartitions("source", "line_no").mapInPandas(run, "source string, line_no long, line string")
+def stitch_lines(lines: DataFrame) -> DataFrame:
+    """lines(source, line_no, line) with lines that were cut put together again, under their first number.
+
+    What a line is joined to depends on those before it. The lines are sorted by ranges, so that a
+    long source is dealt over many tasks; each part is stitched as if no line were open before it.
+    Where the part before does leave one open, the part is stitched again behind it, until nothing
+    changes: one more round for the few parts that begin within a logical line, and further ones
+    only where that changes what the part itself leaves open. An open line has 16 KiB at most.
+    Lines of equal number go by their text.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    own = lines.select(key.alias("key"), F.col("line_no").cast("long").alias("line_no"), F.col("line").cast("string").alias("line"))
+    own = stored(own.repartitionByRange("key", "line_no", "line").select("*", F.spark_partition_id().alias("part")))
+    parts = stored(own.select("key", "part").distinct())
+    before = W.partitionBy("key").orderBy("part")
+    # The line that is open before each part, as far as is known.
+    entered = parts.select("key", "part", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("line"))
+    done, known = None, entered
+    while True:
+        again = own.join(entered.select("key", "part"), ["key", "part"], "left_semi") if done is not None else own
+        rows = entered.withColumn("kind", F.lit(ENTERED)).unionByName(again.withColumn("kind", F.lit(FRAGMENT)))
+        rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "kind", "line_no", "line").select("key", "part", "kind", "line_no", "line")
+        made = stored(rows.mapInPandas(_stitched_parts, _STITCHED))
+        done = made if done is None else stored(done.join(entered.select("key", "part"), ["key", "part"], "left_anti").unionByName(made))
+        left = done.filter(f"kind = {LEFT}").select("key", "part", *[F.lag(c).over(before).alias(c) for c in ("line_no", "line")])
+        left = left.withColumn("line_no", F.when(F.col("line").isNotNull(), F.col("line_no")))
+        old = known.select("key", "part", F.col("line_no").alias("old_no"), F.col("line").alias("old"))
+        wrong = ~(F.col("line").eqNullSafe(F.col("old")) & F.col("line_no").eqNullSafe(F.col("old_no")))
+        entered = stored(left.join(old, ["key", "part"]).filter(wrong).select("key", "part", "line_no", "line"))
+        if not entered.head(1):
+            break
+        known = stored(known.join(entered.select("key", "part"), ["key", "part"], "left_anti").unionByName(entered))
+    last = W.partitionBy("key").orderBy(F.desc("part"))
+    ends = done.filter(f"kind = {LEFT}").withColumn("n", F.row_number().over(last)).filter("n = 1 AND line IS NOT NULL").drop("n")
+    out = done.filter(f"kind = {FRAGMENT}").unionByName(ends)
+    return out.select(F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source"), "line_no", "line")

@@ -49,6 +49,22 @@ def sorted_rows(rows: DataFrame) -> DataFrame:
     return rows.orderBy(column(RANK).desc(), "section", "line")
 
 
+def ordered_rows(rows: DataFrame, order: str = "signal", index: str = "id") -> DataFrame:
+    """rows(signal, source, marker, epoch and index) by signal (strongest first), source, marker, or time (latest first, undated last)."""
+    keys = {"signal": column(RANK).desc(), "source": F.col("source").asc_nulls_first(), "marker": F.col("marker").asc_nulls_first(), "time": F.coalesce("epoch", F.lit(0)).desc()}
+    return rows.orderBy(keys[order], index)
+
+
+#: Sections whose rows say whether something is still there.
+STATUS_SECTIONS = ("prefetch", "scripts", "start", "dps", "deleted", "trashdeleted")
+
+
+def with_status_kind(rows: DataFrame) -> DataFrame:
+    """rows(section, line) with kind: alive, deleted or other, which all rows of other sections are."""
+    own = rows.withColumn("lower", F.lower("line"))
+    return own.withColumn("kind", F.when(F.col("section").isin(*STATUS_SECTIONS), column(STATUS)).otherwise("other")).drop("lower")
+
+
 def exclude_disks(rows: DataFrame, letters) -> DataFrame:
     """rows without lines that name a path on one of the disks."""
     disks = F.transform(F.regexp_extract_all("line", F.lit(DISK), 1), F.upper)

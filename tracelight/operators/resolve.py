@@ -46,6 +46,30 @@ def prefetch_status(prefetch: DataFrame, inventory: DataFrame) -> DataFrame:
     return prefetch.distinct().join(programs, "program", "left").select("prefetch", "program", "path", F.when(F.col("path").isNotNull(), "no deleted").otherwise("program deleted").alias("status"))
 
 
+def program_status(named: DataFrame, inventory: DataFrame) -> DataFrame:
+    """prefetch, program, path and status of named(prefetch, program, found), one row for each of them.
+
+    A prefetch file none of whose rows is found is missing, whatever its program; of the others the
+    program is there or deleted.
+    """
+    programs = inventory.groupBy(F.col("file_name").alias("program")).agg(F.min("norm").alias("path"))
+    own = named.groupBy("prefetch", "program").agg(F.coalesce(F.bool_or("found"), F.lit(False)).alias("found"))
+    status = F.when(~F.col("found"), "prefetch missing").when(F.col("path").isNotNull(), "no deleted").otherwise("program deleted")
+    return own.join(programs, "program", "left").select("prefetch", "program", F.when(F.col("found"), F.col("path")).alias("path"), status.alias("status"))
+
+
+def scoped_allowlist(files: DataFrame, scope: DataFrame, allowed: DataFrame) -> DataFrame:
+    """norm, sha256 and split of files(norm, content): known or unknown by content within scope(norm), passed beyond it.
+
+    Only the contents of the scope are hashed. Copies of a path count once.
+    """
+    inside = files.join(scope.select("norm").distinct(), "norm", "left_semi").groupBy("norm").agg(F.min(F.sha2("content", 256)).alias("sha256"))
+    known = allowed.select("sha256").distinct().withColumn("known", F.lit(True))
+    hashed = inside.join(known, "sha256", "left").select("norm", "sha256", F.when(F.col("known"), "known").otherwise("unknown").alias("split"))
+    passed = files.select("norm").distinct().join(scope.select("norm"), "norm", "left_anti")
+    return hashed.unionByName(passed.select("norm", F.lit(None).cast("string").alias("sha256"), F.lit("passed").alias("split")))
+
+
 def allowlist_split(files: DataFrame, allowed: DataFrame) -> DataFrame:
     """files(file, content) with known: whether the content's SHA-256 is among allowed(sha256)."""
     known = allowed.select("sha256").distinct().withColumn("known", F.lit(True))

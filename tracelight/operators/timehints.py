@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import patterns
 from tracelight.functions.text import column, group, matches, replaced, with_steps
+from tracelight.operators import paths
 
 HINT = patterns.DATE
 YMD = patterns.DATE_YEAR_FIRST
@@ -46,6 +47,15 @@ def line_hints(lines: DataFrame) -> DataFrame:
     return normal_hints(found).filter("normal_hint is not null").select("line", F.col("normal_hint").alias("hint")).distinct()
 
 
+def file_hints(lines: DataFrame) -> DataFrame:
+    """Distinct key and hint of lines(line): the line's dates, for each file that it names by path (p:) and by name (n:)."""
+    dated = line_hints(lines)
+    named = paths.file_candidates(lines.join(dated.select("line").distinct(), "line", "left_semi"))
+    files = paths.path_parts(named.select("line", F.col("candidate").alias("path"))).filter(column(paths.VALID))
+    keys = F.array_compact(F.array(F.when(F.col("is_abs"), F.concat(F.lit("p:"), "cmp_path")), F.concat(F.lit("n:"), "file_name")))
+    return files.select("line", F.explode(keys).alias("key")).distinct().join(dated, "line").select("key", "hint").distinct()
+
+
 #: The line's minute, or n/a.
 MINUTE = "CASE " + " ".join(
     f"WHEN {matches(p, 'line')} THEN " + " || '-' || ".join(group("line", p, i) for i in day) + " || ' ' || " + " || ':' || ".join(group("line", p, i) for i in clock) for p, day, clock in patterns.MINUTES

@@ -46,3 +46,13 @@ def priority(rows: DataFrame) -> DataFrame:
 def summary(rows: DataFrame) -> DataFrame:
     """The number of rows of each category."""
     return rows.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """category and n: the distinct rows of each category of rows(category, row), without those that only say that there are none.
+
+    Such rows are empty or begin with "no ". A category of nothing else has a count of zero.
+    """
+    said = F.lower(F.btrim("row"))
+    real = (said != "") & ~said.startswith("no ")
+    return rows.distinct().groupBy("category").agg(F.count(F.when(real, 1)).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions.dictionaries import BYPASS_ARTIFACTS, CHEAT_ARTIFACTS
 from tracelight.functions.text import ansi_sql, column, steps_sql
+from tracelight.operators import hosts as H
 from tracelight.operators import links as L
 from tracelight.plans.evidence import LINKS, rows, rows_sql
 
@@ -31,6 +32,46 @@ def both_links(spark, sf_dir):
 BOTH = f"(SELECT link FROM {PAGES} a UNION ALL SELECT link FROM {TEMPLATES} b)"
 
 
+#: Public suffixes of the query, with a wildcard and an exception.
+SUFFIX_RULES = ("com", "org", "net", "example", "io", "co.uk", "*.net", "!example.net", "github.io")
+
+
+def page_hosts(spark, sf_dir):
+    """Hosts of the pages' addresses, and with two more labels before them for every third page."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#]+)", 1))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("a.b"), F.col("page_id").cast("string"), F.lit("."), host)).otherwise(host).alias("host")).filter("host <> ''")
+
+
+def registrable_domains(spark, sf_dir):
+    rules = H.suffix_rules(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string"))
+    return H.registrable(page_hosts(spark, sf_dir), rules)
+
+
+def listed_hosts(spark, sf_dir):
+    """Hosts below those of pages whose number is divisible by 10."""
+    listed = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("page_id % 10 = 0").select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
+    return H.in_host_list(page_hosts(spark, sf_dir), listed)
+
+
+_HOST = "lower(regexp_extract(url, '://([^/?#]+)', 1))"
+_HOSTS = f"(SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN 'a.b' || page_id || '.' || {_HOST} ELSE {_HOST} END AS host FROM pages WHERE {_HOST} <> '')"
+_RULES = ", ".join(f"('{r}')" for r in SUFFIX_RULES)
+# Each rule is tried on the host's end, label by label; lists hold the host's labels.
+_REGISTRABLE = f"""
+WITH h AS (SELECT host, string_split(host, '.') AS p FROM {_HOSTS} x),
+m AS (
+  SELECT host, p, CASE WHEN r LIKE '!%' THEN 1000 + len(string_split(r, '.')) - 1 ELSE len(string_split(r, '.')) END AS size
+  FROM h, (VALUES {_RULES}) v(r)
+  WHERE CASE WHEN r LIKE '*.%' THEN host LIKE '%.' || substr(r, 3) WHEN r LIKE '!%' THEN host = substr(r, 2) OR host LIKE '%.' || substr(r, 2) ELSE host = r OR host LIKE '%.' || r END),
+b AS (SELECT h.host, h.p, coalesce(max(size) % 1000, 1) AS n FROM h LEFT JOIN m ON h.host = m.host GROUP BY h.host, h.p)
+SELECT host, array_to_string(p[len(p) - n + 1:len(p)], '.') AS public_suffix, CASE WHEN n < len(p) AND NOT list_contains(p, '') THEN p[len(p) - n] END AS label,
+       CASE WHEN n < len(p) AND NOT list_contains(p, '') THEN array_to_string(p[len(p) - n:len(p)], '.') END AS domain
+FROM b"""
+_LISTED = f"""SELECT host, max_by(entry, len(entry)) AS matched FROM {_HOSTS} h
+JOIN (SELECT DISTINCT {_HOST} AS entry FROM pages WHERE page_id % 10 = 0 AND {_HOST} <> '') l ON h.host = l.entry OR ends_with(h.host, '.' || l.entry) GROUP BY host"""
+
+
 def link_parts(spark, sf_dir):
     return L.parsed(both_links(spark, sf_dir)).select("link", "scheme", "host", "path", "label", "normal")
 
@@ -40,6 +81,8 @@ def bare_domains(spark, sf_dir):
 
 
 QUERIES = {
+    "registrable_domains": registrable_domains,
+    "listed_hosts": listed_hosts,
     "domain_frequency": lambda spark, d: L.domain_frequency(page_links(spark, d)),
     "normalize_links": lambda spark, d: L.normalized(both_links(spark, d)),
     "link_parts": link_parts,
@@ -69,6 +112,8 @@ def _keyword_sql(words):
 
 _MIN = "CASE WHEN (SELECT count(*) FROM h) > 40000 THEN 16 WHEN (SELECT count(*) FROM h) > 15000 THEN 12 WHEN (SELECT count(*) FROM h) > 6000 THEN 8 ELSE 4 END"
 ORACLE_SQL = {
+    "registrable_domains": _REGISTRABLE,
+    "listed_hosts": _LISTED,
     "extract_links": _FOUND,
     "domain_frequency": f"""
 WITH h AS (SELECT host, count(*) AS n FROM {steps_sql(DISTINCT_PAGES, L.PARTS)} t WHERE {test(L.PARSED)} GROUP BY host)

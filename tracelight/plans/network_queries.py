@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tracelight.functions.text import ansi_sql, column, lowered, steps_sql
 from tracelight.operators import detectors, dump, taggers, triage
 from tracelight.operators import network as N
-from tracelight.operators import report
+from tracelight.operators import artifact_rows, report
 from tracelight.plans import command_queries, link_queries, path_queries
 from tracelight.plans.evidence import DUMP, NOTED, rows, rows_sql
+from tracelight.sources.shared import stored
 
 RAW = rows_sql(DUMP, "events", "event_id")
 LINES = f"(SELECT *, {ansi_sql(lowered('line'))} AS lower FROM {RAW} e)"
@@ -43,10 +44,15 @@ SELECT DISTINCT e.logon_id, e.bucket, e.line, a.auth_events FROM e JOIN a ON e.l
 
 
 def artifacts(spark, d):
-    """Sections of dump lines by source, the line's number mod 40, with scored tools as one more section."""
+    """Sections of dump lines by source, the line's number mod 40, with scored tools as one more section.
+
+    Only command lines are scored, so that they are taken from the sections, which are found once.
+    """
     own = detectors.with_lower(rows(spark, d, DUMP, "events", "event_id")).withColumn("source", F.col("id") % 40)
-    scored = N.lolbin_scores(own, "source").select("source", F.lit("lolbin_network").alias("section"), "line")
-    return N.sections(own, "source").select("source", "section", "line").unionByName(scored)
+    found = stored(N.sections(own, "source").select("source", "section", "line"))
+    commands = detectors.with_lower(found.filter("section IN ('command_buffers', 'shell_history')").select("source", "line").distinct())
+    scored = N.lolbin_scores(commands, "source").select("source", F.lit("lolbin_network").alias("section"), "line")
+    return found.unionByName(scored)
 
 
 _SECTIONS = " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS section, '{marker}' AS marker, line FROM {ENDPOINTS} l WHERE {ansi_sql(test)}" for name, (marker, test) in N.SECTIONS.items())
@@ -87,6 +93,65 @@ _TRIAGE = " UNION ALL ".join([
 ])
 _WEAK = "category = 'rules' AND len(list_filter(string_split(split_part(lower, ' | ', 2), ','), lambda r: trim(r) NOT IN ('suspect', 'obf', 'entropy'))) = 0"
 
+JAVA_LINES = (
+    r"javaw.exe manualmap writeprocessmemory createremotethread {id}", r"C:\java\bin\java.exe inject manualmap shellcode queueuserapc ntcreatethreadex {id}", r"javaw.exe -agentlib:x javaagent: hollow virtualallocex loadlibrary setwindowshookex {id}",
+    r"javaw.exe shellcode writeprocessmemory virtualprotectex {id} " + "long " * 60, r"javaw.exe plain {id}",
+)
+
+
+def java_rows(spark, d):
+    """Sections of dump lines and of lines on Java processes."""
+    own = rows(spark, d, JAVA_LINES, "events", "event_id").select("line").unionByName(lines(spark, d).select("line"))
+    return detectors.with_lower(N.sections(detectors.with_lower(own)).select("section", "line"))
+
+
+_JAVA = f"""(SELECT DISTINCT line, lower FROM {steps_sql(f"(SELECT *, {ansi_sql(lowered('line'))} AS lower FROM (SELECT line FROM {rows_sql(JAVA_LINES, 'events', 'event_id')} a UNION ALL SELECT line FROM {RAW} b) x)", N.ENDPOINT)} l WHERE {ansi_sql(N.JAVA_PROCESS)})"""
+
+
+def status_kinds(spark, d):
+    """Prefetch and diagnostic rows with their status, and other rows that hold the same words."""
+    prefetched = path_queries.QUERIES["program_status"](spark, d).select(F.lit("prefetch").alias("section"), F.concat_ws(" | ", "prefetch", "status").alias("line"))
+    watched = path_queries.QUERIES["dps_status"](spark, d).select(F.lit("dps").alias("section"), F.concat_ws(" | ", "file_name", "status").alias("line"))
+    return report.with_status_kind(prefetched.unionByName(watched).unionByName(watched.withColumn("section", F.lit("notes"))))
+
+
+_WATCHED = f"SELECT 'dps' AS section, file_name || ' | ' || status AS line FROM ({path_queries.ORACLE_SQL['dps_status']}) w"
+_STATUSES = f"SELECT 'prefetch' AS section, prefetch || ' | ' || status AS line FROM ({path_queries.ORACLE_SQL['program_status']}) p UNION ALL {_WATCHED} UNION ALL SELECT 'notes', line FROM ({_WATCHED}) n"
+
+
+def report_rows(spark, d):
+    """Dump lines as numbered report rows with their parts and signal."""
+    own = lines(spark, d)
+    marker = F.element_at(F.array(*map(F.lit, ("net", "proxy", "event", "shell"))), (F.col("id") % 4 + 1).cast("int"))
+    tagged = F.concat(F.lit("[s"), (F.col("id") % 9).cast("string"), F.lit("] ["), marker, F.lit("] "), F.col("line"))
+    parsed = artifact_rows.parse_artifact_rows(own.select("id", "line", "lower", F.lit("network_artifacts").alias("section"), tagged.alias("tagged")))
+    return parsed.withColumn("signal", column(report.SIGNAL))
+
+
+def ordered(order: str):
+    return lambda spark, d: report.ordered_rows(report_rows(spark, d), order).select("id", "source", "marker", "signal")
+
+
+_MARKER_OF = "CASE id % 4 WHEN 0 THEN 'network_artifact' WHEN 1 THEN 'proxy_trace' WHEN 2 THEN 'event_trace' ELSE 'shell_history' END"
+_ORDERED = f"SELECT id, 's' || (id % 9) AS source, {_MARKER_OF} AS marker, {ansi_sql(report.SIGNAL)} AS signal FROM (SELECT *, 'network_artifacts' AS section FROM {LINES} l) x"
+
+
+def counted_rows(spark, d):
+    """category and row of detector categories, sections, links, files and rules, and rows that say that there are none."""
+    row = lambda df, category, *parts: df.select(F.lit(category).alias("category"), F.concat_ws(" | ", *[F.col(p).cast("string") for p in parts]).alias("row"))
+    out = command_queries.QUERIES["classify_lines"](spark, d)
+    out = out.select("category", F.col("line").alias("row"))
+    out = out.unionByName(N.sections(lines(spark, d)).select(F.col("section").alias("category"), F.col("line").alias("row")))
+    out = out.unionByName(row(link_queries.QUERIES["suspicious_links"](spark, d), "suspicious_links", "link")).unionByName(row(link_queries.QUERIES["download_links"](spark, d), "download_links", "link"))
+    out = out.unionByName(row(path_queries.QUERIES["suspicious_files"](spark, d), "suspicious_files", "norm")).unionByName(row(path_queries.QUERIES["rule_hits"](spark, d), "rule_hits", "file", "client"))
+    negative = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 50 = 0").select(F.concat(F.lit("No rows of kind "), F.col("p_partkey").cast("string")).alias("row"))
+    return out.unionByName(negative.withColumn("category", F.lit("suspicious_files")).select("category", "row")).unionByName(negative.withColumn("category", F.lit("yara")).select("category", "row"))
+
+
+_COUNTED = f"""SELECT category, line AS row FROM ({command_queries.ORACLE_SQL['classify_lines']}) c UNION SELECT section, line FROM ({_SECTIONS}) s
+UNION SELECT 'suspicious_links', link FROM ({link_queries.ORACLE_SQL['suspicious_links']}) k UNION SELECT 'download_links', link FROM ({link_queries.ORACLE_SQL['download_links']}) k
+UNION SELECT 'suspicious_files', norm FROM ({path_queries.ORACLE_SQL['suspicious_files']}) f UNION SELECT 'rule_hits', file || ' | ' || client FROM ({path_queries.ORACLE_SQL['rule_hits']}) r"""
+
 NOTED_LINES = f"(SELECT *, {ansi_sql(lowered('line'))} AS lower FROM {rows_sql(NOTED, 'events', 'event_id')} e)"
 ALL_LINES = f"(SELECT line, lower FROM {NOTED_LINES} a UNION ALL SELECT line, lower FROM {command_queries.LINES} b)"
 NEEDLES = ("liquidbounce", "ab")
@@ -113,6 +178,13 @@ _NORMAL = f"(SELECT id, text AS line, lower FROM (SELECT *, {ansi_sql(lowered('t
 _MODULE = "CASE WHEN id % 2 = 0 THEN 'unloaded-module' ELSE 'module' END"
 
 QUERIES = {
+    "java_reasons": lambda spark, d: N.java_reasons(java_rows(spark, d)),
+    "status_kinds": status_kinds,
+    "rows_by_signal": ordered("signal"),
+    "rows_by_source": ordered("source"),
+    "rows_by_marker": ordered("marker"),
+    "rows_by_time": lambda spark, d: report.ordered_rows(report_rows(spark, d), "time").select("id", "epoch"),
+    "summary_counters": lambda spark, d: triage.counters(counted_rows(spark, d)),
     "fast_lines": fast_lines,
     "dump_gates": dump_gates,
     "dump_notes": lambda spark, d: dump.notes(noted(spark, d)),
@@ -136,6 +208,14 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "java_reasons": f"""SELECT line, CASE WHEN r = '' THEN 'Behavioral signal' ELSE r END AS reason, substr(line, 1, 220) AS detail FROM (SELECT line, concat_ws('+',
+    CASE WHEN lower LIKE '%writeprocessmemory%' THEN 'WriteProcessMemory' END, CASE WHEN lower LIKE '%createremotethread%' OR lower LIKE '%ntcreatethreadex%' THEN 'RemoteThread' END,
+    CASE WHEN lower LIKE '%manualmap%' THEN 'ManualMap' END, CASE WHEN lower LIKE '%queueuserapc%' THEN 'QueueUserAPC' END, CASE WHEN lower LIKE '%shellcode%' THEN 'Shellcode' END) AS r FROM {_JAVA} j) x""",
+    "status_kinds": f"SELECT section, line, CASE WHEN section = 'notes' THEN 'other' WHEN contains(line, 'no deleted') THEN 'alive' WHEN contains(line, 'deleted') OR contains(lower(line), 'missing') THEN 'deleted' ELSE 'other' END AS kind FROM ({_STATUSES}) s",
+    "rows_by_signal": f"SELECT * FROM ({_ORDERED}) o ORDER BY CASE signal WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, id",
+    "rows_by_source": f"SELECT * FROM ({_ORDERED}) o ORDER BY source, id",
+    "rows_by_marker": f"SELECT * FROM ({_ORDERED}) o ORDER BY marker, id",
+    "summary_counters": f"SELECT category, count(*) AS n FROM ({_COUNTED}) c GROUP BY category UNION ALL SELECT 'yara', 0",
     "fast_lines": f"SELECT DISTINCT line FROM {ALL_LINES} l WHERE {ansi_sql(dump.fast_gate(NEEDLES))}",
     "dump_gates": f"SELECT id, line, {ansi_sql(dump.INTERESTING)} AS interesting, {ansi_sql(dump.HARD)} AS hard FROM {_NORMAL} n",
     "dump_notes": f"SELECT DISTINCT {ansi_sql(dump.EVENT_TAG)} AS marker, line FROM {NOTED_LINES} l WHERE {ansi_sql(dump.EVENT_TAG)} IS NOT NULL UNION ALL "

@@ -122,6 +122,33 @@ def prefetch_status(spark, d):
     return R.prefetch_status(own, inventory(spark, d))
 
 
+def program_status(spark, d):
+    """Prefetch names with whether their path is whole, and their programs, against the inventory."""
+    own = P.with_steps(parts(spark, d), P.PREFETCH_STEPS).filter("prefetch is not null").select("prefetch", "program", F.col("is_abs").alias("found"))
+    return R.program_status(own, inventory(spark, d))
+
+
+#: Files of the scope in the query on contents.
+QUERY_SCOPE = 40
+
+
+def scoped_allowlist(spark, d):
+    """Files whose content is their path in lower case; known are the contents of every other part's file."""
+    own = parts(spark, d).filter("norm <> ''").select("norm", F.col("cmp_path").alias("content"))
+    known = P.path_parts(rows(spark, d, PATHS, "part", "p_partkey", "path").filter("id % 2 = 0").select("path").distinct()).select(F.sha2("cmp_path", 256).alias("sha256"))
+    return R.scoped_allowlist(own, candidates.hash_scope(paths(spark, d), QUERY_SCOPE), known)
+
+
+def tool_scope(spark, d):
+    """All files found, and those that are missing: whole paths, names and prefetch files."""
+    missing = [
+        resolve_full(spark, d).filter("how = 'missing'").select(F.col("norm").alias("ref")),
+        resolve_names(spark, d).filter("resolved IS NULL").select(F.col("file_name").alias("ref")),
+        prefetch_missing(spark, d).select(F.col("prefetch").alias("ref")), program_status(spark, d).filter("status = 'program deleted'").select(F.col("prefetch").alias("ref")),
+    ]
+    return candidates.union_of(all_files(spark, d), *missing)
+
+
 def allowlist(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("file"), F.col("text").alias("content"))
     return R.allowlist_split(docs, docs.filter("file % 2 = 0").select(F.sha2("content", 256).alias("sha256")))
@@ -191,7 +218,78 @@ def _refs_sql(source: str) -> str:
 
 _STARTED = f"(SELECT unnest(regexp_extract_all(line, '{P.PROCESS_START}', 1)) AS line FROM {LINES} l)"
 
+def candidate_lines(spark, d):
+    """The lines of documents, and template lines that name files."""
+    own = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
+    return own.unionByName(lines(spark, d))
+
+
+def device_paths(spark, d):
+    """Parts' paths, every other one on a device volume, of one of three hosts."""
+    own = rows(spark, d, PATHS, "part", "p_partkey", "path").select("id", (F.col("id") % 3).cast("int").alias("host"), "path")
+    device = F.concat(F.lit("\\Device\\HarddiskVolume"), (F.col("id") % 5 + 1).cast("string"), F.lit("\\dir\\f"), F.col("id").cast("string"), F.lit(".exe"))
+    return own.withColumn("path", F.when(F.col("id") % 2 == 0, device).otherwise(F.col("path")))
+
+
+VOLUMES = ((0, 1, "C:"), (0, 2, "d"), (1, 1, "E:\\"), (1, 4, "F:"))
+
+
+def device_drives(spark, d):
+    """Device paths by the volume tables of hosts 0 and 1; host 2 has none."""
+    volumes = spark.createDataFrame(VOLUMES, "host int, volume int, drive string")
+    return P.path_parts(P.mapped_volumes(device_paths(spark, d), volumes)).select("id", "host", "norm")
+
+
+_ALL_LINES = f"(SELECT unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT line FROM {LINES} l)"
+# Each extension that ends a word, by its place in the line; the candidate begins behind the last stop before it.
+_GROWN = rf"""
+WITH l AS (SELECT DISTINCT line FROM {_ALL_LINES} x WHERE line IS NOT NULL),
+s AS (SELECT line, unnest(regexp_extract_all(line, '[^
+
+	"''<>|,;@#$^&`]*[
+
+	"''<>|,;@#$^&`]?')) AS part FROM l WHERE contains(line, '.')),
+g AS (SELECT line, part, regexp_extract_all(part, '(?s).*?\.[A-Za-z0-9]{{1,16}}') AS p FROM s WHERE contains(part, '.')),
+e AS (SELECT line, part, array_to_string(p[1:k], '') AS c FROM (SELECT line, part, p, unnest(range(1, len(p) + 1)) AS k FROM g) x),
+c AS (SELECT line, trim(c) AS candidate FROM e WHERE substr(part, length(c) + 1, 1) = '' OR regexp_matches(substr(part, length(c) + 1, 1), '[ 	
+
+"''`<>,;:|)\]}}]')
+      UNION ALL SELECT line, trim(unnest(regexp_extract_all(line, {ansi_sql(chr(1) + P.ROOTED + chr(2))}))) FROM l)
+SELECT line, min(candidate) AS candidate FROM c WHERE candidate <> '' GROUP BY line, translate(candidate, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_LETTERS_OF = " ".join(f"WHEN host = {h} AND v = {v} THEN '{drive[0].upper()}'" for h, v, drive in VOLUMES)
+_DEVICE = rf"""(SELECT id, CAST(id % 3 AS INT) AS host, CASE WHEN id % 2 = 0 THEN (CASE {_LETTERS_OF.replace('host', '(id % 3)').replace('v =', '(id % 5 + 1) =')} ELSE '\Device\HarddiskVolume' || (id % 5 + 1) END)
+    || CASE WHEN (id % 3 = 0 AND id % 5 + 1 IN (1, 2)) OR (id % 3 = 1 AND id % 5 + 1 IN (1, 4)) THEN ':' ELSE '' END || '\dir\f' || id || '.exe' ELSE path END AS path
+    FROM {rows_sql(PATHS, 'part', 'p_partkey', 'path')} e)"""
+
+RED_PATHS = (
+    r"C:\a\b.exe", r"C:\Program Files\x\Program Files\y{id}.exe", r"C:\a::b{id}.exe", r"C:\%a%\%b%\{id}.exe", r"C:\a  b\{id}.exe", "C:\\a\\ \\{id}.exe", r"C:\one two three four five six seven{id}\x.exe",
+    r"C:\a.exe\b{id}.dll", r"C:\x\a.exe b{id}.dll", r"C:\x\a.e b{id}", r"C:\x\me@host{id}.dll", "C:\\", r"\\host\share", r"\\host\share\f{id}.exe", r"\Device\HarddiskVolume40\d\f{id}.exe",
+    r"C:\windir=C:\x{id}", r"C:\a\D:\b\E:\c{id}", "C:\\" + "long" * 31 + r"\{id}.exe", "C:\\" + "deep\\" * 80 + "{id}.exe", r"C:\Windows\a\Windows\b\Windows\c\Windows\d{id}.exe", r"plain{id}.exe", r"C:\a ~{x} {id}.exe",
+)
+
+
+def red_paths(spark, d):
+    own = rows(spark, d, RED_PATHS, "part", "p_partkey", "path").select("path")
+    return own.unionByName(paths(spark, d)).distinct()
+
+
+def hinted_lines(spark, d):
+    """Template lines, and conversations' lines with a date and a file of their turn."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").filter("turn > 0")
+    stamp = F.concat(F.lit("2024-01-"), F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0"), F.lit(" 10:00:00"))
+    own = turns.select(F.concat(stamp, F.lit(" my tool "), F.col("conv_id").cast("string"), F.lit(".exe, "), F.substring_index("text", "\n", 1)).alias("line"))
+    return lines(spark, d).unionByName(own)
+
+
 QUERIES = {
+    "path_red_flags": lambda spark, d: P.path_red_flags(red_paths(spark, d)),
+    "file_time_hints": lambda spark, d: timehints.file_hints(hinted_lines(spark, d)),
+    "program_status": program_status,
+    "scoped_allowlist": scoped_allowlist,
+    "tool_scope": tool_scope,
+    "file_candidates": lambda spark, d: P.file_candidates(candidate_lines(spark, d)),
+    "routed_candidates": lambda spark, d: P.routed_candidates(P.file_candidates(candidate_lines(spark, d))),
+    "device_drives": device_drives,
     "normalize_paths": normalize_paths,
     "path_flags": path_flags,
     "prefetch_names": prefetch_names,
@@ -244,6 +342,9 @@ _CANDIDATES = ansi_sql(f"\x01{P.ROOTED}\x02")
 _NORMED = f"(SELECT DISTINCT path, norm FROM {steps_sql(f'(SELECT DISTINCT unnest(regexp_extract_all(line, {_CANDIDATES})) AS path FROM {LINES} l)', P.NORMAL)} p WHERE norm <> '' AND lower(norm) <> lower(path))"
 
 ORACLE_SQL = {
+    "file_candidates": _GROWN,
+    "routed_candidates": f"SELECT DISTINCT {P.ROUTES} AS route, CASE WHEN is_abs THEN norm ELSE file_name END AS ref, ext FROM {steps_sql(f'(SELECT DISTINCT candidate AS path FROM ({_GROWN}) c)', P.STEPS)} p WHERE ext <> '' AND norm <> ''",
+    "device_drives": f"SELECT id, host, norm FROM {steps_sql(_DEVICE, P.STEPS)} d",
     "suspicious_files": f"""SELECT DISTINCT norm FROM {PARTS} p WHERE cmp_path <> '' AND strlen(cmp_path) <= 320 AND NOT {_plain(CACHE_PATHS, 'cmp_path')} AND NOT {_plain(BUILD_PATHS, 'cmp_path')} AND NOT {_FALSE}
     AND (ends_with(file_name, '.exe') OR ends_with(file_name, '.dll') OR ends_with(file_name, '.sys')) AND ({_worded(CHEAT_ARTIFACTS, 'cmp_path')} OR {_worded(BYPASS_ARTIFACTS, 'cmp_path')}
     OR {_worded([w for w in SUSPICIOUS if len(w) > 4], 'file_name')}) AND (NOT {_SYSTEM} OR {_plain(["/appdata/", "/programdata/", "/users/public/", "/temp/", "/recycle.bin/", "/drivers/"], "replace(cmp_path, chr(92), '/')")})""",
@@ -302,3 +403,31 @@ SELECT prefetch, program, path, CASE WHEN path IS NOT NULL THEN 'no deleted' ELS
     "rule_hits_by_file": f"SELECT file, string_agg(client, ',' ORDER BY client) AS clients, count(*) AS n FROM ({_HITS}) h GROUP BY file",
 }
 ORACLE_SQL["all_files"] = f"""SELECT resolved AS ref FROM ({ORACLE_SQL['resolve_full']}) a WHERE how <> 'missing' UNION SELECT resolved FROM ({ORACLE_SQL['resolve_names']}) b WHERE resolved IS NOT NULL UNION SELECT prefetch FROM {_PREFETCHED} p"""
+ORACLE_SQL["program_status"] = f"""WITH n AS (SELECT prefetch, program, coalesce(bool_or(is_abs), false) AS found FROM {_PREFETCHED} p GROUP BY prefetch, program), i AS (SELECT file_name, min(norm) AS path FROM {INVENTORY} i GROUP BY file_name)
+SELECT prefetch, program, CASE WHEN found THEN path END AS path, CASE WHEN NOT found THEN 'prefetch missing' WHEN path IS NULL THEN 'program deleted' ELSE 'no deleted' END AS status FROM n LEFT JOIN i ON program = file_name"""
+ORACLE_SQL["scoped_allowlist"] = f"""WITH s AS (SELECT norm FROM ({ORACLE_SQL['hash_scope']}) h ORDER BY priority DESC, norm LIMIT {QUERY_SCOPE}), f AS (SELECT norm, min(sha256(cmp_path)) AS sha256 FROM {PARTS} p WHERE norm <> '' GROUP BY norm),
+k AS (SELECT DISTINCT sha256(cmp_path) AS sha256 FROM {steps_sql(f"(SELECT DISTINCT path FROM {rows_sql(PATHS, 'part', 'p_partkey', 'path')} e WHERE id % 2 = 0)", P.STEPS)} p)
+SELECT norm, CASE WHEN norm IN (SELECT norm FROM s) THEN sha256 END AS sha256, CASE WHEN norm NOT IN (SELECT norm FROM s) THEN 'passed' WHEN sha256 IN (SELECT sha256 FROM k) THEN 'known' ELSE 'unknown' END AS split FROM f"""
+ORACLE_SQL["tool_scope"] = f"""SELECT ref FROM ({ORACLE_SQL['all_files']}) a UNION SELECT norm FROM ({ORACLE_SQL['resolve_full']}) b WHERE how = 'missing' UNION SELECT file_name FROM ({ORACLE_SQL['resolve_names']}) c WHERE resolved IS NULL
+UNION SELECT prefetch FROM ({ORACLE_SQL['prefetch_missing']}) d UNION SELECT prefetch FROM ({ORACLE_SQL['program_status']}) e WHERE status = 'program deleted'"""
+_RED = f"(SELECT DISTINCT path FROM (SELECT path FROM {rows_sql(RED_PATHS, 'part', 'p_partkey', 'path')} a UNION ALL SELECT path FROM {DISTINCT} b) x)"
+_MENTIONS = " + ".join(f"contains(z, '{x}')::INT" for x in P.MENTIONED)
+# The path's segments as a list, each judged by itself.
+ORACLE_SQL["path_red_flags"] = rf"""
+WITH p AS (SELECT path, norm, lower(norm) AS l FROM {steps_sql(_RED, P.STEPS)} s),
+t AS (SELECT *, CASE WHEN starts_with(norm, '\\') THEN list_filter(string_split(array_to_string(string_split(substr(norm, 3), '\')[3:], '\'), '\'), lambda x: x <> '')
+      WHEN regexp_matches(norm, '^[A-Za-z]:\\') THEN list_filter(string_split(substr(norm, 4), '\'), lambda x: x <> '')
+      ELSE list_filter(string_split(regexp_replace(norm, '(?i)^\\device\\harddiskvolume[0-9]+\\', ''), '\'), lambda x: x <> '') END AS g FROM p),
+u AS (SELECT *, list_transform(g, lambda x: trim(x)) AS q, lower(trim(g[len(g)])) AS z FROM t)
+SELECT path, norm, coalesce(strlen(norm) > 380 OR len(list_filter(['pathext=.com;.exe', 'logonserver=', 'allusersprofile=', 'localappdata=', 'commonprogramfiles=', 'commonprogramw6432=', 'systemroot=', 'userprofile=', 'windir='], lambda x: contains(l, x))) > 0
+  OR len(string_split(l, ':\')) > 3 OR len(string_split(l, '\device\harddiskvolume')) > 3 OR contains(l, '&#x') OR contains(l, '~{{') OR len(string_split(l, '\program files')) > 2 OR len(string_split(l, '\windows\')) > 4
+  OR (contains(l, '::') AND NOT contains(l, '://')) OR len(string_split(l, '%')) > 4 OR len(g) = 0
+  OR len(list_filter(q, lambda x: x = '' OR length(x) > 120 OR contains(x, '  ') OR len(regexp_extract_all(x, '\s')) > 5 OR regexp_matches(x, '.\.[A-Za-z0-9]{{1,8}}\s'))) > 0
+  OR len(list_filter(q[:len(q) - 1], lambda x: regexp_matches(lower(x), '\.(exe|dll|jar|bat|cmd|ps1|pf)'))) > 0
+  OR (contains(z, ' ') AND {_MENTIONS} >= 2) OR (contains(z, '@') AND (contains(z, '.dll') OR contains(z, '.exe'))) OR contains(z, '.e '), false) AS red_flags
+FROM u"""
+_HINTED = f"""(SELECT line FROM {LINES} a UNION ALL SELECT '2024-01-' || lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0') || ' 10:00:00 my tool ' || conv_id || '.exe, ' || string_split(text, chr(10))[1] FROM conversations WHERE turn > 0)"""
+_HINT_DATES = f"(SELECT DISTINCT line, normal_hint AS hint FROM {steps_sql(f'(SELECT line, unnest(regexp_extract_all(line, {ansi_sql(chr(1) + timehints.HINT + chr(2))})[1:3]) AS hint FROM {_HINTED} l)', timehints.STEPS)} h WHERE normal_hint IS NOT NULL)"
+_HINT_FILES = f"(SELECT * FROM {steps_sql('(SELECT line, candidate AS path FROM (' + _GROWN.replace(_ALL_LINES, _HINTED) + ') c)', P.STEPS)} p WHERE {ansi_sql(P.VALID)})"
+ORACLE_SQL["file_time_hints"] = f"""WITH h AS {_HINT_DATES}, f AS {_HINT_FILES}
+SELECT DISTINCT key, hint FROM (SELECT line, 'n:' || file_name AS key FROM f UNION SELECT line, 'p:' || cmp_path FROM f WHERE is_abs) k JOIN h ON k.line = h.line"""

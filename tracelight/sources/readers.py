@@ -5,6 +5,7 @@ from __future__ import annotations
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelight.functions.text import ascii_lower
@@ -17,12 +18,20 @@ MIN_STRING = 6
 
 
 def read_text_evidence(spark: SparkSession, path: str, skipped=SKIPPED_FOLDERS) -> DataFrame:
-    """source, line_no and line of every .txt file below path, but for skipped folders."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("source"), "value")
-    folders = F.split(ascii_lower("source"), "/")
-    own = files.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
-    return tables_as_lines(own, "value", "source")
+    """source, line_no and line of every .txt file below path, but for skipped folders.
+
+    Spark's reader deals a large file over many tasks. Its lines are numbered from the counts of the
+    splits before theirs, a row for each split; what follows the last line end is no line if empty.
+    """
+    own = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, lineSep="\n")
+    own = own.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"), "value")
+    own = own.filter(~F.arrays_overlap(F.split(ascii_lower("source"), "/"), F.array(*map(F.lit, skipped))))
+    # A split's lines follow one another in its task.
+    lines = own.select("source", "split", F.explode(F.split("value", "[\r\x00]")).alias("line")).withColumn("at", F.monotonically_increasing_id())
+    splits = lines.groupBy("source", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("source", "split", (before - F.col("first")).alias("shift"))
+    return lines.join(splits, ["source", "split"]).select("source", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def tables_as_lines(df: DataFrame, text: str, key: str) -> DataFrame:
