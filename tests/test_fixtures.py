@@ -16,12 +16,12 @@ def flags(spark, tests, lines, steps=()):
 
 DETECTED = [
     ("regdel", r'cmd /c reg delete "HKEY_LOCAL_MACHINE\Software\Bad" /f', True),
-    ("regdel", "gregdeletehkeyzzz", False),
+    ("regdel", "unregdelete of hkeys in one word", False),
     ("regdel", "reg and hkey only", False),
     ("replace", "type input.txt > output.txt", True),
     ("replace", "copy src.dll /-y dst.dll", True),
     ("replace", "Echo this line", False),
-    ("replace", "copy onlyone", False),
+    ("replace", "copy lone-operand.txt", False),
     ("replace", "cmd /c echo off > nul", False),
     ("fileless", "powershell -EncodedCommand QQ==", True),
     ("fileless", "iex x", False),

@@ -54,6 +54,9 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("b", "2"), ("a", "1"), ("b", "2"), ("b", "1")], "category string, line string")
     sinks.write_categories(rows, str(tmp_path / "c"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "c")).select("category", "line").collect())) == [("a", "1"), ("b", "1"), ("b", "2")]
+    sections = spark.createDataFrame([("b", "m", "2"), ("a", "m", "1"), ("b", "m", "2"), ("b", "m", "1")], "section string, marker string, line string")
+    sinks.write_sections(sections, str(tmp_path / "s"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).select("section", "marker", "line").collect())) == [("a", "m", "1"), ("b", "m", "1"), ("b", "m", "2")]
     files = spark.createDataFrame([("p", 1, 5, bytearray(b"x")), ("q", 1, 5, bytearray(b"y"))], "path string, size long, mtime long, content binary")
     sinks.write_hash_cache(sinks.with_cached_hashes(files, None).filter("path = 'p'"), str(tmp_path / "h"))
     changed = files.withColumn("content", F.lit(b"changed").cast("binary"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 _CONSTANT = re.compile("\x01(.*?)\x02", re.S)
+#: One of several constants is contained: what is searched, and the constants.
+_ANY = re.compile("\x03(.*?)\x04((?:\x01.*?\x02)+)\x05", re.S)
 #: Names that differ: Spark's and the other spelling.
 _NAMES = {"rx": ("regexp_like", "regexp_matches"), "octets": ("octet_length", "strlen"), "chars": ("char_length", "length"), "rxcount": ("regexp_count", "rxcount"), "epoch": ("unix_timestamp", "epoch")}
 
@@ -34,7 +36,20 @@ def group(of: str, pattern: str, n: int = 1) -> str:
     return f"regexp_extract({of}, {s(pattern)}, {n})"
 
 
+def _one_of(sql: str, form) -> str:
+    return _ANY.sub(lambda m: form(m[1], _CONSTANT.findall(m[2])), sql)
+
+
+def _contains_one(of: str, texts: list[str]) -> str:
+    """Plain searches one after another, which are far cheaper than an alternation; of is computed once."""
+    needles = ", ".join(map(s, texts))
+    if re.fullmatch(r"\w+", of):
+        return f"exists(array({needles}), needle -> contains({of}, needle))"
+    return f"element_at(transform(array({of}), hay -> exists(array({needles}), needle -> contains(hay, needle))), 1)"
+
+
 def spark_sql(sql: str) -> str:
+    sql = _one_of(sql, _contains_one)
     sql = sql.replace("@all", "")
     for name, (own, _) in _NAMES.items():
         sql = sql.replace(f"@{name}(", f"{own}(")
@@ -42,6 +57,7 @@ def spark_sql(sql: str) -> str:
 
 
 def ansi_sql(sql: str) -> str:
+    sql = _one_of(sql, lambda of, texts: matches("|".join(map(quote, texts)), of))
     sql = re.sub(r"@rxcount\(([^,]+), (\x01.*?\x02)\)", r"len(regexp_extract_all(\1, \2))", sql, flags=re.S)
     sql = sql.replace("@all", ", 'g'")
     for name, (_, other) in _NAMES.items():
@@ -87,9 +103,9 @@ def has(text: str, of: str = "lower") -> str:
 
 
 def any_of(texts, of: str = "lower") -> str:
-    """Some of texts is contained: one alternation, or a plain test for a single one."""
+    """Some of texts is contained."""
     texts = list(texts)
-    return has(texts[0], of) if len(texts) == 1 else matches("|".join(map(quote, texts)), of)
+    return has(texts[0], of) if len(texts) == 1 else f"\x03{of}\x04{''.join(map(s, texts))}\x05"
 
 
 def all_of(texts, of: str = "lower") -> str:
@@ -101,8 +117,9 @@ def starts(texts, of: str = "lower") -> str:
 
 
 def token(*tokens: str, of: str = "lower") -> str:
-    """Some token stands between characters that are none of A-Z, a-z, 0-9 and _."""
-    return matches("(^|[^a-zA-Z0-9_])(" + "|".join(map(quote, tokens)) + ")($|[^a-zA-Z0-9_])", of)
+    """Some token stands between characters that are none of A-Z, a-z, 0-9 and _. Only texts that hold one of several at all are matched."""
+    found = matches("(^|[^a-zA-Z0-9_])(" + "|".join(map(quote, tokens)) + ")($|[^a-zA-Z0-9_])", of)
+    return both(any_of(tokens, of), found) if len(tokens) > 2 else found
 
 
 def tokens(*names: str, of: str = "lower") -> str:
@@ -128,12 +145,13 @@ def keyword_pattern(keyword: str) -> str:
 
 
 def keyword(keywords, of: str = "lower") -> str:
-    return matches("|".join(map(keyword_pattern, keywords)), of)
+    return both(any_of(keywords, of), matches("|".join(map(keyword_pattern, keywords)), of))
 
 
 def first_keyword(keywords, of: str = "lower") -> str:
     """The first of keywords, in their order, that is found; else null."""
-    return "CASE " + " ".join(f"WHEN {matches(keyword_pattern(k), of)} THEN {s(k)}" for k in keywords) + " END"
+    found = "CASE " + " ".join(f"WHEN {both(has(k, of), matches(keyword_pattern(k), of))} THEN {s(k)}" for k in keywords) + " END"
+    return f"CASE WHEN {any_of(keywords, of)} THEN {found} END"
 
 
 def host_in(hosts, of: str) -> str:
