@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracelight.llm import neighbours
+from tracelight.llm import hnsw, neighbours
 
 
 def brute(rows, queries, k):
@@ -42,3 +42,49 @@ def test_odd_vectors_and_copies(spark):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == want
     assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def hits(found, want):
+    return np.mean([len(set(f) & set(w)) / len(w) for f, w in zip(found, want)])
+
+
+def test_recall_without_clusters():
+    """A full shard of vectors that lie evenly, in 256 dimensions, and of lengths that differ widely."""
+    rnd = np.random.default_rng(8)
+    n, k = neighbours.SHARD_ROWS, 21
+    for x in (rnd.normal(size=(n, 256)), rnd.normal(size=(n, 64)) * rnd.lognormal(0, 1, (n, 1))):
+        queries = x[::160]
+        graph = hnsw.Graph.from_flat(*hnsw.Graph.build(x).flat().values())
+        ef = graph.enough(queries, k, neighbours.EF, neighbours.RECALL, neighbours.SAMPLE)
+        found, _ = graph.search(queries, k, ef)
+        assert hits(found, np.argsort(-(queries @ x.T), axis=1)[:, :k]) >= 0.93
+
+
+def test_two_default_shards(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(neighbours.SHARD_ROWS + 1_000, 64))
+    vectors = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    asked = np.arange(0, len(x), 100)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-near, axis=1)[:, :20]
+    got = {}
+    for r in neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert hits([got[q] for q in asked], want) >= 0.93
+
+
+def test_links_hold_both_ways_where_there_is_room():
+    x = np.random.default_rng(3).normal(size=(400, 8)).astype(np.float32)
+    out = hnsw.layer(x, 16)
+    free = {i for i in range(len(x)) if (out[i] < 0).any()}
+    assert all(i in out[j] for i in range(len(x)) for j in out[i] if j in free)
+    assert all(len(set(row[row >= 0])) == (row >= 0).sum() and i not in row for i, row in enumerate(out))
+
+
+def test_repeated_ids(spark):
+    """Rows of one vec_id count under it once for each vector, and not for its own query."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 1.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"], r["score"]) for r in neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()}
+    assert got == {(0, 3, 2.0), (0, 20, 1.0), (0, 20, 0.0), (20, 3, 2.0), (20, 3, 0.0), (20, 0, 1.0), (20, 0, 0.0)}

@@ -3,7 +3,10 @@
 Nearness is the largest inner product. Vectors get one more component, which makes all equally
 long, so that nearest by angle is nearest by inner product and the graph's usual pruning holds.
 A layer's graph is made in bulk: each node's nearest CANDIDATES, thinned to those that are nearer
-to it than to a kept one, and links back where there is room.
+to it than to a kept one, and links back, thinned again where they are too many.
+
+How many nodes a search must keep in view depends on the vectors. So it is doubled until a sample of
+the queries at hand, held against all nodes of the graph, finds the wanted share of its nearest.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ import numpy as np
 
 LINKS, BASE_LINKS = 16, 32
 CANDIDATES = 64
-#: Queries that are searched side by side, and nodes that each expands at once.
+#: Queries that are searched side by side, and nodes that each expands at once (more where many are kept in view).
 SIDE, WIDE = 256, 8
+#: Numbers that are multiplied at once.
+PIECE = 4_000_000
 
 
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
@@ -27,42 +32,59 @@ def _nearest(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def layer(x: np.ndarray, links: int) -> np.ndarray:
-    """Neighbours of each row as a rectangle of row numbers, -1 where there is none."""
-    n = len(x)
-    out = np.full((n, links), -1, np.int32)
-    if n < 2:
-        return out
-    k = min(CANDIDATES, n - 1)
-    near = _nearest(x, k)
-    used = np.zeros(n, np.int64)
-    for a in range(0, n, 512):
-        own = near[a : a + 512]
-        c = x[own]
-        mine = np.einsum("bd,bkd->bk", x[a : a + 512], c)
-        among = np.einsum("bid,bjd->bij", c, c, optimize=True)
+def _products(x: np.ndarray, rows: np.ndarray, y: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """x[rows] times y[others], in pieces of bounded memory."""
+    out = np.empty(len(rows), np.result_type(x, y))
+    step = max(1, PIECE // max(1, x.shape[1]))
+    for a in range(0, len(rows), step):
+        out[a : a + step] = np.einsum("md,md->m", x[rows[a : a + step]], y[others[a : a + step]])
+    return out
+
+
+def _thinned(x: np.ndarray, rows: np.ndarray, candidates: np.ndarray, links: int) -> np.ndarray:
+    """The candidates of each row, nearest first and -1 where there is none, that stay its neighbours.
+
+    A candidate stays if it is nearer to the row than to any that stayed before it. The nearest of
+    the rest fill up what this leaves.
+    """
+    out = np.full((len(rows), links), -1, np.int64)
+    for a in range(0, len(rows), 256):
+        own = candidates[a : a + 256]
+        c = x[np.maximum(own, 0)]
+        mine = np.einsum("bd,bkd->bk", x[rows[a : a + 256]], c)
+        among = c @ c.transpose(0, 2, 1)
         kept = np.zeros(own.shape, bool)
         count = np.zeros(len(own), np.int64)
-        for j in range(k):
-            good = (count < links // 2) & ~np.any(kept & (among[:, j] > mine[:, j : j + 1]), axis=1)
-            kept[:, j] = good
-            count += good
-        # The nearest of the rest fill up what thinning leaves of the first half.
-        place = np.argsort(~kept, axis=1, kind="stable")[:, : links // 2]
-        got = np.take_along_axis(own, place, 1)
+        for j in range(own.shape[1]):
+            kept[:, j] = (own[:, j] >= 0) & (count < links) & ~np.any(kept & (among[:, j] > mine[:, j : j + 1]), axis=1)
+            count += kept[:, j]
+        got = np.take_along_axis(own, np.argsort(np.where(kept, 0, np.where(own >= 0, 1, 2)), axis=1, kind="stable")[:, :links], 1)
         out[a : a + len(own), : got.shape[1]] = got
-        used[a : a + len(own)] = got.shape[1]
-    back_to = out[out >= 0].astype(np.int64)
-    back_from = np.repeat(np.arange(n), used)
-    order = np.argsort(back_to, kind="stable")
-    to, origin = back_to[order], back_from[order]
-    rank = np.arange(len(to)) - np.searchsorted(to, to)
-    place = used[to] + rank
-    fits = place < links
-    out[to[fits], place[fits]] = origin[fits]
     return out
 
 
+def layer(x: np.ndarray, links: int) -> np.ndarray:
+    """Neighbours of each row as a rectangle of row numbers, -1 where there is none."""
+    n = len(x)
+    if n < 2:
+        return np.full((n, links), -1, np.int32)
+    half = _thinned(x, np.arange(n), _nearest(x, min(CANDIDATES, n - 1)), links // 2)
+    # Links hold both ways; a row with too many is thinned again.
+    ahead, behind = np.repeat(np.arange(n), half.shape[1])[half.ravel() >= 0], half.ravel()[half.ravel() >= 0]
+    both = np.unique(np.concatenate([ahead * n + behind, behind * n + ahead]))
+    rows, others = both // n, both % n
+    order = np.lexsort((others, -_products(x, rows, x, others), rows))
+    rows, others = rows[order], others[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    near = rank < 2 * CANDIDATES
+    out = np.full((n, max(links, int(rank[near].max()) + 1)), -1, np.int64)
+    out[rows[near], rank[near]] = others[near]
+    if out.shape[1] > links:
+        full = np.flatnonzero(out[:, links] >= 0)
+        out[full, :links] = _thinned(x, full, out[full], links)
+    return out[:, :links].astype(np.int32)
+
+
 class Graph:
     """layers: (members, neighbours) from the base up; neighbours are numbers of vectors."""
 
@@ -110,13 +132,29 @@ class Graph:
                 place[members] = np.arange(len(members))
                 start = self._beam(q, start, neighbours, place, min(16, len(members)))
             found = self._beam(q, start, self.layers[0][1], None, ef)
-            there = found >= 0
-            exact = np.where(there, np.einsum("bd,bkd->bk", q, self.vectors[np.maximum(found, 0)]), -np.inf)
+            rows, cols = np.nonzero(found >= 0)
+            exact = np.full(found.shape, -np.inf)
+            exact[rows, cols] = _products(q, rows, self.vectors, found[rows, cols])
             order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
             ids[a : a + SIDE, :k] = np.take_along_axis(found, order, 1)
             scores[a : a + SIDE, :k] = np.take_along_axis(exact, order, 1)
         return ids, scores
 
+    def enough(self, queries: np.ndarray, k: int, ef: int, recall: float, sample: int) -> int:
+        """ef, doubled until a sample of the queries finds this share of its k nearest nodes (equally near ones count)."""
+        n = len(self.vectors)
+        some = queries[np.linspace(0, len(queries) - 1, min(sample, len(queries))).astype(np.int64)]
+        k = min(k, n)
+        near = some @ self.vectors.T
+        least = np.partition(near, n - k, axis=1)[:, n - k]
+        slack = 1e-9 * np.abs(near).max(axis=1, initial=1e-300)
+        while ef < n:
+            _, scores = self.search(some, k, ef)
+            if np.mean(scores >= (least - slack)[:, None]) >= recall:
+                break
+            ef *= 2
+        return min(ef, n)
+
     def _beam(self, queries, start, neighbours, place, ef: int) -> np.ndarray:
         """The ef nearest that a best-first walk from start finds, nearest first."""
         n, b = len(self.vectors), len(queries)
@@ -125,6 +163,7 @@ class Graph:
         pool = np.full((b, ef), -1, np.int64)
         near = np.full((b, ef), -np.inf, np.float32)
         done = np.ones((b, ef), bool)
+        wide = max(WIDE, ef // 20)
 
         def merge(rows, nodes):
             """Each row's new nodes, scored once and put in its pool."""
@@ -132,7 +171,7 @@ class Graph:
             flat = flat[~seen.ravel()[flat]]
             seen.ravel()[flat] = True
             rows, nodes = flat // n, flat % n
-            score = np.einsum("md,md->m", self.small[nodes], q[rows])
+            score = _products(self.small, nodes, q, rows)
             keep = score > near[rows, -1]
             rows, nodes, score = rows[keep], nodes[keep], score[keep]
             if not len(rows):
@@ -151,7 +190,7 @@ class Graph:
         merge(rows, start[rows, cols])
         while not done.all():
             ready = ~done
-            ready &= np.cumsum(ready, axis=1) <= WIDE
+            ready &= np.cumsum(ready, axis=1) <= wide
             rows, cols = np.nonzero(ready)
             done[rows, cols] = True
             nodes = pool[rows, cols]

@@ -24,8 +24,9 @@ K = 20
 #: Vectors of one graph, and queries that meet it at once.
 SHARD_ROWS = 16_384
 QUERY_ROWS = 2_048
-#: Nodes that a search keeps in view; recall is measured in the tests.
-EF = 160
+#: Nodes that a search keeps in view at first, and the share of its nearest that it must find of a
+#: sample of each block's queries in each shard; else more nodes are kept in view.
+EF, RECALL, SAMPLE = 160, 0.97, 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, ef: int = EF) -> Da
                 graph = Graph.from_flat(n, *arrays)
                 names = np.asarray(asked.values.field("vec_id"))
                 vectors = np.asarray(asked.values.field("embedding").flatten()).reshape(len(names), -1)
-                found, scores = graph.search(vectors, k + 1, ef)
+                found, scores = graph.search(vectors, k + 1, graph.enough(vectors, k + 1, ef, RECALL, SAMPLE))
                 ends = np.asarray(ids.values.offsets)
                 flat = np.asarray(ids.values.flatten())
                 ends = ends - ends[0]
