@@ -183,3 +183,14 @@ def test_urls_against_brute_force(spark):
 
 def test_no_pages(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_urls_beside_clashing_columns_and_long_html(spark):
+    """Columns named like the operator's own change nothing, nor does html of many links."""
+    html = '<a href="http://bad.com/">' * 30_000 + "text " * 100_000
+    pages = [(1, "http://bad.com/en/1", None), (2, "http://linker.io/", html), (3, None, html), (4, "http://linker.io/", ""), (4, "http://linker.io/", "")]
+    plain = spark.createDataFrame(pages, "page_id long, url string, html string")
+    names = ("host", "path", "rule", "ruled", "verdict", "src", "dst", "n", "rank", "seed", "trust", "bad", "pages")
+    odd = plain.selectExpr("*", *[f"'x' AS {c}" for c in names])
+    found = [sorted(map(str, url_filter.judge_urls(x).collect())) for x in (plain, odd)]
+    assert found[0] == found[1] and len(found[0]) == len(pages)

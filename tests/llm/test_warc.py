@@ -37,6 +37,17 @@ def test_shuffled_first_pages_give_the_same(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 30
 
 
+def test_columns_with_clashing_names(spark):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i % 3}</p>" * 20) for i in range(12)], "page_id long, url string, html string")
+    names = ("payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest", "first_id", "n", "raw")
+    found = []
+    for own in (pages, pages.selectExpr("*", *[f"'x' AS {c}" for c in names])):
+        path = shared_dir(spark)
+        warc.write_warc(own, path)
+        found.append(sorted(map(str, warc.read_warc(spark, path).collect())))
+    assert found[0] == found[1] and len(found[0]) == 12
+
+
 def test_missing_and_damaged_segments(spark, tmp_path):
     payload = b"p" * 5000
     own = [r + b"\r\n\r\n" for r in warc.page_records(1, "u", payload, hashlib.sha256(payload).hexdigest(), None, 1000)]
