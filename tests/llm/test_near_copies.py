@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -54,3 +55,25 @@ def test_stage_catches_changed_words(spark):
     docs = [(1, " ".join(words)), (2, " ".join([*words[:50], "other", *words[51:]])), (3, " ".join(f"v{i}" for i in range(100)))]
     rows = pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert {r["doc_id"] for r in rows.collect()} == {1, 3}
+
+
+def test_masks_cover_three_bits():
+    for width in (15, 23):
+        for odd in itertools.combinations(range(width), 3):
+            assert any(not mask & sum(1 << i for i in odd) for mask in near_copies.masks(width))
+
+
+@pytest.mark.parametrize("most", [near_copies.MOST, 8])
+def test_fingerprints_meet_within_the_covered_bits(spark, most):
+    """Near copies are found by fingerprints: in f covered parts no pair within 4f - 1 bits is lost, also in divided buckets."""
+    rnd, parts = random.Random(6), near_copies.parts_of(400)
+    radius, rows = 4 * parts[0] - 1, []
+    for i in range(200):
+        fp = rnd.getrandbits(64 * near_copies.WORDS)
+        other = fp ^ sum(1 << k for k in rnd.sample(range(parts[0] * parts[1]), radius))
+        rows += [(2 * i + k, 100 + k, [int.from_bytes((x >> 64 * w & (1 << 64) - 1).to_bytes(8), signed=True) for w in range(near_copies.WORDS)]) for k, x in enumerate((fp, other))]
+    groups = {}
+    for r in near_copies.near_groups(spark.createDataFrame(rows, "node long, size int, fp array<long>"), parts, most).collect():
+        groups.setdefault(r["bucket"], set()).add(r["node"])
+    met = {(a, a + 1) for g in groups.values() for a in g if a % 2 == 0 and a + 1 in g}
+    assert parts[0] * 4 - 1 >= 39 and met == {(2 * i, 2 * i + 1) for i in range(200)}
