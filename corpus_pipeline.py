@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelight.llm import line_dedup, mixing, near_copies, packing, quality
-from tracelight.llm.common import stored
+from tracelight.llm.common import clearing, stored
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
@@ -60,6 +60,7 @@ STAGES = [("quality_rules", quality_rules), ("dedup_lines", dedup_lines), ("near
 ORACLE_SQL = None
 
 
+@clearing
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *first, (_, last) = STAGES

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +42,42 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read back.
 
     Cuts the lineage without running the plan twice, as checkpoint() would, and survives the
-    loss of any executor. Whoever owns spark.checkpoint.dir clears it.
+    loss of any executor. Whoever owns spark.checkpoint.dir clears what clearing() leaves.
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    _STORED.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that stored() has made within the innermost clearing().
+_STORED: ContextVar[list[str]] = ContextVar("stored", default=[])
+
+
+def clearing(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """make, which deletes the folders that it has stored but those that its result still reads."""
+
+    @functools.wraps(make)
+    def run(*args, **options) -> DataFrame:
+        own: list[str] = []
+        token = _STORED.set(own)
+        try:
+            df = make(*args, **options)
+        finally:
+            _STORED.reset(token)
+        read = {name for f in df.inputFiles() for name in re.findall(r"/(tracelight-[0-9a-f]{32})/", f)}
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for path in own:
+            if path.rpartition("/")[2] in read:
+                _STORED.get().append(path)
+            else:
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(conf).delete(folder, True)
+        return df
+
+    return run
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A stored df, broadcast if it has at most so many rows; larger ones are shuffled."""
     return F.broadcast(df) if df.count() <= rows else df

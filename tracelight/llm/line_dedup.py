@@ -41,7 +41,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import clearing, small, stored, table
 from .graph import components
 
 #: The characters that words don't hold.
@@ -285,6 +285,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT
     return gone.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
+@clearing
 def dedup_lines(docs: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT, **options) -> DataFrame:
     """row (the columns of docs), its lines' number, those removed, and kept_text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -12,12 +12,14 @@ f is so large that a pair that differs in 3/16 has no part to meet in with a cha
 Parts grow with the number of texts, so that a table's buckets stay as small. A bucket of over MOST
 nodes is dealt out in blocks, each two of which meet. Pairs that meet are candidates unless they
 differ in more bits than alike ones do but with a chance of about 1e-7 (see furthest()): of their
-first 192 bits when they meet, of all when they are compared again. Every candidate is verified by
-the exact similarity of its sets.
-
-First each node is compared with its nearest one in each bucket, which joins large groups with few
-comparisons. What may still be missing are links between nodes that are near in a bucket but not yet
-in one group, and those pairs are all verified. Where a node has many, its pairs are verified in
+first 192 bits when they meet, and of the SKETCH words of a longer fingerprint when they are compared
+again. Every candidate is verified by the exact similarity of its sets.
+
+A pair meets in many tables but counts in the first of them alone, as far as the bits show it that
+rows carry. First each node is compared with its nearest one in each bucket, which joins large groups
+with few comparisons. What may still be missing are links between nodes that are near in a bucket but
+not yet in one group, and those pairs are all compared: by their longer fingerprints within the
+bucket, where most end, and else by their sets. Where a node has many, its pairs are verified in
 blocks of shared sets. So no candidate is left out, however large its bucket.
 """
 
@@ -28,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import clearing, small, stored
 from .graph import components
 from .simhash import SEED
 
@@ -38,16 +40,14 @@ WIDTH, TEXTS = 15, 2048
 DIFFER, LOST = 3 / 16, 1e-6
 #: Shingles up to which sets that are alike may differ in that share of bits, and the share for larger ones.
 TINY, LARGER = 5, 0.162
-#: Words of 64 bits that are compared in a bucket.
-WORDS = 3
+#: Words of 64 bits that are compared in a bucket, and of the longer fingerprints of nodes that are near others.
+WORDS, SKETCH = 3, 32
 #: Nodes of a bucket that meet in one task; more are dealt out in blocks of half as many.
 MOST = 8192
 #: Labels of a part's bits, in turn; the mask of v keeps those of odd parity with v.
 LABELS = (1, 2, 4, 8, 15, 3, 12, 5, 10, 6, 9, 7, 11, 13, 14)
 #: Pairs of a node are verified one by one if they are at most so many; else in blocks of about so many shingles.
 HOT, BLOCK = 16, 16_384
-#: Shingles of sets that may be broadcast.
-BROADCAST_ITEMS = 3_000_000
 #: Rows of few numbers that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -99,6 +99,16 @@ def masks(width: int) -> list[int]:
     return [sum(1 << i for i in range(width) if (LABELS[i % 15] & v).bit_count() % 2) for v in range(1, 16)]
 
 
+def first_masks():
+    """For the bits of a part in which two fingerprints differ, taken together by label, the first of the 15 masks without any of them; 15 if none is."""
+    import numpy as np
+
+    odd, first = np.arange(1 << 15), np.full(1 << 15, 15, np.uint8)
+    for v, mask in reversed(list(enumerate(masks(15)))):
+        first[odd & mask == 0] = v
+    return first
+
+
 def missed(width: int, differ: float) -> float:
     """The chance that no mask of a part keeps bits that all agree, if each differs with this chance."""
     import numpy as np
@@ -224,15 +234,48 @@ def _near_pairs(size, fps):
             yield at + i, at + j, differ[i, j].astype(np.int64)
 
 
-def _near_groups(batches):
-    """Groups of nodes that are near in runs of equal bucket and block, sorted by size, and each one's nearest."""
+def _meeting(fps, i, j, place: int, width: int, first):
+    """Which of the pairs of fps meet in the table at this place, but in none before it that the words show."""
+    import numpy as np
+
+    def kept_by(q, pairs):
+        word, bit = divmod(q * width, 64)
+        differ = (fps[i[pairs], word] ^ fps[j[pairs], word]) >> np.uint64(bit)
+        if bit + width > 64:
+            differ |= (fps[i[pairs], word + 1] ^ fps[j[pairs], word + 1]) << np.uint64(64 - bit)
+        by_label = np.zeros(len(pairs), np.uint64)
+        for k in range(0, width, 15):
+            by_label |= differ >> np.uint64(k) & np.uint64((1 << min(15, width - k)) - 1)
+        return first[by_label]
+
+    (p, v), shown, pairs = divmod(place, 15), 64 * fps.shape[1] // width, np.arange(len(i))
+    if p < shown:
+        pairs = pairs[kept_by(p, pairs) == v]
+    for q in range(min(p, shown)):
+        pairs = pairs[kept_by(q, pairs) == 15]
+    return pairs
+
+
+def _near_groups(width: int):
+    def run(batches):
+        """Groups of nodes that are near in runs of equal bucket and block, sorted by size, and each one's nearest."""
+        return _groups(batches, width)
+
+    return run
+
+
+def _groups(batches, width: int):
     import numpy as np
     import pyarrow as pa
     import xxhash
 
-    def groups(node, size, fps):
+    first = first_masks()
+
+    def groups(place, node, size, fps):
         label, best = np.arange(len(node)), np.full(len(node), 1 << 62)
         for i, j, differ in _near_pairs(size, fps):
+            here = _meeting(fps, i, j, place, width, first)
+            i, j, differ = i[here], j[here], differ[here]
             np.minimum.at(best, i, differ << 32 | j)
             np.minimum.at(best, j, differ << 32 | i)
             bounds = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
@@ -245,34 +288,46 @@ def _near_groups(batches):
         bounds = np.flatnonzero(np.diff(label[some], prepend=-1, append=-1))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             at = some[a:b]
-            yield xxhash.xxh64_intdigest(node[at].tobytes(), SEED), node[at], size[at], node[best[at] & 0xFFFFFFFF]
+            yield xxhash.xxh64_intdigest(node[at].tobytes(), place), np.full(len(at), place, np.int32), node[at], size[at], node[best[at] & 0xFFFFFFFF]
 
     for columns in _runs(batches, 2):
-        _, _, node, size, *words = columns
+        bucket, _, node, size, *words = columns
         fps = np.stack(words, 1).view(np.uint64)
-        found = [x for a, b in _spans(columns, 2) for x in groups(node[a:b], size[a:b], fps[a:b])]
+        found = [x for a, b in _spans(columns, 2) for x in groups(int(bucket[a]) >> width, node[a:b], size[a:b], fps[a:b])]
         buckets = np.repeat(np.array([x[0] for x in found], np.uint64).view(np.int64), [len(x[1]) for x in found])
-        flat = [np.concatenate([np.zeros(0, t), *[x[k] for x in found]]) for k, t in ((1, np.int64), (2, np.int32), (3, np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array(buckets), *map(pa.array, flat)], names=["bucket", "node", "size", "nearest"])
+        flat = [np.concatenate([np.zeros(0, t), *[x[k] for x in found]]) for k, t in ((1, np.int32), (2, np.int64), (3, np.int32), (4, np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(buckets), *map(pa.array, flat)], names=["bucket", "place", "node", "size", "nearest"])
 
 
-def _apart(batches):
-    """Pairs of nodes that are near in runs of equal bucket, sorted by size, and have different roots."""
-    import numpy as np
-    import pyarrow as pa
+def _apart(width: int):
+    def run(batches):
+        """Pairs of nodes of different roots that are near in runs of equal bucket, sorted by size, also by their longer fingerprints."""
+        import numpy as np
+        import pyarrow as pa
 
-    for columns in _runs(batches, 1):
-        _, size, node, root, *words = columns
-        fps = np.stack(words, 1).view(np.uint64)
-        for a, b in _spans(columns, 1):
-            for i, j, _ in _near_pairs(size[a:b], fps[a:b]):
-                open_ = root[a + i] != root[a + j]
-                x, y = node[a + i[open_]], node[a + j[open_]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        first, most = first_masks(), [furthest(SKETCH, tiny) for tiny in (False, True)]
+        for columns in _runs(batches, 1):
+            _, place, size, node, root, *words = columns
+            fps = np.stack(words, 1).view(np.uint64)
+            for a, b in _spans(columns, 1):
+                own, roots = fps[a:b], root[a:b]
+                if (roots == roots[0]).all():
+                    continue
+                for i, j, _ in _near_pairs(size[a:b], own[:, :WORDS]):
+                    open_ = roots[i] != roots[j]
+                    i, j = i[open_], j[open_]
+                    here = _meeting(own[:, :WORDS], i, j, int(place[a]), width, first)
+                    i, j = i[here], j[here]
+                    differ = np.bitwise_count(own[i] ^ own[j]).sum(1, dtype=np.int64)
+                    near = differ <= np.where(size[a + i] <= TINY, most[True], most[False])
+                    x, y = node[a + i[near]], node[a + j[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
 
 
 def near_groups(own: DataFrame, parts: tuple[int, int], most: int = MOST) -> DataFrame:
-    """bucket, node, size and nearest of groups of signatures() whose fingerprints are near in some table's bucket."""
+    """bucket, place (of the table), node, size and nearest of groups of signatures() whose fingerprints are near in some table's bucket."""
     nodes = stored(own.filter("size > 0").select("node", "size", "fp").dropDuplicates(["node"]))
     counts = nodes.mapInArrow(_tables(*parts, True), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     large = stored(counts.filter(F.col("n") > most).select("bucket", F.ceil(F.col("n") * 2 / most).cast("int").alias("blocks")))
@@ -286,11 +341,11 @@ def near_groups(own: DataFrame, parts: tuple[int, int], most: int = MOST) -> Dat
     else:
         placed = placed.withColumn("block", F.lit(0))
     runs = placed.select("bucket", "block", "node", "size", *words).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "size")
-    return runs.mapInArrow(_near_groups, "bucket long, node long, size int, nearest long").distinct()
+    return runs.mapInArrow(_near_groups(parts[1]), "bucket long, place int, node long, size int, nearest long").distinct()
 
 
 def sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """node and items, its set of shingles, of wanted(row_key, node), one row a node."""
+    """node, items (its set of shingles), size and sketch (its longer fingerprint) of wanted(row_key, node), one row a node."""
 
     def run(batches):
         import numpy as np
@@ -301,10 +356,13 @@ def sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFram
                 own = [shingles(x.as_py(), shingle) for x in batch.column(1).slice(at, 256)]
                 offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), items], names=["node", "items"])
+                sizes = pa.array(np.array([len(x) for x in own], np.int32))
+                sketches = np.concatenate([fingerprint(x, SKETCH) for x in own]).view(np.int64)
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sketches) + 1, SKETCH, dtype=np.int32)), pa.array(sketches))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), items, sizes, sketches], names=["node", "items", "size", "sketch"])
 
     rows = docs.select(row_key().alias("row_key"), F.col("text").cast("string").alias("text")).join(small(wanted, BROADCAST_ROWS), "row_key")
-    return rows.select("node", "text").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    return rows.select("node", "text").mapInArrow(run, "node long, items array<long>, size int, sketch array<long>").dropDuplicates(["node"])
 
 
 def _alike(x: Column, y: Column) -> Column:
@@ -312,6 +370,14 @@ def _alike(x: Column, y: Column) -> Column:
     return 9 * F.size(F.array_intersect(x, y)) >= 4 * (F.size(x) + F.size(y))
 
 
+def _near(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose longer fingerprints are near."""
+    one, two = (items.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b"))
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = F.when(F.least("size_a", "size_b") <= TINY, furthest(SKETCH, True)).otherwise(furthest(SKETCH, False))
+    return pairs.join(two, "b").join(one, "a").filter(differ <= most).select("a", "b")
+
+
 def _verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
     one, two = items.select(F.col("node").alias("a"), F.col("items").alias("x")), items.select(F.col("node").alias("b"), F.col("items").alias("y"))
     return pairs.join(two, "b").join(one, "a").filter(_alike(F.col("x"), F.col("y"))).select("a", "b")
@@ -329,29 +395,25 @@ def set_links(own: DataFrame, docs: DataFrame, parts: tuple[int, int], shingle:
     """Links (a, b) that connect whatever nodes of signatures() are alike and meet in a bucket."""
     members = stored(near_groups(own, parts, most))
     wanted = stored(members.select("node").distinct())
-    wanted = stored(own.join(small(wanted, BROADCAST_ROWS), "node").groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("fp").alias("fp"), F.first("size").alias("size")))
-    items = stored(sets(docs, wanted.select("node", "row_key"), shingle))
-    words = len(own.head(1)[0]["fp"]) if own.head(1) else WORDS
-    few = (items.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_ITEMS
-    near = F.broadcast(items) if few else items
-
-    tried = members.select(F.least("node", "nearest").alias("a"), F.greatest("node", "nearest").alias("b")).distinct()
-    links = stored(_verified(tried.repartition("a"), near))
-    roots = stored(components(links).withColumnRenamed("root", "own_root"))
-
-    grouped = members.select("bucket", "node", "size").distinct().join(small(roots, BROADCAST_ROWS), "node", "left").select("bucket", "node", "size", F.coalesce("own_root", "node").alias("root"))
-    open_ = stored(grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket"))
-    left = grouped.join(small(open_, BROADCAST_ROWS), "bucket").join(wanted.select("node", "fp"), "node")
-    left = left.select("bucket", "size", "node", "root", *[F.col("fp")[i].alias(f"w{i}") for i in range(words)])
-    pairs = left.repartition("bucket").sortWithinPartitions("bucket", "size").mapInArrow(_apart, "a long, b long").distinct()
+    wanted = stored(own.join(small(wanted, BROADCAST_ROWS), "node").groupBy("node").agg(F.min("row_key").alias("row_key")))
+    items = stored(sets(docs, wanted, shingle))
+
+    tried = stored(members.select(F.least("node", "nearest").alias("a"), F.greatest("node", "nearest").alias("b")).distinct())
+    links = stored(_verified(_near(tried, items), items))
+    roots = small(stored(components(links).withColumnRenamed("root", "own_root")), BROADCAST_ROWS)
+
+    marks = stored(items.join(roots, "node", "left").select("node", F.coalesce("own_root", "node").alias("root"), *[F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH)]))
+    left = members.select("bucket", "place", "size", "node").distinct().join(marks, "node").select("bucket", "place", "size", "node", "root", *[f"w{i}" for i in range(SKETCH)])
+    pairs = left.repartition("bucket").sortWithinPartitions("bucket", "size").mapInArrow(_apart(parts[1]), "a long, b long").distinct()
     pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
     degrees = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    sizes = wanted.select(F.col("node").alias("a"), "size")
+    sizes = items.select(F.col("node").alias("a"), "size")
     many = small(stored(degrees.join(sizes, "a").select("a", F.ceil(F.col("n") * F.col("size") / block).alias("blocks"))), BROADCAST_ROWS)
-    links = links.unionByName(_verified(pairs.join(many, "a", "left_anti").repartition("a"), near))
-    return links.unionByName(_in_blocks(pairs.join(many, "a"), near))
+    links = links.unionByName(_verified(pairs.join(many, "a", "left_anti"), items))
+    return links.unionByName(_in_blocks(pairs.join(many, "a"), items))
 
 
+@clearing
 def first_documents(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataFrame:
     """docs without those of a group of near copies that don't have its smallest doc_id (nulls last)."""
     parts = parts_of(docs.count())

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, small, stored, table
+from .common import SPACE_CLASS, WORD_CLASS, clearing, small, stored, table
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -42,6 +42,8 @@ OF_SOME = ("m_dup_lines", "m_repeats")
 QUANTILES = (10, 50, 90)
 #: Groups whose fences (under 200 bytes each) may be broadcast; more are shuffled.
 BROADCAST_GROUPS = 50_000
+#: Rows of two numbers that may be broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def let(value: Column, f) -> Column:
@@ -171,10 +173,15 @@ def judged(rows: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
+@clearing
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang", "source")
-    return judged(stored(measured(rows).drop("text", "lang", "source"))).filter("kept").select("row.*")
+    """The documents that pass, with their own columns. Rows of equal doc_id, text, lang and source are judged alike."""
+    # Nulls leave a hash as it is, so it takes them in apart.
+    key = F.xxhash64("text", "lang", "source", F.col("text").isNull(), F.col("lang").isNull())
+    rows = docs.select(F.col("doc_id").alias("gone_id"), key.alias("gone_key"), "text", "lang", "source")
+    gone = judged(stored(measured(rows).drop("text", "lang", "source"))).filter(~F.coalesce("kept", F.lit(False)))
+    gone = small(stored(gone.select("gone_id", "gone_key").distinct()), BROADCAST_ROWS)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
