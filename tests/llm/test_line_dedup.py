@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,10 @@ def test_short_lines_go_if_equal(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = line_dedup.op5_line_dedup(spark, str(tmp_path))
     assert {r["doc_id"]: r["removed"] for r in rows.collect()} == {1: [], 2: [2], 3: [3, 4], 4: [], 5: [0, 1], 6: []}
+
+
+def test_keys_are_worked_out_in_compiled_methods(spark, capsys):
+    """The JVM compiles no method of over 8000 bytes; the keys were in one of 21,000."""
+    line_dedup.placed_lines(spark.createDataFrame([(1, "a line")], "doc_id long, text string")).explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000

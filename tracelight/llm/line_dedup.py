@@ -90,8 +90,9 @@ class Segments:
     them hold for partners of n characters, at least.
     """
 
-    def __init__(self, text: Column, t_of, edits: int, *scope: Column):
-        length, self.keys, self.starts, self.sizes, self.t, self.indexed = F.char_length(text), [], [], [], [], []
+    def __init__(self, text: Column, t_of, edits: int, *scope: Column, length: Column | None = None):
+        length = F.char_length(text) if length is None else length
+        self.keys, self.starts, self.sizes, self.t, self.indexed = [], [], [], [], []
         #: For each place those of the first and the last segment, which a pair that it serves doesn't share.
         self.ends: list[tuple[int, int] | None] = []
         for t in range(1, edits + 1):
@@ -266,12 +267,20 @@ def line_links(keyed: DataFrame, lines: DataFrame, edits: int = EDITS, per: int
     return reduce(DataFrame.unionByName, found), texts
 
 
+def placed_lines(docs: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT) -> DataFrame:
+    """doc_id, doc_key, line_no, h, g and keys (null for short lines) of the lines that take part."""
+    lines = document_lines(docs).withColumn("size", F.char_length("line"))
+    keys = F.array(*Segments(F.col("line"), lambda n: allowed(n, edits, per), edits, length=F.col("size")).keys)
+    # Beside a higher-order function the keys aren't all put into one generated method, which would be too long for the JVM to compile.
+    number = F.transform(F.array("line_no"), lambda n: n)[0].alias("line_no")
+    return lines.select("doc_id", "doc_key", number, "h", "g", F.when(F.col("size") >= per, keys).alias("keys"))
+
+
 def removed_lines(docs: DataFrame, edits: int = EDITS, per: int = CHARS_PER_EDIT, **options) -> DataFrame:
     """doc_id, doc_key and removed, the numbers of the lines that go, of documents that lose any."""
     lines = document_lines(docs)
     # Each text is cut and hashed once; what follows reads numbers.
-    keys = F.array(*Segments(F.col("line"), lambda n: allowed(n, edits, per), edits).keys)
-    places = stored(lines.select("doc_id", "doc_key", "line_no", "h", "g", F.when(F.char_length("line") >= per, keys).alias("keys")))
+    places = stored(placed_lines(docs, edits, per))
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("doc_key"), F.col("line_no"))
     first = stored(places.groupBy("h", "g").agg(F.min(at).alias("first"), F.max(at).alias("last")))
     links, texts = line_links(places.select("h", "keys").filter("keys is not null"), lines, edits, per, **options)
