@@ -123,3 +123,19 @@ def test_bytes_and_partitions(spark, folder):
     assert parts >= sum(len(d) for d in files.values()) // 1000
     got = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("begin", "content"))).alias("c"), F.max("size").alias("size")).collect()
     assert {r["source"].rsplit("/", 1)[1]: b"".join(bytes(x["content"]) for x in r["c"]) for r in got} == {n: d for n, d in files.items() if d}
+
+
+def test_tasks_read_many_windows(tmp_path):
+    (tmp_path / "a.dmp").write_bytes(bytes(1_000_000))
+    parts = windows.WindowReader({"path": str(tmp_path), "window": "1000", "tasks": "8"}).partitions()
+    assert 8 <= len(parts) <= 10
+    assert [p[1:3] for w in parts for p in w.places] == [(b, b + 1000) for b in range(0, 1_000_000, 1000)]
+
+
+@pytest.mark.parametrize("reader", ["read_mixed_strings"])
+def test_tasks_follow_the_cores(spark, folder, monkeypatch, reader):
+    own, seen = windows.read_windows, []
+    monkeypatch.setattr(windows, "read_windows", lambda *a, **k: seen.append(k) or own(*a, **k))
+    getattr(windows, reader)(spark, folder[0], 5, window=64, pattern="*.dmp")
+    getattr(windows, reader)(spark, folder[0], 5, window=64, pattern="*.dmp", task=5000)
+    assert [(k["task"], k["tasks"]) for k in seen] == [(0, 16), (5000, 0)]

@@ -45,7 +45,7 @@ class WindowReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.pattern, self.mode = options["path"], options.get("pattern", "*"), options.get("mode", "bytes")
         self.window = max(2 * CONTEXT, int(options.get("window", WINDOW)))
-        self.task = max(self.window, int(options.get("task", 0)))
+        self.task, self.tasks = max(self.window, int(options.get("task", 0))), int(options.get("tasks", 0))
         self.min_len, self.tab, self.extended = int(options.get("min_len", 6)), options.get("include_tab") == "true", options.get("extended") == "true"
 
     def partitions(self):
@@ -59,10 +59,12 @@ class WindowReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         out, open_places, held = [], [], 0
-        for f in sorted((f for f in files if f.type == fs.FileType.File and fnmatch(f.base_name, self.pattern)), key=lambda f: f.path):
+        files = sorted((f for f in files if f.type == fs.FileType.File and fnmatch(f.base_name, self.pattern)), key=lambda f: f.path)
+        task = max(self.task, min(WINDOW, sum(f.size for f in files) // self.tasks)) if self.tasks else self.task
+        for f in files:
             for begin in range(0, f.size, self.window):
                 end = min(f.size, begin + self.window)
-                if held + end - begin > self.task and open_places:
+                if held + end - begin > task and open_places:
                     out.append(Windows(tuple(open_places)))
                     open_places, held = [], 0
                 open_places.append((f.path, begin, end, f.size))
@@ -106,9 +108,10 @@ class WindowReader(DataSourceReader):
 
 
 class ByteWindows(DataSource):
-    """spark.read.format("byte_windows") with the options path, pattern, window, task, mode, min_len, include_tab, extended.
+    """spark.read.format("byte_windows") with the options path, pattern, window, task, tasks, mode, min_len, include_tab, extended.
 
-    window: bytes that are scanned at once; task: bytes that a task reads, a window at least.
+    window: bytes that are scanned at once; task: bytes that a task reads, a window at least. With tasks, a task
+    reads more, up to WINDOW bytes, as long as there are about that many tasks.
     """
 
     @classmethod
@@ -130,6 +133,11 @@ def read_windows(spark: SparkSession, path: str, mode: str = "bytes", **options)
     return reader.load(path)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks enough for all cores; more than these would only be starts of Python."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def put_together(pieces: DataFrame, keys: list[str], value: str, joined) -> DataFrame:
     """Open pieces (left, right, begin, start, value) as whole strings: keys, start and value.
 
@@ -167,7 +175,7 @@ def read_mixed_strings(spark: SparkSession, path: str, min_len: int = 6, extende
     Each window is scanned for every state in which it can be entered. Which one it is follows
     from the windows before it, a few numbers each, which are run through in order.
     """
-    rows = stored(read_windows(spark, path, "mixed", min_len=min_len, extended=extended, window=window, pattern=pattern, task=task))
+    rows = stored(read_windows(spark, path, "mixed", min_len=min_len, extended=extended, window=window, pattern=pattern, task=task, tasks=0 if task else _tasks(spark)))
 
     def entered(batches):
         import pandas as pd
