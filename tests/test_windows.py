@@ -132,7 +132,7 @@ def test_tasks_read_many_windows(tmp_path):
     assert [p[1:3] for w in parts for p in w.places] == [(b, b + 1000) for b in range(0, 1_000_000, 1000)]
 
 
-@pytest.mark.parametrize("reader", ["read_mixed_strings"])
+@pytest.mark.parametrize("reader", ["read_mixed_strings", "read_strings"])
 def test_tasks_follow_the_cores(spark, folder, monkeypatch, reader):
     own, seen = windows.read_windows, []
     monkeypatch.setattr(windows, "read_windows", lambda *a, **k: seen.append(k) or own(*a, **k))

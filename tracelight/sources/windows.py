@@ -153,7 +153,7 @@ def put_together(pieces: DataFrame, keys: list[str], value: str, joined) -> Data
 
 def read_strings(spark: SparkSession, path: str, min_len: int = 6, include_tab: bool = False, window: int = WINDOW, pattern: str = "*", task: int = 0) -> DataFrame:
     """source, offset, kind and text of the printable runs of files: those of extract_strings, window by window."""
-    rows = stored(read_windows(spark, path, "plain", min_len=min_len, include_tab=include_tab, window=window, pattern=pattern, task=task))
+    rows = stored(read_windows(spark, path, "plain", min_len=min_len, include_tab=include_tab, window=window, pattern=pattern, task=task, tasks=0 if task else _tasks(spark)))
     whole = rows.filter("NOT left AND NOT right").select("source", "kind", "start", "text")
     joined = put_together(rows.filter("left OR right"), ["source", "kind"], "text", lambda t: F.array_join(t, "")).filter(F.char_length("text") >= min_len)
     return whole.unionByName(joined).select("source", F.col("start").alias("offset"), F.substring_index("kind", "-", 1).alias("kind"), "text")
