@@ -90,3 +90,10 @@ def test_files_worth_a_look(spark):
     assert {r["norm"] for r in candidates.suspicious_files(rows).collect()} == {paths[0], paths[2]}
     scope = [r["norm"] for r in candidates.hash_scope(rows, 3).collect()]
     assert len(scope) == 3 and scope[0] in (paths[0], paths[2])
+
+
+def test_metrics_compute_each_table_once(spark):
+    words = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), ("b", None), (None, None)], "word string, n int")
+    got = artifact_rows.run_metrics(words=words, none=words.filter("word = 'c'"))
+    assert {tuple(r) for r in got.collect()} == {("words_rows", 5), ("words_distinct", 3), ("none_rows", 0), ("none_distinct", 0)}
+    assert artifact_rows.run_metrics(words=words)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
