@@ -16,7 +16,7 @@ print("rows", __spark_entry__.queries()[sys.argv[1]](spark, __spark_entry__.SMOK
 """
 
 
-@pytest.mark.parametrize("name", ["dump_open_files", "detect_beta", "detect_fileless", "detect_java_batch", "detect_forfiles_wmic", "lolbin_scores", "classify_lines"])
+@pytest.mark.parametrize("name", ["dump_open_files", "detect_beta", "detect_fileless", "detect_java_batch", "detect_forfiles_wmic", "lolbin_scores", "classify_lines", "summary_counters"])
 def test_query_comes_first(name, tmp_path):
     got = subprocess.run([sys.executable, "-c", RUN, name], cwd=ROOT, env=os.environ | {"TMPDIR": str(tmp_path)}, capture_output=True, text=True)
     assert got.returncode == 0, got.stderr[-3000:]
